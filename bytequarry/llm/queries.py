@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bytequarry.llm import chat, decontaminate, html_extract, url_filter
+from bytequarry.llm import chat, decontaminate, html_extract, langid, packing, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,9 +24,22 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).drop("items")
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(_table(spark, sf_dir, "documents"))
+
+
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces_digest(packing.pack(_table(spark, sf_dir, "documents")))
+
+
+def pieces_digest(pieces: DataFrame) -> DataFrame:
+    """The contract's columns of packed pieces: checksums in place of the ids."""
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 def op10_chat_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.rotate(_table(spark, sf_dir, "conversations"))
 
 
-QUERIES = {f.__name__: f for f in (op2_html_extraction, op4_url_filter, op6_decontaminate, op10_chat_rotation)}
+QUERIES = {f.__name__: f for f in (op2_html_extraction, op4_url_filter, op6_decontaminate, op7_language_id, op9_packing, op10_chat_rotation)}
 ORACLE: dict[str, str] = {}
