@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bytequarry.llm import chat, decontaminate, html_extract, langid, packing, url_filter
+from bytequarry.llm import chat, decontaminate, html_extract, langid, neardup, packing, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,6 +28,10 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(_table(spark, sf_dir, "documents"))
 
 
+def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.group_near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces_digest(packing.pack(_table(spark, sf_dir, "documents")))
 
@@ -41,5 +45,5 @@ def op10_chat_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.rotate(_table(spark, sf_dir, "conversations"))
 
 
-QUERIES = {f.__name__: f for f in (op2_html_extraction, op4_url_filter, op6_decontaminate, op7_language_id, op9_packing, op10_chat_rotation)}
+QUERIES = {f.__name__: f for f in (op2_html_extraction, op4_url_filter, op6_decontaminate, op7_language_id, op8_near_duplicates, op9_packing, op10_chat_rotation)}
 ORACLE: dict[str, str] = {}
