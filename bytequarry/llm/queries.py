@@ -5,21 +5,33 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bytequarry.llm import chat, decontaminate, html_extract, langid, neardup, packing, url_filter
+from bytequarry.llm import chat, decontaminate, html_extract, langid, license_scan, neardup, packing, pii, topk, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(_table(spark, sf_dir, "documents"))
+
+
 def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract_main_text(_table(spark, sf_dir, "pages")).select("page_id", "url", "text", F.col("n_chars").cast("long").alias("n_chars"))
 
 
+def op3_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_personal_data(_table(spark, sf_dir, "documents"))
+
+
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(_table(spark, sf_dir, "pages"))
 
 
+def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search(_table(spark, sf_dir, "embeddings"))
+
+
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).drop("items")
 
@@ -45,5 +57,8 @@ def op10_chat_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.rotate(_table(spark, sf_dir, "conversations"))
 
 
-QUERIES = {f.__name__: f for f in (op2_html_extraction, op4_url_filter, op6_decontaminate, op7_language_id, op8_near_duplicates, op9_packing, op10_chat_rotation)}
+QUERIES = {
+    f.__name__: f
+    for f in (op1_license_scan, op2_html_extraction, op3_personal_data, op4_url_filter, op5_topk, op6_decontaminate, op7_language_id, op8_near_duplicates, op9_packing, op10_chat_rotation)
+}
 ORACLE: dict[str, str] = {}
