@@ -8,8 +8,8 @@
 3. Representatives that share a band meet in a bucket. Each is compared with the bucket's smallest id only, so a bucket
    of n gives n - 1 pairs; leaders with many partners are split by a salt. Pairs are verified on the full sets.
 4. Components of these links; then in buckets where more than one component is left, the pairs across components that
-   their signatures don't exclude are verified too (bucket blocks of ``BLOCK``), so that no link that joins two
-   components is lost. Nothing is capped.
+   their signatures don't exclude are verified too, inside the tasks that hold blocks of ``BLOCK`` of its members, so that
+   no link that joins two components is lost. Nothing is capped, and only links leave the tasks.
 
 A link at the threshold of 0.85 is missed by all 24 bands of 5 rows with a chance below 1e-6.
 """
@@ -28,7 +28,7 @@ from bytequarry.llm._common import materialise, mix64
 SHINGLE, PERCENT = 5, 85
 BANDS, ROWS = 24, 5
 #: Members of a bucket that are compared with each other in one task.
-BLOCK = 1024
+BLOCK = 256
 #: A pair whose estimated similarity lies this far under the threshold isn't verified; over four standard deviations.
 SLACK = 0.15
 #: Partners of a leader that are verified in one group.
@@ -198,7 +198,7 @@ def _verify(pairs: DataFrame, texts: DataFrame, kind: str, shingle: int, percent
     many = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / SALT).alias("parts"))
     salted = pairs.join(many, "a").select("a", "b", F.expr("pmod(xxhash64(b), parts)").alias("salt"))
     work = salted.select("a", "salt", F.col("b").alias("doc"), F.lit(1).alias("side")).unionByName(salted.select("a", "salt", F.col("a").alias("doc"), F.lit(0).alias("side")).distinct())
-    joined = work.join(texts, "doc").select("a", "salt", "side", "doc", "text").repartition("a", "salt").sortWithinPartitions("a", "salt", "side")
+    joined = work.join(texts.hint("merge"), "doc").select("a", "salt", "side", "doc", "text").repartition("a", "salt").sortWithinPartitions("a", "salt", "side")
 
     def run(batches):
         group, leaders = None, []
@@ -226,47 +226,105 @@ def _verify(pairs: DataFrame, texts: DataFrame, kind: str, shingle: int, percent
     return joined.mapInArrow(run, f"a {kind}, b {kind}").distinct()
 
 
-def _rest(members: DataFrame, kind: str, least: float) -> DataFrame:
-    """Pairs across components in the same bucket block that the sketches don't exclude. members: bucket, leader, size, doc, comp, n, sketch."""
+class _Group:
+    """Rows of one bucket block pair: (bucket, i, j, own, leader, doc, comp, n, sketch, bands[, text])."""
+
+    def __init__(self, rows: list[tuple], least: float):
+        cols = list(zip(*rows, strict=True))
+        self.bucket, self.across, self.leader, self.doc = rows[0][0], rows[0][1] != rows[0][2], cols[4], cols[5]
+        self.comp = np.unique(np.array(cols[6], object).astype(str), return_inverse=True)[1]
+        self.own, self.n = np.array(cols[3]), np.array(cols[7], float)
+        self.sketch = np.frombuffer(b"".join(cols[8]), np.uint8).reshape(len(rows), -1)
+        self.bands = np.array(cols[9], np.int64)
+        self.least = least
+
+    def partners(self, k: int) -> np.ndarray:
+        """Rows behind row k, of other components, that sizes and sketches don't exclude, best first.
+
+        A pair that shares several bands counts in the first of them only, and one with the leader has been verified.
+        """
+        rest = slice(k + 1, None)
+        ok = (self.comp[rest] != self.comp[k]) & (np.minimum(self.n[rest], self.n[k]) >= (self.least + SLACK) * np.maximum(self.n[rest], self.n[k]) - 1e-9)
+        if self.across:
+            ok &= self.own[rest] != self.own[k]
+        at = np.flatnonzero(ok) + k + 1
+        if not len(at):
+            return at
+        like = (self.sketch[at] == self.sketch[k]).mean(1)
+        same = self.bands[at] == self.bands[k]
+        ok = (like >= self.least) & (self.bands[k][same.argmax(1)] == self.bucket)
+        at = at[ok][np.argsort(-like[ok], kind="stable")]
+        return np.array([x for x in at.tolist() if self.leader[k] not in (self.doc[k], self.doc[x]) and self.doc[k] != self.doc[x]], np.int64)
+
+
+def _grouped(batches, width: int):
+    """Rows of consecutive batches as lists of equal first ``width`` fields."""
+    group, rows = None, []
+    for batch in batches:
+        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if row[:width] != group:
+                if rows:
+                    yield rows
+                group, rows = row[:width], []
+            rows.append(row)
+    if rows:
+        yield rows
+
+
+def _rest(members: DataFrame, texts: DataFrame, kind: str, shingle: int, percent: int) -> DataFrame:
+    """Links across components among the members of a bucket. members: bucket, leader, size, doc, comp, n, sketch, bands.
+
+    Buckets are dealt in pairs of blocks. A first pass on sketches finds the members that have any open pair; only their texts go to the
+    second, which verifies the pairs where they meet and gives the links that join components, never the pairs.
+    """
+    least = percent / 100 - SLACK
     blocks = members.withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("own", F.expr("int(pmod(xxhash64(doc), blocks))"))
     spread = blocks.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
-    dealt = spread.select("bucket", "i", "j", "own", "leader", "doc", "comp", "n", "sketch").repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
-
-    def compare(rows, own_type):
-        _, i, j, own, leader, doc, comp, n, sketch = zip(*rows, strict=True)
-        s = np.frombuffer(b"".join(sketch), np.uint8).reshape(len(rows), -1)
-        comps = np.unique(np.array(comp, object).astype(str), return_inverse=True)[1]
-        n, own = np.array(n, float), np.array(own)
-        left, right = [], []
-        for k in range(len(rows)):
-            rest = slice(k + 1, None)
-            ok = (comps[rest] != comps[k]) & (np.minimum(n[rest], n[k]) >= (least + SLACK) * np.maximum(n[rest], n[k]) - 1e-9)
-            if i[0] != j[0]:
-                ok &= own[rest] != own[k]
-            at = np.flatnonzero(ok)
-            if len(at):
-                at = at[(s[k + 1 + at] == s[k]).mean(1) >= least]
-            for x in (at + k + 1).tolist():
-                a, b = (doc[k], doc[x]) if doc[k] < doc[x] else (doc[x], doc[k])
-                if a != leader[k] and a != b:
-                    left.append(a)
-                    right.append(b)
-        return pa.RecordBatch.from_arrays([pa.array(left, own_type), pa.array(right, own_type)], names=["a", "b"])
-
-    def run(batches):
-        group, rows, own_type = None, [], None
-        for batch in batches:
-            own_type = batch.column(5).type
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if row[:3] != group:
-                    if len(rows) > 1:
-                        yield compare(rows, own_type)
-                    group, rows = row[:3], []
-                rows.append(row)
-        if len(rows) > 1:
-            yield compare(rows, own_type)
-
-    return dealt.mapInArrow(run, f"a {kind}, b {kind}").distinct()
+    names = ["bucket", "i", "j", "own", "leader", "doc", "comp", "n", "sketch", "bands"]
+    schema = f"bucket long, i int, j int, own int, leader {kind}, doc {kind}, comp {kind}, n long, sketch binary, bands array<long>"
+
+    def open_rows(batches):
+        for rows in _grouped(batches, 3):
+            if len(rows) > 1:
+                group, needed = _Group(rows, least), set()
+                for k in range(len(rows)):
+                    if len(at := group.partners(k)):
+                        needed.update(at.tolist())
+                        needed.add(k)
+                if needed:
+                    yield pa.RecordBatch.from_pylist([dict(zip(names, rows[k], strict=True)) for k in sorted(needed)], schema=arrow)
+
+    def verify(batches):
+        for rows in _grouped(batches, 3):
+            if len(rows) < 2:
+                continue
+            group, links = _Group(rows, least), []
+            sets = shingle_sets([r[10] for r in rows], shingle)
+            up = list(range(int(group.comp.max()) + 1))
+
+            def root(c, up=up):
+                while up[c] != c:
+                    up[c] = up[up[c]]
+                    c = up[c]
+                return c
+
+            for k in range(len(rows)):
+                for x in group.partners(k).tolist():
+                    if (c := root(group.comp[k])) != (d := root(group.comp[x])):
+                        both = len(np.intersect1d(sets[k], sets[x], assume_unique=True))
+                        if 100 * both >= percent * (len(sets[k]) + len(sets[x]) - both) and both:
+                            up[c] = d
+                            links.append((group.doc[k], group.doc[x]))
+            if links:
+                yield pa.RecordBatch.from_pylist([{"a": min(p), "b": max(p)} for p in links], schema=pair)
+
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    arrow, pair = to_arrow_schema(StructType.fromDDL(schema)), to_arrow_schema(StructType.fromDDL(f"a {kind}, b {kind}"))
+    needed = spread.select(*names).repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j").mapInArrow(open_rows, schema)
+    with_text = needed.join(texts.hint("merge"), "doc").select(*names, "text").repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
+    return with_text.mapInArrow(verify, f"a {kind}, b {kind}").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -316,6 +374,8 @@ def _links(reps: DataFrame, texts: DataFrame, sig: DataFrame, kind: str, shingle
     leads = met.groupBy("bucket").agg(F.min("rep").alias("leader"), F.count(F.lit(1)).alias("size")).filter("size > 1")
     members = materialise(met.join(leads, "bucket").select("bucket", "leader", "size", F.col("rep").alias("doc")), "buckets")
     pairs = materialise(members.filter("doc <> leader").select(F.col("leader").alias("a"), F.col("doc").alias("b")).distinct(), "pairs")
+    # the ids have no bound, so the texts that are needed are found by a merge join; both steps below then use these only
+    texts = materialise(texts.join(members.select("doc").distinct().hint("merge"), "doc", "left_semi"), "texts")
     # an id whose rows hold different sets is one document: the smaller ids of its sets belong together
     own = sig.filter("n > 0 and doc is not null").select("doc", "p1", "p2", "n").distinct()
     twice = own.join(own.groupBy("doc").count().filter("count > 1").select("doc"), "doc").join(reps.select("p1", "p2", "n", "rep"), ["p1", "p2", "n"])
@@ -323,12 +383,9 @@ def _links(reps: DataFrame, texts: DataFrame, sig: DataFrame, kind: str, shingle
     comp = components(links)
     labelled = members.filter("size > 2").join(comp.withColumnRenamed("doc", "doc_"), F.col("doc") == F.col("doc_"), "left").select("bucket", "leader", "size", "doc", F.coalesce("comp", "doc").alias("comp"))
     several = labelled.groupBy("bucket").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y").select("bucket")
-    open_ = labelled.join(several, "bucket").join(reps.select(F.col("rep").alias("doc"), "n", "sketch"), "doc")
-    left = _rest(open_, kind, percent / 100 - SLACK).join(pairs, ["a", "b"], "left_anti")
-    left = materialise(left, "rest")
-    if not left.take(1):
-        return links
-    return links.unionByName(_verify(left, texts, kind, shingle, percent)).distinct()
+    open_ = labelled.join(several, "bucket").join(reps.select(F.col("rep").alias("doc"), "n", "sketch", "bands"), "doc")
+    more = materialise(_rest(open_, texts, kind, shingle, percent), "more-links")
+    return links.unionByName(more)
 
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
