@@ -16,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from bytequarry.llm._common import tokenizer_path
@@ -23,89 +24,117 @@ from bytequarry.llm._common import tokenizer_path
 CAPACITY, MAX_SEGMENTS, END_ID = 4096, 1024, 2
 #: Pieces that wait for a place at a time.
 POOL = 1024
-#: Entries of a worker's cache of tokenised words; it is emptied when full.
-CACHE = 300_000
+#: Entries of each of a worker's two caches of tokenised pieces; one is emptied when full.
+CACHE = 600_000
+#: Bytes of text that are tokenised at once.
+SLICE = 8_000_000
 
-_WORD = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?*$%&#|()\-+/=\"]*)")
-_ODD = re.compile(r"<\||[\x00\x1c-\x1f\x85\ud800-\udfff]")
+#: What the tokenizer's own pattern gives on lower-cased text up to U+00FF, and line feeds.
+_LATIN = re.compile(r"\n|'(?:s|t|re|ve|m|ll|d)|[a-zªµºß-öø-ÿ]+|[0-9²³¹¼½¾]|[^\t-\r \x85\xa0a-zªµºß-öø-ÿ0-9²³¹¼½¾]+")
+_LETTERS = re.compile(r"[a-zß-öø-ÿ]+")
+#: Strings of special tokens, and white space to Arrow that isn't to the tokenizer.
+_ODD = r"<\||[\x1c-\x1f]"
 
 
 class Tokenizer:
     """Ids of a text as little-endian unsigned 32-bit bytes, the same as ``encode(text, add_special_tokens=False)``.
 
-    The tokenizer drops white space and never joins across it, so a text's ids are those of its words. Words are
-    cached; words of Latin letters with punctuation behind are looked up apart, and unknown ones are encoded
-    together and told apart by their last token, which ends in ``</w>``. Texts with anything that could reach across a
-    space (special tokens, combining marks, odd white space) are encoded whole.
+    The tokenizer drops white space and never joins across it. Arrow cuts the texts at white space and numbers the distinct
+    chunks, whose ids are cached; the ids of all texts are then gathered in numpy. An unknown chunk up to U+00FF is cut by the
+    tokenizer's own pattern, and its unknown words of letters are encoded together and told apart by their last token,
+    which ends in ``</w>``; other unknown pieces are encoded one by one, and texts with the strings of special tokens whole.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer as Tok
 
         self.tok = Tok.from_file(path)
-        self.words: dict[str, bytes] = {}
-        self.letters: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
+        self.chunks: dict[str, bytes] = {"": b""}
         size = self.tok.get_vocab_size()
         self.ends = np.array([(self.tok.id_to_token(k) or "").endswith("</w>") for k in range(size)])
 
     def _plain(self, text: str) -> bytes:
         return np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _learn(self, missing: set[str]) -> None:
-        if len(self.words) + len(missing) > CACHE:
-            self.words.clear()
-        if len(self.letters) > CACHE:
-            self.letters.clear()
-        whole, split = [], []
-        for w in missing:
-            m = _WORD.fullmatch(w)
-            if m:
-                split.append((w, m[1].lower(), m[2]))
-            else:
-                whole.append(w)
-        new = list({x for _, a, b in split for x in (a, b) if x and x not in self.letters})
-        for k in range(0, len(new), 4000):
-            part = new[k : k + 4000]
-            ids = np.array(self.tok.encode(" ".join(part), add_special_tokens=False).ids, "<u4")
+    def _learn(self, missing: list[str]) -> None:
+        """Put the ids of lower-case pieces in the cache."""
+        cache = self.pieces
+        words = [w for w in missing if _LETTERS.fullmatch(w)]
+        for k in range(0, len(words), 4000):
+            part = words[k : k + 4000]
+            ids = np.array(self.tok.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
             cuts = np.flatnonzero(self.ends[ids]) + 1
             if len(cuts) == len(part):
                 data, at = ids.tobytes(), 0
                 for x, c in zip(part, (cuts * 4).tolist(), strict=True):
-                    self.letters[x] = data[at:c]
+                    cache[x] = data[at:c]
                     at = c
-            else:
-                for x in part:
-                    self.letters[x] = self._plain(x)
-        letters = self.letters
-        for w, a, b in split:
-            self.words[w] = letters[a] + letters[b] if b else letters[a]
-        for w, x in zip(whole, self.tok.encode_batch_fast(whole, add_special_tokens=False), strict=True) if whole else ():
-            self.words[w] = np.array(x.ids, "<u4").tobytes()
-
-    def encode_all(self, texts: list[str | None]) -> Iterator[bytes]:
-        """Ids of each text, in slices of about a million characters."""
+        rest = [w for w in missing if w not in cache]
+        for w, x in zip(rest, self.tok.encode_batch_fast(rest, add_special_tokens=False), strict=True) if rest else ():
+            cache[w] = np.array(x.ids, "<u4").tobytes()
+
+    def _learn_chunks(self, missing: list[str]) -> None:
+        other = [c for c in missing if not (c.isascii() or _is_latin(c))]
+        for c, x in zip(other, self.tok.encode_batch_fast(other, add_special_tokens=False), strict=True) if other else ():
+            self.chunks[c] = np.array(x.ids, "<u4").tobytes()
+        latin = [c for c in missing if c.isascii() or _is_latin(c)] if other else missing
+        tokens = _LATIN.findall("\n".join([*latin, ""]).lower())
+        seen = set(tokens) - {"\n"}
+        new = seen.difference(self.pieces)
+        if len(self.pieces) + len(new) > CACHE:
+            self.pieces.clear()
+            new = seen
+        self.pieces["\n"] = b""
+        self._learn(list(new))
+        found = list(map(self.pieces.__getitem__, tokens))
+        ends = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)))
+        cuts = ends[[k for k, t in enumerate(tokens) if t == "\n"]].tolist()
+        data, at = b"".join(found), 0
+        for c, end in zip(latin, cuts, strict=True):
+            self.chunks[c] = data[at:end]
+            at = end
+
+    def encode_all(self, texts: pa.Array | list) -> Iterator[bytes]:
+        """Ids of each text, in slices of about SLICE bytes; none for a null."""
+        texts = pc.fill_null(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()), "")
+        sizes = pc.binary_length(texts).to_numpy(zero_copy_only=False)
         at = 0
         while at < len(texts):
-            end, size = at, 0
-            while end < len(texts) and (end == at or size < 1_000_000):
-                size += len(texts[end] or "")
-                end += 1
-            odd = [bool(t) and _ODD.search(t) is not None for t in texts[at:end]]
-            chunks = [[] if o or not t else t.split() for t, o in zip(texts[at:end], odd, strict=True)]
-            seen: set[str] = set()
-            for c in chunks:
-                seen.update(c)
-            get = self.words
-            missing = seen.difference(get)
-            if missing:
-                if len(get) + len(missing) > CACHE:
-                    get.clear()
-                    missing = seen
-                self._learn(missing)
-            for t, o, c in zip(texts[at:end], odd, chunks, strict=True):
-                yield self._plain(t.encode("utf-8", "replace").decode()) if o else b"".join(map(get.__getitem__, c))
+            end = at + max(1, int(np.searchsorted(np.cumsum(sizes[at:]), SLICE)))
+            yield from self._slice(texts.slice(at, end - at))
             at = end
 
+    def _slice(self, texts: pa.Array) -> Iterator[bytes]:
+        odd = pc.match_substring_regex(texts, _ODD).to_numpy(zero_copy_only=False)
+        lists = pc.utf8_split_whitespace(pc.if_else(pa.array(odd), "", texts) if odd.any() else texts)
+        coded = lists.flatten().dictionary_encode()
+        which, names = coded.indices.to_numpy(), coded.dictionary.to_pylist()
+        missing = set(names).difference(self.chunks)
+        if missing:
+            if len(self.chunks) + len(missing) > CACHE:
+                self.chunks = {"": b""}
+                missing = set(names) - {""}
+            self._learn_chunks(list(missing))
+        found = list(map(self.chunks.__getitem__, names))
+        size = np.fromiter(map(len, found), np.int64, len(found)) >> 2
+        first = np.cumsum(size) - size
+        data = np.frombuffer(b"".join(found), "<u4")
+        n = size[which]
+        ends = np.cumsum(n)
+        ids = data[np.repeat(first[which] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)]
+        at = np.r_[0, ends][np.r_[0, np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))]].tolist()
+        for k in range(len(texts)):
+            yield self._plain(texts[k].as_py()) if odd[k] else ids[at[k] : at[k + 1]].tobytes()
+
+
+def _is_latin(t: str) -> bool:
+    try:
+        t.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
 
 class Packer:
     """One stream's packer. Items are (key, start, ids as bytes, a byte of 1 for each loss-bearing position and 0 for others, or None if all bear loss)."""
@@ -248,11 +277,11 @@ def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", prompt_c
 
         for batch in batches:
             id_type = batch.schema.field(0).type
-            for k in range(0, batch.num_rows, 500):
-                piece = batch.slice(k, 500)
+            for k in range(0, batch.num_rows, 10_000):
+                piece = batch.slice(k, 10_000)
                 keys = piece.column(0).to_pylist()
-                texts = tok.encode_all(piece.column(1).to_pylist())
-                prompts = tok.encode_all(piece.column(2).to_pylist()) if prompt_col else None
+                texts = tok.encode_all(piece.column(1))
+                prompts = tok.encode_all(piece.column(2)) if prompt_col else None
                 for key, ids in zip(keys, texts, strict=True):
                     head = next(prompts) if prompts else b""
                     whole = head + ids + end
