@@ -1,0 +1 @@
+"""Search and mining of document corpora as sequences of bytes, on Spark."""
