@@ -26,6 +26,8 @@ SWITCH, CLIP, OTHER_SCRIPT = 10.0, 12.0, -30.0
 UND = "und"
 #: Characters that are scored at once, and words that Viterbi takes at once.
 CHARS, WORDS = 1 << 20, 1 << 20
+#: Rows that a worker labels at once.
+ROWS = 5000
 
 #: First code points of script ranges; a script runs to the next one's start. Number 0 is Latin and what is listed nowhere.
 _SCRIPTS = ((0x0, 0), (0x370, 1), (0x400, 2), (0x530, 3), (0x590, 4), (0x600, 5), (0x700, 6), (0x750, 5), (0x780, 7), (0x8A0, 5), (0x900, 8), (0x980, 9), (0xA00, 10), (0xA80, 11), (0xB00, 12), (0xB80, 13), (0xC00, 14), (0xC80, 15), (0xD00, 16), (0xD80, 17), (0xE00, 18), (0xE80, 19), (0xF00, 20), (0x1000, 21), (0x10A0, 22), (0x1100, 23), (0x1200, 24), (0x13A0, 25), (0x1400, 26), (0x1780, 27), (0x1800, 28), (0x1C80, 2), (0x1C90, 22), (0x1D00, 0), (0x1F00, 1), (0x2000, 0), (0x2C00, 0), (0x2C60, 0), (0x2D00, 22), (0x2D30, 29), (0x2D80, 24), (0x2DE0, 2), (0x2E80, 30), (0x3040, 31), (0x3100, 32), (0x3130, 23), (0x3190, 30), (0x4DC0, 30), (0xA000, 33), (0xA4D0, 0), (0xA640, 2), (0xA6A0, 0), (0xAC00, 23), (0xD7B0, 23), (0xF900, 30), (0xFB00, 0), (0xFB1D, 4), (0xFB50, 5), (0xFE00, 0), (0xFE70, 5), (0xFF00, 0), (0xFF66, 31), (0x10000, 34), (0x20000, 30), (0x30000, 30), (0x32000, 0))
@@ -230,7 +232,7 @@ def identify(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang
         return {id_col: ids, "held_out": held, "lang_pred": [g[0] for g in got], "score": [g[1] for g in got], "spans": [g[2] for g in got]}
 
     flag = "held_out" if id_col.lower() != "held_out" else "held_out_"
-    return map_rows(df.select(F.col(id_col), held_out(id_col).alias(flag), F.col(text_col)), run, [id_col, flag, text_col], f"`{id_col}` {kind}, held_out boolean, lang_pred string, score double, spans string", rows=10_000)
+    return map_rows(df.select(F.col(id_col), held_out(id_col).alias(flag), F.col(text_col)), run, [id_col, flag, text_col], f"`{id_col}` {kind}, held_out boolean, lang_pred string, score double, spans string", rows=ROWS)
 
 
 def keep_known(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", min_score: float = 0.5) -> DataFrame:
@@ -240,7 +242,9 @@ def keep_known(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
 
     def run(batches):
         for batch in batches:
-            got = label(batch.column(at).to_pylist(), model.value)
-            yield batch.filter(pa.array([g[0] != UND and g[1] >= min_score for g in got], pa.bool_()))
+            for k in range(0, batch.num_rows, ROWS):
+                piece = batch.slice(k, ROWS)
+                got = label(piece.column(at).to_pylist(), model.value)
+                yield piece.filter(pa.array([g[0] != UND and g[1] >= min_score for g in got], pa.bool_()))
 
     return df.mapInArrow(run, df.schema)

@@ -25,9 +25,9 @@ CAPACITY, MAX_SEGMENTS, END_ID = 4096, 1024, 2
 #: Pieces that wait for a place at a time.
 POOL = 1024
 #: Entries of each of a worker's two caches of tokenised pieces; one is emptied when full.
-CACHE = 600_000
+CACHE = 300_000
 #: Bytes of text that are tokenised at once.
-SLICE = 8_000_000
+SLICE = 4_000_000
 
 #: What the tokenizer's own pattern gives on lower-cased text up to U+00FF, and line feeds.
 _LATIN = re.compile(r"\n|'(?:s|t|re|ve|m|ll|d)|[a-zªµºß-öø-ÿ]+|[0-9²³¹¼½¾]|[^\t-\r \x85\xa0a-zªµºß-öø-ÿ0-9²³¹¼½¾]+")
