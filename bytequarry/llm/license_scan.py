@@ -120,9 +120,11 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", texts=TE
     share = F.size(F.array_intersect("sh", "t")) / F.size("t")
     checked = met.join(put(temps.select("template", "license", F.col("sh").alias("t"))), "template").withColumn("containment", share).filter(F.col("containment") >= least)
     best = checked.groupBy("doc", "template", "license").agg(F.max("containment").alias("containment"), F.countDistinct("class", "win").alias("n_windows"), F.min("a").alias("a"), F.max("b").alias("b"))
-    rivals = put(_rivals(temps))
-    beaten = best.join(rivals, "template").groupBy("doc", F.col("rival").alias("template")).agg(F.max("containment").alias("other"))
-    kept = best.unionByName(beaten, allowMissingColumns=True).groupBy("doc", "template").agg(*(F.max(c).alias(c) for c in ("license", "containment", "n_windows", "a", "b", "other"))).filter("containment is not null and (other is null or other <= containment)")
+    lists = _rivals(temps).groupBy("template").agg(F.collect_list("rival").alias("rivals"))
+    keyed = best.join(put(lists), "template", "left").withColumn("key", F.explode(F.concat(F.array("template"), F.coalesce("rivals", F.array().cast("array<int>")))))
+    own = F.col("key") == F.col("template")
+    told = keyed.groupBy("doc", "key").agg(*(F.max(F.when(own, F.col(c))).alias(c) for c in ("license", "containment", "n_windows", "a", "b")), F.max(F.when(~own, F.col("containment"))).alias("other"))
+    kept = told.filter("containment is not null and (other is null or other <= containment)")
     return kept.groupBy("doc", "license").agg(F.max("containment").alias("containment"), F.sum("n_windows").alias("n_windows"), F.min("a").cast("long").alias("first_word"), (F.max("b") + SHINGLE - 1).cast("long").alias("last_word")).withColumnRenamed("doc", id_col)
 
 
