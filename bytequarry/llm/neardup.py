@@ -194,9 +194,11 @@ def signatures(df: DataFrame, id_col: str, text_col: str, shingle: int = SHINGLE
 
 
 def _verify(pairs: DataFrame, texts: DataFrame, kind: str, shingle: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of documents whose full sets reach the threshold. A leader's text goes once to every SALT of its partners."""
-    many = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / SALT).alias("parts"))
-    salted = pairs.join(many, "a").select("a", "b", F.expr("pmod(xxhash64(b), parts)").alias("salt"))
+    """The pairs (a, b) of documents whose full sets reach the threshold. A leader's text goes once to about every SALT of its partners.
+
+    ``size`` is that of the largest bucket where a pair met, so the parts of a leader are known without counting its pairs in one task.
+    """
+    salted = pairs.select("a", "b", F.expr(f"pmod(xxhash64(b), ceil(size / {SALT}))").alias("salt"))
     work = salted.select("a", "salt", F.col("b").alias("doc"), F.lit(1).alias("side")).unionByName(salted.select("a", "salt", F.col("a").alias("doc"), F.lit(0).alias("side")).distinct())
     joined = work.join(texts.hint("merge"), "doc").select("a", "salt", "side", "doc", "text").repartition("a", "salt").sortWithinPartitions("a", "salt", "side")
 
@@ -373,7 +375,7 @@ def _links(reps: DataFrame, texts: DataFrame, sig: DataFrame, kind: str, shingle
     met = reps.select("rep", F.explode("bands").alias("bucket"))
     leads = met.groupBy("bucket").agg(F.min("rep").alias("leader"), F.count(F.lit(1)).alias("size")).filter("size > 1")
     members = materialise(met.join(leads, "bucket").select("bucket", "leader", "size", F.col("rep").alias("doc")), "buckets")
-    pairs = materialise(members.filter("doc <> leader").select(F.col("leader").alias("a"), F.col("doc").alias("b")).distinct(), "pairs")
+    pairs = materialise(members.filter("doc <> leader").groupBy(F.col("leader").alias("a"), F.col("doc").alias("b")).agg(F.max("size").alias("size")), "pairs")
     # the ids have no bound, so the texts that are needed are found by a merge join; both steps below then use these only
     texts = materialise(texts.join(members.select("doc").distinct().hint("merge"), "doc", "left_semi"), "texts")
     # an id whose rows hold different sets is one document: the smaller ids of its sets belong together
