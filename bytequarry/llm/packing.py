@@ -24,14 +24,18 @@ from bytequarry.llm._common import tokenizer_path
 CAPACITY, MAX_SEGMENTS, END_ID = 4096, 1024, 2
 #: Pieces that wait for a place at a time.
 POOL = 1024
-#: Entries of each of a worker's two caches of tokenised pieces; one is emptied when full.
-CACHE = 300_000
+#: Bytes that a worker's cache of tokenised pieces may hold; it is emptied when it has more.
+CACHE = 150_000_000
 #: Bytes of text that are tokenised at once.
-SLICE = 4_000_000
-
-#: What the tokenizer's own pattern gives on lower-cased text up to U+00FF, and line feeds.
-_LATIN = re.compile(r"\n|'(?:s|t|re|ve|m|ll|d)|[a-zªµºß-öø-ÿ]+|[0-9²³¹¼½¾]|[^\t-\r \x85\xa0a-zªµºß-öø-ÿ0-9²³¹¼½¾]+")
-_LETTERS = re.compile(r"[a-zß-öø-ÿ]+")
+SLICE = 8_000_000
+
+#: In a chunk without white space: all of it if it goes beyond U+00FF, else what the tokenizer's own pattern cuts off from runs of letters.
+_SPACE = r"\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+_LETTER = "A-Za-zªµºÀ-ÖØ-öø-ÿ"
+_CUT = rf"[^{_SPACE}]*[^\x{{0}}-\x{{ff}}{_SPACE}][^{_SPACE}]*|'(?:s|t|re|ve|m|ll|d)|[0-9²³¹¼½¾]|[^{_SPACE}{_LETTER}0-9²³¹¼½¾]+"
+_LETTERS = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+")
+#: The characters that stand for bytes: printable Latin-1 for itself, and the rest in order from U+0100.
+_BYTES = {b: 256 + n for n, b in enumerate(b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174))}
 #: Strings of special tokens, and white space to Arrow that isn't to the tokenizer.
 _ODD = r"<\||[\x1c-\x1f]"
 
@@ -39,10 +43,10 @@ _ODD = r"<\||[\x1c-\x1f]"
 class Tokenizer:
     """Ids of a text as little-endian unsigned 32-bit bytes, the same as ``encode(text, add_special_tokens=False)``.
 
-    The tokenizer drops white space and never joins across it. Arrow cuts the texts at white space and numbers the distinct
-    chunks, whose ids are cached; the ids of all texts are then gathered in numpy. An unknown chunk up to U+00FF is cut by the
-    tokenizer's own pattern, and its unknown words of letters are encoded together and told apart by their last token,
-    which ends in ``</w>``; other unknown pieces are encoded one by one, and texts with the strings of special tokens whole.
+    The tokenizer drops white space and never joins across it, nor across the borders of runs of letters. Arrow cuts the
+    texts there, numbers the distinct pieces and strings their cached ids together. Unknown words of letters go to the
+    model itself, as characters that stand for their bytes; other unknown pieces are encoded one by one, and texts
+    with the strings of special tokens whole.
     """
 
     def __init__(self, path: str):
@@ -50,50 +54,26 @@ class Tokenizer:
 
         self.tok = Tok.from_file(path)
         self.pieces: dict[str, bytes] = {}
-        self.chunks: dict[str, bytes] = {"": b""}
-        size = self.tok.get_vocab_size()
-        self.ends = np.array([(self.tok.id_to_token(k) or "").endswith("</w>") for k in range(size)])
+        self.held = 0
 
     def _plain(self, text: str) -> bytes:
         return np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def _learn(self, missing: list[str]) -> None:
-        """Put the ids of lower-case pieces in the cache."""
+        """Put the ids of pieces in the cache."""
         cache = self.pieces
-        words = [w for w in missing if _LETTERS.fullmatch(w)]
-        for k in range(0, len(words), 4000):
-            part = words[k : k + 4000]
-            ids = np.array(self.tok.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
-            cuts = np.flatnonzero(self.ends[ids]) + 1
-            if len(cuts) == len(part):
-                data, at = ids.tobytes(), 0
-                for x, c in zip(part, (cuts * 4).tolist(), strict=True):
-                    cache[x] = data[at:c]
-                    at = c
-        rest = [w for w in missing if w not in cache]
+        words = [w for w in missing if w.isalpha() and (w.isascii() or _LETTERS.fullmatch(w))]
+        ids, cuts, split = [], [0], self.tok.model.tokenize
+        for w in words:
+            ids += [t.id for t in split(w if w.isascii() else w.lower().encode().decode("latin-1").translate(_BYTES))]
+            cuts.append(4 * len(ids))
+        data = np.array(ids, "<u4").tobytes()
+        cache.update(zip(words, map(data.__getitem__, map(slice, cuts, cuts[1:])), strict=False))
+        self.held += len(data) + sum(map(len, words)) + 190 * len(words)
+        rest = [m for m in missing if m not in cache]
         for w, x in zip(rest, self.tok.encode_batch_fast(rest, add_special_tokens=False), strict=True) if rest else ():
             cache[w] = np.array(x.ids, "<u4").tobytes()
-
-    def _learn_chunks(self, missing: list[str]) -> None:
-        other = [c for c in missing if not (c.isascii() or _is_latin(c))]
-        for c, x in zip(other, self.tok.encode_batch_fast(other, add_special_tokens=False), strict=True) if other else ():
-            self.chunks[c] = np.array(x.ids, "<u4").tobytes()
-        latin = [c for c in missing if c.isascii() or _is_latin(c)] if other else missing
-        tokens = _LATIN.findall("\n".join([*latin, ""]).lower())
-        seen = set(tokens) - {"\n"}
-        new = seen.difference(self.pieces)
-        if len(self.pieces) + len(new) > CACHE:
-            self.pieces.clear()
-            new = seen
-        self.pieces["\n"] = b""
-        self._learn(list(new))
-        found = list(map(self.pieces.__getitem__, tokens))
-        ends = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)))
-        cuts = ends[[k for k, t in enumerate(tokens) if t == "\n"]].tolist()
-        data, at = b"".join(found), 0
-        for c, end in zip(latin, cuts, strict=True):
-            self.chunks[c] = data[at:end]
-            at = end
+            self.held += 4 * len(w) + len(cache[w]) + 190
 
     def encode_all(self, texts: pa.Array | list) -> Iterator[bytes]:
         """Ids of each text, in slices of about SLICE bytes; none for a null."""
@@ -107,33 +87,21 @@ class Tokenizer:
 
     def _slice(self, texts: pa.Array) -> Iterator[bytes]:
         odd = pc.match_substring_regex(texts, _ODD).to_numpy(zero_copy_only=False)
-        lists = pc.utf8_split_whitespace(pc.if_else(pa.array(odd), "", texts) if odd.any() else texts)
+        plain = pc.ascii_lower(pc.if_else(pa.array(odd), "", texts) if odd.any() else texts)
+        lists = pc.utf8_split_whitespace(pc.replace_substring_regex(plain, _CUT, r" \0 "))
         coded = lists.flatten().dictionary_encode()
-        which, names = coded.indices.to_numpy(), coded.dictionary.to_pylist()
-        missing = set(names).difference(self.chunks)
-        if missing:
-            if len(self.chunks) + len(missing) > CACHE:
-                self.chunks = {"": b""}
-                missing = set(names) - {""}
-            self._learn_chunks(list(missing))
-        found = list(map(self.chunks.__getitem__, names))
-        size = np.fromiter(map(len, found), np.int64, len(found)) >> 2
-        first = np.cumsum(size) - size
-        data = np.frombuffer(b"".join(found), "<u4")
-        n = size[which]
-        ends = np.cumsum(n)
-        ids = data[np.repeat(first[which] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)]
-        at = np.r_[0, ends][np.r_[0, np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))]].tolist()
+        names = coded.dictionary.to_pylist()
+        if self.held > CACHE:
+            self.pieces, self.held = {"": b""}, 0
+        self.pieces.setdefault("", b"")
+        if missing := set(names).difference(self.pieces):
+            self._learn(list(missing))
+        ids = pa.array(map(self.pieces.__getitem__, names), pa.large_binary()).take(coded.indices)
+        ends = np.frombuffer(ids.buffers()[1], np.int64)[ids.offset : ids.offset + len(ids) + 1] if len(ids) else np.zeros(1, np.int64)
+        data = memoryview(ids.buffers()[2] or b"") if len(ids) else memoryview(b"")
+        at = ends[np.r_[0, np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))]].tolist()
         for k in range(len(texts)):
-            yield self._plain(texts[k].as_py()) if odd[k] else ids[at[k] : at[k + 1]].tobytes()
-
-
-def _is_latin(t: str) -> bool:
-    try:
-        t.encode("latin-1")
-    except UnicodeEncodeError:
-        return False
-    return True
+            yield self._plain(texts[k].as_py()) if odd[k] else data[at[k] : at[k + 1]].tobytes()
 
 
 class Packer:
