@@ -17,6 +17,8 @@ from bytequarry.llm._common import map_rows, materialise
 
 #: Turns in a part.
 PART = 256
+#: Groups in which the parts of a long conversation meet its participants.
+SPREAD = 32
 START, END = "<|im_start|>", "<|im_end|>"
 SYSTEM = "system"
 
@@ -51,14 +53,14 @@ def rotate(df: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", spe
     """
     kind = df.schema[conv_col].dataType.simpleString()
     turns = df.select(F.col(conv_col).alias("conv"), F.col(turn_col).alias("turn"), F.col(speaker_col).cast("string").alias("who"), F.col(text_col).cast("string").alias("said"))
-    sizes = turns.groupBy("conv").agg(F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_set(F.when(F.col("who") != system, F.col("who")))).alias("all_who"))
-    long = materialise(sizes.filter(F.col("n") > part), "long-conversations")
-    same = turns["conv"].eqNullSafe(long["conv"])
-    short = turns.join(long.select("conv"), same, "left_anti")
+    sizes = turns.groupBy("conv").agg(F.count(F.lit(1)).alias("n"))
+    long = materialise(sizes.filter(F.col("n") > part).select("conv"), "long-conversations")
+    short = turns.join(long, turns["conv"].eqNullSafe(long["conv"]), "left_anti")
     gathered = short.groupBy("conv").agg(F.sort_array(F.collect_list(F.struct("turn", "who", "said"))).alias("turns"), F.sort_array(F.collect_set(F.when(F.col("who") != system, F.col("who")))).alias("all_who")).select("conv", F.lit(0).cast("long").alias("part"), "all_who", "turns")
+    everyone = F.when(F.size("all_who") > 0, F.col("all_who")).otherwise(F.array(F.lit(None).cast("string")))
+    views = gathered.select("conv", "part", "turns", F.explode(everyone).alias("participant"))
     if long.take(1):
-        gathered = gathered.unionByName(_long_parts(turns, long, part))
-    views = gathered.select("conv", "part", "turns", F.explode(F.when(F.size("all_who") > 0, F.col("all_who")).otherwise(F.array(F.lit(None).cast("string")))).alias("participant"))
+        views = views.unionByName(_long_views(turns, long, part, system))
 
     def run(convs, parts, lists, whos):
         out = {k: [] for k in ("conv", "participant", "part", "n_turns", "rendered", "mask", "n_loss")}
@@ -72,13 +74,20 @@ def rotate(df: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", spe
     return got.withColumnRenamed("conv", conv_col)
 
 
-def _long_parts(turns: DataFrame, long: DataFrame, part: int) -> DataFrame:
-    """Parts of the long conversations: a sort over range partitions, ranks from counts per (conversation, partition)."""
-    rows = turns.join(long.select(F.col("conv").alias("conv_"), "all_who"), turns["conv"].eqNullSafe(F.col("conv_")), "inner").drop("conv_")
+def _long_views(turns: DataFrame, long: DataFrame, part: int, system: str) -> DataFrame:
+    """Parts of the long conversations, once for each participant.
+
+    A sort over range partitions and ranks from counts per (conversation, partition) give the parts. The participants may be many,
+    so they are rows and never a list, and a conversation's parts meet them in ``SPREAD`` groups.
+    """
+    rows = turns.join(long.select(F.col("conv").alias("conv_")), turns["conv"].eqNullSafe(F.col("conv_")), "inner").drop("conv_")
     rows = rows.orderBy("conv", "turn", "who", "said", F.rand(7)).withColumn("at", F.monotonically_increasing_id()).withColumn("slot", F.spark_partition_id())
     rows = materialise(rows, "long-turns")
     counts = rows.groupBy("conv", "slot").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("n"))
     w = Window.partitionBy("conv").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
     base = counts.withColumn("before", F.coalesce(F.sum("n").over(w), F.lit(0))).select(F.col("conv").alias("conv_"), F.col("slot").alias("slot_"), (F.col("before") - F.col("first")).alias("shift"))
     ranked = rows.join(base, rows["conv"].eqNullSafe(F.col("conv_")) & (rows["slot"] == F.col("slot_")), "inner").withColumn("part", F.floor((F.col("at") + F.col("shift")) / part))
-    return ranked.groupBy("conv", "part").agg(F.first("all_who").alias("all_who"), F.sort_array(F.collect_list(F.struct("turn", "who", "said"))).alias("turns"))
+    parts = ranked.groupBy("conv", "part").agg(F.sort_array(F.collect_list(F.struct("turn", "who", "said"))).alias("turns")).withColumn("salt", F.pmod("part", F.lit(SPREAD)))
+    speakers = rows.filter(F.col("who") != system).select("conv", F.col("who").alias("participant")).distinct()
+    dealt = speakers.select(F.col("conv").alias("conv_"), "participant", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))).alias("salt_"))
+    return parts.join(dealt, parts["conv"].eqNullSafe(F.col("conv_")) & (parts["salt"] == F.col("salt_")), "left").select("conv", "part", "turns", "participant")
