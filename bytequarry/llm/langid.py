@@ -236,7 +236,10 @@ def identify(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang
 
 
 def keep_known(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", min_score: float = 0.5) -> DataFrame:
-    """The rows of ``df``, unchanged, whose text has a language: not ``und``, and at least ``min_score`` of the letters in it."""
+    """The rows of ``df``, unchanged, whose text has a language: not ``und``, and at least ``min_score`` of the letters in it.
+
+    If no language could be learned, the rows whose text has letters.
+    """
     model = df.sparkSession.sparkContext.broadcast(fit(df.filter(~held_out(id_col)), text_col, lang_col))
     at = df.columns.index(text_col)
 
@@ -244,7 +247,11 @@ def keep_known(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
         for batch in batches:
             for k in range(0, batch.num_rows, ROWS):
                 piece = batch.slice(k, ROWS)
-                got = label(piece.column(at).to_pylist(), model.value)
-                yield piece.filter(pa.array([g[0] != UND and g[1] >= min_score for g in got], pa.bool_()))
+                texts = piece.column(at).to_pylist()
+                if model.value["langs"]:
+                    keep = [g[0] != UND and g[1] >= min_score for g in label(texts, model.value)]
+                else:
+                    keep = [any(map(str.isalpha, t or "")) for t in texts]
+                yield piece.filter(pa.array(keep, pa.bool_()))
 
     return df.mapInArrow(run, df.schema)

@@ -78,8 +78,8 @@ def _shingles(words: str) -> Column:
 
 def templates(spark: SparkSession, texts=TEMPLATES) -> DataFrame:
     """template, license, class, window, stride, sh (distinct shingles) of (license, text) pairs; a pair of under five words, or too long for any class, is an error."""
-    rows = [(k, name, text) for k, (name, text) in enumerate(texts)]
-    df = spark.createDataFrame(rows, "template int, license string, text string").withColumn("w", _words(F.col("text")))
+    rows = F.array(*(F.struct(F.lit(k).alias("template"), F.lit(name).alias("license"), F.lit(text).alias("text")) for k, (name, text) in enumerate(texts)))
+    df = spark.range(1).select(F.inline(rows)).withColumn("w", _words(F.col("text")))
     pick = F.lit(None)
     for k, (longest, window, stride) in reversed(list(enumerate(CLASSES))):
         pick = F.when(F.size("w") <= longest, F.struct(F.lit(k).alias("class"), F.lit(window).alias("window"), F.lit(stride).alias("stride"))).otherwise(pick)
