@@ -39,7 +39,7 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def files(spark: SparkSession, *paths: str) -> DataFrame:
-    """Every regular file under the paths is a document; info is its path."""
+    """Every regular file under the paths is a document; info is its path. Spark's reader passes over files without bytes."""
     found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(list(paths))
     return number(found.select(F.col("path").alias("info"), "content"), ["info"]).select("doc", "info", "content")
 
