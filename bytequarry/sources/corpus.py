@@ -47,7 +47,7 @@ def files(spark: SparkSession, *paths: str) -> DataFrame:
 def from_list(spark: SparkSession, list_path: str, root: str, nul: bool = False) -> DataFrame:
     """The files under ``root`` that a list names, one name a line or, with ``nul``, up to each NUL."""
     reader = spark.read.option("lineSep", "\0") if nul else spark.read
-    names = reader.text(list_path).filter("value <> ''").select(F.concat(F.lit("/"), F.ltrim(F.lit("/"), F.col("value"))).alias("name")).distinct()
+    names = reader.text(list_path).filter("value <> ''").select(F.concat(F.lit("/"), F.ltrim(F.col("value"), F.lit("/"))).alias("name")).distinct()
     all_files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).withColumn("name", F.regexp_replace("path", "^[a-z]+:/*", "/"))
     return number(all_files.join(names, "name").select(F.col("path").alias("info"), "content"), ["info"]).select("doc", "info", "content")
 
