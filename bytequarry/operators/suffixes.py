@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 
 #: Bytes that the first ranking sees.
 FIRST = 8
+#: Bytes of two suffixes that are compared first.
+WINDOW = 64
 
 
 def saved(df: DataFrame, name: str) -> DataFrame:
@@ -68,19 +70,30 @@ def _previous(sa: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def with_lcp(sa: DataFrame, corpus: DataFrame) -> DataFrame:
-    """row, doc, off, lcp: the common prefix with the row before, in bytes (0 for the first)."""
-    text = corpus.select("doc", F.col("content").alias("t"))
-    pairs = _previous(sa, ["doc", "off"]).join(text, "doc").withColumn("mine", F.expr("substring(t, int(off) + 1)")).drop("t")
-    other = text.select(F.col("doc").alias("prev_doc"), F.col("t").alias("u"))
-    both = pairs.join(other, "prev_doc", "left").withColumn("theirs", F.expr("substring(u, int(prev_off) + 1)")).drop("u")
+    """row, doc, off, lcp: the common prefix with the row before, in bytes (0 for the first).
+
+    A round compares ``window`` bytes of both suffixes, so no row ever carries a whole document to the next join; pairs that agree in
+    all of them go on with a window eight times as long. What is read in all grows with the prefixes, not with the documents' squares.
+    """
+    mine, theirs = corpus.select("doc", F.col("content").alias("t")), corpus.select(F.col("doc").alias("prev_doc"), F.col("content").alias("u"))
     # the first position that differs, found by halving
-    steps = F.expr("""
+    step = F.expr("""
         aggregate(sequence(0, 30), named_struct('lo', 0, 'hi', least(length(mine), length(theirs))),
           (s, i) -> if(s.lo >= s.hi, s,
             if(substring(mine, s.lo + 1, (s.lo + s.hi + 1) div 2 - s.lo) = substring(theirs, s.lo + 1, (s.lo + s.hi + 1) div 2 - s.lo),
                named_struct('lo', int((s.lo + s.hi + 1) div 2), 'hi', s.hi), named_struct('lo', s.lo, 'hi', int((s.lo + s.hi + 1) div 2) - 1))),
           s -> s.lo)""")
-    return both.select("row", "doc", "off", F.coalesce(F.when(F.col("prev_doc").isNotNull(), steps), F.lit(0)).cast("long").alias("lcp"))
+    pairs = _previous(sa, ["doc", "off"]).withColumn("lcp", F.lit(0).cast("long"))
+    done, state, window = pairs.filter("prev_doc is null").select("row", "doc", "off", "lcp"), pairs.filter("prev_doc is not null"), WINDOW
+    while True:
+        left = state.join(mine, "doc").withColumn("mine", F.expr(f"substring(t, int(off + lcp) + 1, {window})")).drop("t")
+        both = left.join(theirs, "prev_doc").withColumn("theirs", F.expr(f"substring(u, int(prev_off + lcp) + 1, {window})")).drop("u")
+        got = saved(both.withColumn("step", step).select("row", "doc", "off", "prev_doc", "prev_off", (F.col("lcp") + F.col("step")).alias("lcp"), (F.col("step") == window).alias("more")), "prefixes")
+        done = done.unionByName(got.filter("not more").select("row", "doc", "off", "lcp"))
+        state = got.filter("more").drop("more")
+        if not state.take(1):
+            return done
+        window *= 8
 
 
 def bwt(sa: DataFrame, corpus: DataFrame) -> DataFrame:
