@@ -25,9 +25,9 @@ CAPACITY, MAX_SEGMENTS, END_ID = 4096, 1024, 2
 #: Pieces that wait for a place at a time.
 POOL = 1024
 #: Bytes that a worker's cache of tokenised pieces may hold; it is emptied when it has more.
-CACHE = 150_000_000
+CACHE = 80_000_000
 #: Bytes of text that are tokenised at once.
-SLICE = 8_000_000
+SLICE = 4_000_000
 
 #: In a chunk without white space: all of it if it goes beyond U+00FF, else what the tokenizer's own pattern cuts off from runs of letters.
 _SPACE = r"\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
