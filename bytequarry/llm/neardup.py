@@ -11,7 +11,7 @@
    their signatures don't exclude are verified too, inside the tasks that hold blocks of ``BLOCK`` of its members, so that
    no link that joins two components is lost. Nothing is capped, and only links leave the tasks.
 
-A link at the threshold of 0.85 is missed by all 24 bands of 5 rows with a chance below 1e-6.
+A link at the threshold of 0.85 is missed by all 24 bands of 5 rows with a chance below 1e-6; at 0.8 the same takes 36 bands.
 """
 
 from __future__ import annotations
@@ -390,9 +390,9 @@ def _links(reps: DataFrame, texts: DataFrame, sig: DataFrame, kind: str, shingle
     return links.unionByName(more)
 
 
-def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """The rows of ``df``, unchanged, less those whose document isn't its group's first; copies of a row become one."""
-    groups = group_near_duplicates(df, id_col, text_col)
+    groups = group_near_duplicates(df, id_col, text_col, percent=percent, bands=bands, rows=rows)
     gone = groups.filter(~F.col("kept")).select(F.col(id_col).alias("gone_")).distinct()
     kept = df.join(gone, df[id_col] == F.col("gone_"), "left_anti")
     again = groups.groupBy(id_col).count().filter(F.col("count") > 1).filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("again_"))

@@ -18,8 +18,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group."""
-    return neardup.keep_one(docs)
+    """One document of each near-duplicate group: links join a similarity of 0.8 or more (``op8_near_duplicates`` has its own threshold)."""
+    return neardup.keep_one(docs, percent=80, bands=36)
 
 
 def benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
