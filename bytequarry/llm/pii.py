@@ -3,10 +3,10 @@
 The base patterns give e-mail addresses, IP addresses, payment cards and telephone numbers. The field's nodes are a
 text's *mentions*: base spans, whose label is observed, and looser candidates (numbers with separators, spelled-out
 addresses). Chain edges join mentions that follow each other closely; skip edges join a mention with the
-previous one of the same or a similar value (the same digits, or the same last seven), wherever it stands. Loopy
-message passing then lets a certain mention decide its repeats. A candidate becomes a span where the posterior
-of a label is ``CERTAIN`` or more. Skip edges run from a mention to the previous similar one only, so a value that
-recurs n times has n - 1 edges.
+previous one of the same or a similar value (the same digits, or the same last seven), wherever it stands, and a
+candidate with a base span of its value too. Loopy message passing, until no message changes any more, then lets
+a certain mention decide its repeats, however many there are. A candidate becomes a span where the posterior of a
+label is ``CERTAIN`` or more. A value that recurs n times has fewer than 3n skip edges.
 
 The weights are fitted here, by gradient descent on mentions that a seeded generator writes with their labels;
 no corpus row is used, so results are the same at every size. Documents are independent: one narrow map.
@@ -15,6 +15,7 @@ no corpus row is used, so results are the same at every size. Documents are inde
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 import re
 from functools import lru_cache
@@ -33,7 +34,8 @@ NONE = len(KINDS)
 CERTAIN = 0.9
 #: Mentions whose gap is at most so many characters are chain neighbours.
 NEAR = 40
-ROUNDS = 12
+#: A message that changes by no more than this isn't sent on.
+TOLERANCE = 1e-6
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
@@ -159,26 +161,45 @@ def weights(seed: int = 11, samples: int = 4000, steps: int = 400) -> tuple[np.n
     return w, gain(chain), gain(skip)
 
 
-def propagate(unary: np.ndarray, edges: list[tuple[int, int, float]], rounds: int = ROUNDS) -> np.ndarray:
-    """Posterior marginals by loopy sum-product. unary: nodes x labels, as logarithms; edges: (a, b, gain for equal labels)."""
+def propagate(unary: np.ndarray, edges: list[tuple[int, int, float]], tolerance: float = TOLERANCE) -> np.ndarray:
+    """Posterior marginals by loopy sum-product. unary: nodes x labels, as logarithms; edges: (a, b, gain for equal labels).
+
+    Sweeps run forward and backward over the nodes, and a node sends only after news of its own, so a tree takes two sweeps whatever
+    its depth. They end when no message changes by more than the tolerance; the bound of as many sweeps as nodes only stops rounding noise.
+    """
     n, k = unary.shape
-    if edges:
-        a = np.array([e[0] for e in edges] + [e[1] for e in edges])
-        b = np.array([e[1] for e in edges] + [e[0] for e in edges])
-        same = np.exp(np.array([e[2] for e in edges] * 2))[:, None]
-        back = np.r_[np.arange(len(edges), 2 * len(edges)), np.arange(len(edges))]
-        msg = np.zeros((2 * len(edges), k))
-        for _ in range(rounds):
-            belief = unary.copy()
-            np.add.at(belief, b, msg)
-            out = belief[a] - msg[back]
-            p = np.exp(out - out.max(1, keepdims=True))
-            new = np.log(p.sum(1, keepdims=True) + (same - 1) * p)
-            new -= new.max(1, keepdims=True)
-            msg = 0.5 * msg + 0.5 * new
-        unary = unary.copy()
-        np.add.at(unary, b, msg)
-    p = np.exp(unary - unary.max(1, keepdims=True))
+    gains: dict[tuple[int, int], float] = {}
+    for a, b, gain in edges:
+        gains[min(a, b), max(a, b)] = gains.get((min(a, b), max(a, b)), 0.0) + gain
+    belief = unary.tolist()
+    links: list[list[tuple[int, list[float], list[float], float]]] = [[] for _ in range(n)]
+    for (a, b), gain in gains.items():
+        there, back = [0.0] * k, [0.0] * k
+        links[a].append((b, there, back, math.exp(gain) - 1))
+        links[b].append((a, back, there, math.exp(gain) - 1))
+    news = [bool(x) for x in links]
+    for sweep in range(2 * n + 24):
+        if not any(news):
+            break
+        for i in range(n) if sweep % 2 == 0 else range(n - 1, -1, -1):
+            if not news[i]:
+                continue
+            news[i] = False
+            mine = belief[i]
+            for j, sent, got, same in links[i]:
+                out = [x - y for x, y in zip(mine, got, strict=True)]
+                top = max(out)
+                p = [math.exp(x - top) for x in out]
+                total = sum(p)
+                new = [math.log(total + same * x) for x in p]
+                top = max(new)
+                change = [x - top - y for x, y in zip(new, sent, strict=True)]
+                if max(change) > tolerance or min(change) < -tolerance:
+                    sent[:] = [x - top for x in new]
+                    belief[j] = [x + y for x, y in zip(belief[j], change, strict=True)]
+                    news[j] = True
+    z = np.array(belief).reshape(n, k)
+    p = np.exp(z - z.max(1, keepdims=True))
     return p / p.sum(1, keepdims=True)
 
 
@@ -221,23 +242,30 @@ def find(text: str | None) -> tuple[list[tuple[int, int, str]], list[tuple[int,
     w, chain, skip = weights()
     nodes = sorted([(s, e, _RANK[k]) for s, e, k in base] + [(s, e, -1) for s, e in loose])
     free = [i for i, x in enumerate(nodes) if x[2] < 0]
-    unary = np.full((len(nodes), NONE + 1), -20.0)
+    # so low that no number of candidates outvotes a base span
+    unary = np.full((len(nodes), NONE + 1), -1e9)
     for i, (_, _, k) in enumerate(nodes):
         if k >= 0:
             unary[i, k] = 0.0
     x = np.array([features(text[nodes[i][0] : nodes[i][1]], text[max(0, nodes[i][0] - 24) : nodes[i][0]]) for i in free])
     unary[free] = x @ w
-    edges, last = [], {}
-    for i, (s, e, _) in enumerate(nodes):
+    keys = [_keys(text[s:e]) for s, e, _ in nodes]
+    edges, last, sure = [], {}, {}
+    for i in range(len(nodes) - 1, -1, -1):
+        if nodes[i][2] >= 0:
+            sure.update(dict.fromkeys(keys[i], i))
+    similar = set()
+    for i, (s, _, k) in enumerate(nodes):
         if i and 0 <= s - nodes[i - 1][1] <= NEAR:
             edges.append((i - 1, i, chain))
-        before = set()
-        for key in _keys(text[s:e]):
-            j = last.get(key)
-            if j is not None and j not in before:
-                before.add(j)
-                edges.append((j, i, skip))
+        for key in keys[i]:
+            if key in last:
+                similar.add((last[key], i))
             last[key] = i
+        # the first base span of the value itself, else of a similar one, before or behind
+        if k < 0 and (j := next((sure[key] for key in keys[i] if key in sure), None)) is not None:
+            similar.add((min(i, j), max(i, j)))
+    edges += [(j, i, skip) for j, i in sorted(similar)]
     p = propagate(unary, edges)
     added = [(nodes[i][0], nodes[i][1], KINDS[int(p[i, :NONE].argmax())]) for i in free if p[i, :NONE].max() >= CERTAIN]
     return base, sorted([*base, *added], key=lambda s: (s[0], _RANK[s[2]]))

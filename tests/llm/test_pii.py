@@ -2,6 +2,7 @@
 
 import re
 
+import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -83,3 +84,24 @@ def test_frames(spark):
     red = sorted(((str(r.doc_id), r.text, r.n_chars, r.spans) for r in pii.redact_rows(df).collect()), key=str)
     assert red == sorted([("1", None, 0, "x"), ("2", "", 0, "x"), ("3", "mail [EMAIL]", 12, "x"), ("3", "mail [EMAIL]", 12, "x"), ("None", "[IP]", 4, "x")], key=str)
     assert pii.find_personal_data(df.limit(0)).count() == 0 and pii.redact_rows(df.limit(0)).count() == 0
+
+
+def test_a_certain_mention_decides_all_its_repeats():
+    far = " lorem ipsum dolor" * 5
+    for form in ("1243 5555526", "24 35 55 55 26"):
+        for text in (f"Call +1 (243) 555-5526 today.{(far + f' item {form} x') * 60}", f"{(far + f' item {form} x') * 60}{far} Call +1 (243) 555-5526 today."):
+            base, every = pii.find(text)
+            assert len(base) == 1 and [text[s:e] for s, e, k in every if (s, e, k) not in base and k == "phone"] == [form] * 60
+
+
+def test_messages_go_the_whole_length_of_a_chain():
+    """A path has exact marginals: the product of the matrices of its edges."""
+    for n in (30, 200):
+        unary = np.zeros((n + 1, 5))
+        unary[0], unary[0, 3], unary[1:, 3] = -20, 0, 0.1
+        at = np.exp(unary[0])
+        for row in unary[1:]:
+            at = (at.sum() + (np.exp(5.28) - 1) * at) * np.exp(row)
+            at /= at.sum()
+        got = pii.propagate(unary, [(k, k + 1, 5.28) for k in range(n)])
+        assert np.abs(got[-1] - at).max() < 1e-4
