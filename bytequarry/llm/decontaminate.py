@@ -5,8 +5,8 @@ A shift table over blocks of two words says how far a document position can be s
 is zero, a bucket keyed by the block that ends the window gives the windows to compare word by word.
 
 Documents are read once by a narrow map and never shuffled, so hot sources and copies are no matter.
-The benchmark is split into shards of at most ``SHARD_WORDS`` words; each is one broadcast file, loaded by
-a worker, used on a batch of documents and dropped again, so a large benchmark costs time and no memory.
+The benchmark is split into shards of at most ``SHARD_WORDS`` words, each one broadcast file. A worker holds the tables of
+one shard at a time: of the only one for good, of several each for ``STRETCH`` bytes of text, so a large benchmark costs time and no memory.
 """
 
 from __future__ import annotations
@@ -14,16 +14,22 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-
-from bytequarry.llm._common import map_rows
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 WINDOW = 13
 #: Words of benchmark items in one broadcast shard.
 SHARD_WORDS = 500_000
+#: Rows that are read at once, and bytes of text that meet one shard after the other where there are several.
+ROWS, STRETCH = 500, 32_000_000
 #: A document is contaminated if its hit words are at least 1 in so many.
 ONE_IN = 20
+#: From so many words on, one occurrence of a window is a passage of the benchmark.
+PASSAGE = 8
 
 #: ASCII letters to lower case, digits and bytes from 0x80 kept, everything else to a space.
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -100,18 +106,55 @@ def _shards(spark, benchmark: DataFrame, id_col: str, text_col: str):
 _LOADED: dict = {}
 
 
-def _searchers(shards, window: int):
-    """Each shard's searchers; with a single shard they stay in the worker."""
-    for shard in shards:
-        key = (shard._jbroadcast.id() if getattr(shard, "_jbroadcast", None) is not None else getattr(shard, "_path", None), window)
-        if key not in _LOADED:
-            _LOADED.clear()
-            _LOADED[key] = build(shard.value, window)
-        yield _LOADED[key]
-
-
-def hits_of(words: list[bytes], searchers: list[WuManber], hit: bytearray, items: set) -> None:
-    """Mark the words inside occurrences, and gather the items."""
+def _searcher(shard, window: int) -> list[WuManber]:
+    """A shard's searchers; the last ones built stay in the worker."""
+    key = (shard._jbroadcast.id() if getattr(shard, "_jbroadcast", None) is not None else getattr(shard, "_path", None), window)
+    if key not in _LOADED:
+        _LOADED.clear()
+        _LOADED[key] = build(shard.value, window)
+    return _LOADED[key]
+
+
+def _stretches(batches, at: int, shards: int) -> Iterator[list]:
+    """Slices of batches. With one shard each comes alone; with more, slices of about STRETCH bytes of text come together, so that
+    every shard's tables are built once a stretch."""
+    held, size = [], 0
+    for batch in batches:
+        for k in range(0, batch.num_rows, ROWS):
+            piece = batch.slice(k, ROWS)
+            if shards < 2:
+                yield [piece]
+                continue
+            held.append(piece)
+            size += pc.sum(pc.binary_length(piece.column(at))).as_py() or 0
+            if size >= STRETCH:
+                yield held
+                held, size = [], 0
+    if held:
+        yield held
+
+
+def _marked(pieces: list, at: int, shards: list, window: int) -> list[tuple]:
+    """Of every row of the slices: its number of words, a byte of 1 for each hit word, the items, and the longest window."""
+    rows = [[] for _ in pieces]
+    if len(shards) < 2:
+        texts = [[words_of(t) for t in p.column(at).to_pylist()] for p in pieces]
+    else:  # words are made anew for each shard, as those of a whole stretch would take far more room than its texts
+        texts = [None] * len(pieces)
+    for n, p in enumerate(pieces):
+        rows[n] = [None] * p.num_rows
+    for shard in shards or [None]:
+        searchers = _searcher(shard, window) if shard else []
+        for n, p in enumerate(pieces):
+            for k, words in enumerate(texts[n] or map(words_of, p.column(at).to_pylist())):
+                row = rows[n][k] = rows[n][k] or [len(words), bytearray(len(words)), set(), 0]
+                row[3] = max(row[3], hits_of(words, searchers, row[1], row[2]))
+    return rows
+
+
+def hits_of(words: list[bytes], searchers: list[WuManber], hit: bytearray, items: set) -> int:
+    """Mark the words inside occurrences, and gather the items; gives the length of the longest window that occurs."""
+    longest = 0
     for s in searchers:
         done = 0
         for end, found in s.search(words):
@@ -119,54 +162,48 @@ def hits_of(words: list[bytes], searchers: list[WuManber], hit: bytearray, items
             hit[start:end] = b"\x01" * (end - start)
             done = end
             items |= found
+            longest = max(longest, s.m)
+    return longest
 
 
 def decontaminate(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, one_in: int = ONE_IN) -> DataFrame:
     """One row per document row: id, n_words, n_hit, n_items, items (array, sorted as strings), items_sha256, contaminated.
 
-    A null or empty text has no words, no hits and is not contaminated; items that are null, empty or have a
+    Whole texts are searched, of any length. A null or empty text has no words, no hits and is not contaminated; items that are null, empty or have a
     null id have no windows; repeated items count once by id; repeated documents give repeated rows; an empty
-    benchmark contaminates nothing. Other columns are ignored, whatever their names.
+    benchmark contaminates nothing, an empty table gives an empty one. A word in several occurrences is one hit. Other columns are ignored, whatever their names.
     """
     shards = _shards(documents.sparkSession, benchmark, item_col, item_text_col)
     kind = documents.schema[id_col].dataType.simpleString()
+    schema = T.StructType.fromDDL(f"`{id_col}` {kind}, n_words long, n_hit long, n_items long, items array<string>, items_sha256 string, contaminated boolean")
+    arrow = to_arrow_schema(schema)
+
+    def run(batches):
+        for pieces in _stretches(batches, 1, len(shards)):
+            for piece, rows in zip(pieces, _marked(pieces, 1, shards, window), strict=True):
+                n_words, n_hit, items = [r[0] for r in rows], [r[1].count(1) for r in rows], [sorted(r[2]) for r in rows]
+                sums = [hashlib.sha256(",".join(x).encode()).hexdigest() for x in items]
+                bad = [h > 0 and one_in * h >= n for h, n in zip(n_hit, n_words, strict=True)]
+                cols = (piece.column(0), n_words, n_hit, [len(x) for x in items], items, sums, bad)
+                yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(cols, arrow, strict=True)], schema=arrow)
 
-    def run(ids, texts):
-        words = [words_of(t) for t in texts]
-        marks = [bytearray(len(w)) for w in words]
-        found: list[set] = [set() for _ in words]
-        for searchers in _searchers(shards, window):
-            for w, m, f in zip(words, marks, found, strict=True):
-                hits_of(w, searchers, m, f)
-        n_hit = [m.count(1) for m in marks]
-        items = [sorted(f) for f in found]
-        return {
-            id_col: ids, "n_words": [len(w) for w in words], "n_hit": n_hit, "n_items": [len(x) for x in items], "items": items,
-            "items_sha256": [hashlib.sha256(",".join(x).encode()).hexdigest() for x in items],
-            "contaminated": [h > 0 and one_in * h >= len(w) for h, w in zip(n_hit, words, strict=True)],
-        }
-
-    return map_rows(documents, run, [id_col, text_col], f"`{id_col}` {kind}, n_words long, n_hit long, n_items long, items array<string>, items_sha256 string, contaminated boolean", rows=500)
-
-
-def clean(documents: DataFrame, benchmark: DataFrame, text_col: str = "text", window: int = WINDOW, one_in: int = ONE_IN, item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """The rows of ``documents``, all columns unchanged, that are not contaminated: a map and no join back."""
+    return documents.select(id_col, text_col).mapInArrow(run, schema)
+
+
+def clean(documents: DataFrame, benchmark: DataFrame, text_col: str = "text", window: int = WINDOW, one_in: int = ONE_IN, passage: int = PASSAGE, item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """The rows of ``documents``, all columns unchanged, without passages of the benchmark: a map and no join back.
+
+    One occurrence of a window of ``passage`` words or more is enough, however long the text around it; shorter items, down to single
+    words, count only where a document is contaminated as a whole (``one_in``). Null, empty and wordless texts hold none and stay; repeated rows
+    stay or go together; an empty table gives an empty one, and an empty benchmark takes nothing away. Columns may have any names.
+    """
     shards = _shards(documents.sparkSession, benchmark, item_col, item_text_col)
     at = documents.columns.index(text_col)
 
     def run(batches):
-        import pyarrow as pa
-
-        for batch in batches:
-            for k in range(0, batch.num_rows, 500):
-                piece = batch.slice(k, 500)
-                words = [words_of(t) for t in piece.column(at).to_pylist()]
-                marks = [bytearray(len(w)) for w in words]
-                for searchers in _searchers(shards, window):
-                    for w, m in zip(words, marks, strict=True):
-                        hits_of(w, searchers, m, set())
-                keep = [not ((h := m.count(1)) > 0 and one_in * h >= len(w)) for m, w in zip(marks, words, strict=True)]
-                yield piece.filter(pa.array(keep, pa.bool_()))
+        for pieces in _stretches(batches, at, len(shards)):
+            for piece, rows in zip(pieces, _marked(pieces, at, shards, window), strict=True):
+                bad = [longest >= passage or 0 < len(w) <= one_in * w.count(1) for _, w, _, longest in rows]
+                yield piece.filter(pa.array([not x for x in bad], pa.bool_()))
 
     return documents.mapInArrow(run, documents.schema)
-

@@ -64,7 +64,8 @@ def test_against_slices(spark):
         want = {k: brute(t, items) for k, t in enumerate(docs)}
         assert got == want, turn
         kept = {r.doc_id for r in D.clean(d, b).collect()}
-        assert kept == {k for k, v in want.items() if not v[4]}
+        passages = [(i, x) for i, x in items if len(words(x)) >= D.PASSAGE]
+        assert kept == {k for k, v in want.items() if not v[4] and not brute(docs[k], passages)[1]}
 
 
 def test_shards_give_the_same(spark, monkeypatch):
@@ -74,6 +75,9 @@ def test_shards_give_the_same(spark, monkeypatch):
     whole = sorted(map(str, D.decontaminate(d, b).collect()))
     monkeypatch.setattr(D, "SHARD_WORDS", 15)
     assert sorted(map(str, D.decontaminate(d, b).collect())) == whole
+    monkeypatch.setattr(D, "STRETCH", 300)
+    monkeypatch.setattr(D, "ROWS", 2)
+    assert sorted(map(str, D.decontaminate(d, b).collect())) == whole
 
 
 def test_odd_frames(spark):
@@ -81,6 +85,7 @@ def test_odd_frames(spark):
     d = spark.createDataFrame([(1, long, "x"), (1, long, "x"), (None, "w5", None)], "doc_id long, text string, n_hit string")
     b = spark.createDataFrame([(7, " ".join(f"w{k}" for k in range(500, 530)), "y")], "item_id long, text string, contaminated string")
     rows = sorted((str(r.doc_id), r.n_words, r.n_hit, r.contaminated) for r in D.decontaminate(d, b).collect())
+    assert {r.doc_id for r in D.clean(d, b).collect()} == {None}
     assert rows == [("1", 100_000, 30, False), ("1", 100_000, 30, False), ("None", 1, 0, False)]
     assert D.clean(d, b).columns == ["doc_id", "text", "n_hit"]
     assert D.decontaminate(d, b.limit(0)).filter("n_hit > 0 or contaminated").count() == 0

@@ -54,7 +54,7 @@ def test_each_stage(spark, corpus):
         elif name == "near_duplicates":
             kept -= {100, 101, 102}
         elif name == "benchmarks":
-            kept -= {110}
+            kept -= {110, 111}  # a passage counts however long the text around it
         else:
             assert rows[123].text.endswith("mail me at [EMAIL] or [PHONE] or [PHONE] please") and rows[123].n_chars == len(rows[123].text)
             assert all(r.text == pii.redact(docs[k]) for k, r in rows.items())
@@ -69,7 +69,7 @@ def test_whole_run(spark, corpus):
 
     folder, docs = corpus
     tok = Tokenizer.from_file(tokenizer_path())
-    want = {k: len(tok.encode(pii.redact(t), add_special_tokens=False).ids) + 1 for k, t in docs.items() if k not in {100, 101, 102, 110, 120, 121, 122}}
+    want = {k: len(tok.encode(pii.redact(t), add_special_tokens=False).ids) + 1 for k, t in docs.items() if k not in {100, 101, 102, 110, 111, 120, 121, 122}}
     got, sizes = {}, {}
     for r in corpus_pipeline.run(spark, folder).collect():
         got[r.doc_id] = got.get(r.doc_id, 0) + r.length
