@@ -134,10 +134,10 @@ _NEAR_SQL = f"""WITH RECURSIVE d AS (SELECT doc_id, coalesce(regexp_extract_all(
 
 _CHAT_SQL = f"""WITH t AS (SELECT conv_id, role, replace(coalesce(text, ''), '<|', '< |') || '{chat.END}' AS body, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) - 1 AS i FROM conversations),
     who AS (SELECT c.conv_id, participant FROM (SELECT DISTINCT conv_id FROM t) c LEFT JOIN (SELECT DISTINCT conv_id, role AS participant FROM t WHERE role <> '{chat.SYSTEM}') p ON p.conv_id IS NOT DISTINCT FROM c.conv_id),
-    v AS (SELECT t.conv_id, participant, i // {chat.PART} AS part, i, body, coalesce(role = participant, false) AS own,
+    v AS (SELECT t.conv_id, participant, i, body, coalesce(role = participant, false) AS own,
       '{chat.START}' || CASE WHEN role = participant THEN 'assistant' WHEN role = '{chat.SYSTEM}' THEN 'system' ELSE 'user name=' || coalesce(replace(role, '<|', '< |'), 'unknown') END || chr(10) AS head FROM t JOIN who ON who.conv_id IS NOT DISTINCT FROM t.conv_id),
-    l AS (SELECT *, length(head) AS h, length(body) AS b, coalesce(sum(length(head) + length(body) + 1) OVER (PARTITION BY conv_id, participant, part ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS base FROM v)
-    SELECT conv_id, participant, part, count(*) AS n_turns, string_agg(head || body || chr(10), '' ORDER BY i) AS rendered, coalesce(string_agg(CAST(base + h AS BIGINT) || ':' || CAST(base + h + b AS BIGINT), ',' ORDER BY i) FILTER (own), '') AS mask, CAST(coalesce(sum(b) FILTER (own), 0) AS BIGINT) AS n_loss FROM l GROUP BY conv_id, participant, part"""
+    l AS (SELECT *, length(head) AS h, length(body) AS b, coalesce(sum(length(head) + length(body) + 1) OVER (PARTITION BY conv_id, participant ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS base FROM v)
+    SELECT conv_id, participant, CAST(0 AS BIGINT) AS part, count(*) AS n_turns, string_agg(head || body || chr(10), '' ORDER BY i) AS rendered, coalesce(string_agg(CAST(base + h AS BIGINT) || ':' || CAST(base + h + b AS BIGINT), ',' ORDER BY i) FILTER (own), '') AS mask, CAST(coalesce(sum(b) FILTER (own), 0) AS BIGINT) AS n_loss FROM l GROUP BY conv_id, participant"""
 
 ORACLE: dict[str, str] = {
     "op1_license_scan": _license_sql(),
