@@ -3,7 +3,8 @@
 A tolerant tokeniser builds a tree; boilerplate subtrees (navigation, forms, scripts, adverts, comments ...)
 are cut. Each paragraph then passes points for its length and commas to its ancestors (all to the parent, half
 to the grandparent, less beyond), every container's sum is discounted by the share of its text inside links,
-and the best container is kept together with siblings that score well enough or read like prose.
+and the best container is kept. Its siblings, and all else inside the same article or main element, are kept but for lists of
+links; beyond those, only headings, paragraphs and blocks with a fifth of the best score.
 
 Pages are independent, so this is one narrow map. The work is linear in the page.
 """
@@ -32,6 +33,13 @@ _SAME = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd
 #: Words of class, id and role that mark boilerplate, and those that save an element from the mark.
 _BAD = re.compile(r"(?:^|[\s_-])(?:ads?|adverts?|advertisements?|advertising|adbox|adslot|banners?|sponsor(?:ed|s)?|promo(?:tion|s)?|sidebars?|side|rail|menus?|nav(?:bar|igation)?|breadcrumbs?|footers?|foot|masthead|topbar|toolbar|cookies?|consent|gdpr|notices?|alerts?|popups?|modals?|overlay|newsletters?|subscribe|subscription|signup|login|comments?|commentlist|disqus|respond|replies|reviews?|shar(?:e|ing)|social|related|recommend(?:ed|ations?)?|trending|popular|widgets?|pagination|pager|tags?|tagcloud|search(?:form|box)?|skip|print|hidden|complementary|contentinfo|dialog|toc|legal|disclaimers?|outbrain|taboola)(?=$|[\s_\-\d])", re.I)
 _GOOD = re.compile(r"(?:^|[\s_-])(?:articles?|content|main|body|posts?|entry|story|text|hentry)(?=$|[\s_\-\d])", re.I)
+#: Words of the first kind that an element with one of the second kind may have for its layout; all others cut it in any company.
+_WEAK = re.compile(r"side|rail|foot|print|tags?|toc|legal|skip|popular|trending|pager|pagination|reviews?", re.I)
+#: Marks that say that something is there or not, as of a page that has a sidebar.
+_LAYOUT = re.compile(r"(?:^|(?<=\s))(?:has|no|with|without|is|not)[-_]\S+", re.I)
+#: How an unmarked line of rights begins.
+_RIGHTS = re.compile(r"(?:©|\(c\)|copyright\b|all rights reserved)", re.I)
+_MAIN = re.compile(r"(?:^|[\s_-])(?:main|articleBody)(?=$|[\s_-])")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
@@ -131,7 +139,10 @@ def _kept(node: _Node, inside: bool) -> bool:
         return False
     if tag in ("html", "body", "article", "main"):
         return not re.search(r"(?:^|[\s_-])(?:comments?|hidden)(?=$|[\s_-])", marks) if tag == "article" else True
-    return not marks or not _BAD.search(marks) or bool(_GOOD.search(marks) and not re.search(r"comment|sidebar|related|\bads?\b|cookie|hidden|footer|nav", marks, re.I))
+    if not marks:
+        return True
+    bad = [m[0].strip(" \t\r\n\f_-") for m in _BAD.finditer(_LAYOUT.sub(" ", marks))]
+    return not bad or bool(_GOOD.search(marks)) and all(_WEAK.fullmatch(x) for x in bad)
 
 
 def _text(node: _Node, out: list[str]) -> None:
@@ -198,12 +209,8 @@ def _measure(root: _Node) -> list[tuple[_Node, int, int]]:
     return out
 
 
-def extract(page: str | None) -> str:
-    """The main text of a page; empty for null or empty pages and for pages without any."""
-    if not page:
-        return ""
-    root = _parse(page)
-    _prune(root)
+def _best(root: _Node) -> tuple[_Node | None, float, dict[int, tuple[int, int]]]:
+    """The container with the best score, that score, and (characters, characters in links) by node."""
     sizes = _measure(root)
     by_id = {id(n): (c, x) for n, c, x in sizes}
     touched: dict[int, _Node] = {}
@@ -222,8 +229,8 @@ def extract(page: str | None) -> str:
             touched[id(at)] = at
             at, level = at.parent, level + 1
     best, most = None, -1.0
-    for node, chars, links in sizes:
-        if node.tag == "article" or node.tag == "main" or re.search(r"(?:^|[\s_-])(?:main|articleBody)(?=$|[\s_-])", node.marks):
+    for node, chars, _ in sizes:
+        if _is_main(node):
             if chars and id(node) not in touched:
                 touched[id(node)] = node
             node.score += 25
@@ -234,34 +241,88 @@ def extract(page: str | None) -> str:
         node.score *= 1 - links / max(chars, 1)
         if node.score > most and node.tag not in ("html", "#root", "tr", "tbody", "ul", "ol", "dl", *_PARAGRAPH) or best is None:
             best, most = node, node.score
+    while best is not None and best.parent is not None and (best.tag in _PARAGRAPH or best.tag in ("tr", "tbody", "ul", "ol", "dl")):
+        best = best.parent
+    return best, most, by_id
+
+
+def _is_main(node: _Node) -> bool:
+    return node.tag in ("article", "main") or bool(_MAIN.search(node.marks))
+
+
+def extract(page: str | None) -> str:
+    """The main text of a page; empty for null or empty pages and for pages without any."""
+    if not page:
+        return ""
+    root = _parse(page)
+    _prune(root)
+    best, most, by_id = _best(root)
     if best is None:
         return _plain(root)
-    if best.tag in _PARAGRAPH or best.tag in ("tr", "tbody", "ul", "ol", "dl"):
-        while best.parent is not None and best.tag not in ("div", "section", "article", "main", "body", "#root"):
-            best = best.parent
-    if best.parent is None or best.tag in ("body", "article", "main") and not _siblings(best):
-        return _plain(best)
-    limit, kept = max(10.0, most * 0.2), []
-    for k in best.parent.kids:
-        if isinstance(k, str):
-            continue
-        chars, links = by_id[id(k)]
-        share = links / max(chars, 1)
-        if k is best or k.score >= limit and share < 0.5 or k.tag == "p" and (chars > 80 and share < 0.25 or 0 < chars and not share and re.search(r"[.!?](?:\s|$)", _plain(k))) or k.tag in _HEADING and share < 0.25:
-            kept.append(_plain(k))
-    return " ".join(x for x in kept if x)
+    path, top = [best], None
+    while path[-1].parent is not None and path[-1].tag != "body":
+        path.append(path[-1].parent)
+    for node in path:
+        if _is_main(node):
+            top = node
+            if node.tag == "article":
+                break
+    # inside the article, or beside the best container where no article is marked, all goes on but lists of links
+    inside = set(map(id, path[: path.index(top) + 1])) if top is not None else {id(x) for x in path[:2]}
+    limit = max(10.0, most * 0.2)
+    on_path = set(map(id, path))
+    out: list[str] = []
+
+    def loose(run: list, within: bool) -> None:
+        """Text and inline elements between blocks."""
+        text = " ".join("".join(k if isinstance(k, str) else _plain_inline(k) for k in run).split())
+        links = sum(by_id[id(k)][1] for k in run if not isinstance(k, str))
+        if text and links < 0.5 * len(text) and (within and not _RIGHTS.match(text) or len(text) > 80):
+            out.append(text)
+
+    def walk(node: _Node) -> None:
+        if node is best:
+            out.append(_plain(node))
+            return
+        within, run = id(node) in inside, []
+        for k in node.kids:
+            if isinstance(k, str) or k.tag in _INLINE and id(k) not in on_path:
+                run.append(k)
+                continue
+            loose(run, within)
+            run = []
+            if id(k) in on_path:
+                walk(k)
+                continue
+            chars, links = by_id[id(k)]
+            share = links / max(chars, 1)
+            if not chars or share >= 0.5:
+                continue
+            text = _plain(k)
+            if within:
+                keep = not _RIGHTS.match(text)
+            else:
+                keep = k.score >= limit or k.tag in _HEADING and share < 0.25 or k.tag == "p" and share < 0.25 and (chars > 80 or not links and bool(re.search(r"[.!?](?:\s|$)", text)))
+            if keep:
+                out.append(text)
+        loose(run, within)
+
+    walk(path[-1])
+    return " ".join(x for x in out if x)
 
 
-def _siblings(best: _Node) -> bool:
-    return any(not isinstance(k, str) and k is not best and k.kids for k in best.parent.kids)
+def _plain_inline(node: _Node) -> str:
+    parts: list[str] = []
+    _text(node, parts)
+    return "".join(parts)
 
 
 def extract_main_text(df: DataFrame, id_col: str = "page_id", html_col: str = "html", carry: tuple[str, ...] = ("url",)) -> DataFrame:
     """One row per page: id, the carried columns, text, n_chars (code points).
 
     A null or empty page, and a page with nothing but boilerplate, has an empty text. Broken markup is read
-    as browsers do as far as that decides what is text; whole pages are read, however long. Repeated rows
-    give repeated results; other columns are ignored, whatever their names.
+    as browsers do as far as that decides what is text; whole pages are read, however long. Of containers with
+    equal scores the first from the leaves up is the best. Repeated rows give repeated results, an empty table none; other columns are ignored, whatever their names.
     """
     kinds = [f"`{c}` {df.schema[c].dataType.simpleString()}" for c in (id_col, *carry)]
 
