@@ -52,7 +52,7 @@ def map_rows(df: DataFrame, fn: Callable[[list], dict], columns: list[str], sche
                 got = fn(*(c.to_pylist() for c in batch.slice(at, rows).columns))
                 yield pa.RecordBatch.from_arrays([pa.array(got[f.name], type=f.type) for f in arrow], schema=arrow)
 
-    return df.select(*columns).mapInArrow(run, out)
+    return df.select(*columns).mapInArrow(lambda batches: tidy(run(batches)), out)
 
 
 def free_name(taken: list[str], name: str) -> str:
@@ -63,10 +63,10 @@ def free_name(taken: list[str], name: str) -> str:
     return name
 
 
-def pages_of(n_bytes: int, limit: int, what: str) -> None:
-    """Raise if a table that is to be broadcast is over its stated bound."""
-    if n_bytes > limit:
-        raise ValueError(f"{what} has {n_bytes} bytes, over the bound of {limit}")
+def tidy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same batches; when they are over, Arrow's free memory goes back to the system, as workers live on between tasks."""
+    yield from batches
+    pa.default_memory_pool().release_unused()
 
 
 def mix64(x: np.ndarray) -> np.ndarray:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bytequarry.llm._common import map_rows
+from bytequarry.llm._common import map_rows, tidy
 
 BUCKETS = 1 << 15
 #: The model is broadcast; so many languages at most (BUCKETS * 4 bytes each).
@@ -25,9 +25,9 @@ MAX_LANGS = 256
 SWITCH, CLIP, OTHER_SCRIPT = 10.0, 12.0, -30.0
 UND = "und"
 #: Characters that are scored at once, and words that Viterbi takes at once.
-CHARS, WORDS = 1 << 20, 1 << 20
+CHARS, WORDS = 1 << 18, 1 << 19
 #: Rows that a worker labels at once.
-ROWS = 5000
+ROWS = 2000
 
 #: First code points of script ranges; a script runs to the next one's start. Number 0 is Latin and what is listed nowhere.
 _SCRIPTS = ((0x0, 0), (0x370, 1), (0x400, 2), (0x530, 3), (0x590, 4), (0x600, 5), (0x700, 6), (0x750, 5), (0x780, 7), (0x8A0, 5), (0x900, 8), (0x980, 9), (0xA00, 10), (0xA80, 11), (0xB00, 12), (0xB80, 13), (0xC00, 14), (0xC80, 15), (0xD00, 16), (0xD80, 17), (0xE00, 18), (0xE80, 19), (0xF00, 20), (0x1000, 21), (0x10A0, 22), (0x1100, 23), (0x1200, 24), (0x13A0, 25), (0x1400, 26), (0x1780, 27), (0x1800, 28), (0x1C80, 2), (0x1C90, 22), (0x1D00, 0), (0x1F00, 1), (0x2000, 0), (0x2C00, 0), (0x2C60, 0), (0x2D00, 22), (0x2D30, 29), (0x2D80, 24), (0x2DE0, 2), (0x2E80, 30), (0x3040, 31), (0x3100, 32), (0x3130, 23), (0x3190, 30), (0x4DC0, 30), (0xA000, 33), (0xA4D0, 0), (0xA640, 2), (0xA6A0, 0), (0xAC00, 23), (0xD7B0, 23), (0xF900, 30), (0xFB00, 0), (0xFB1D, 4), (0xFB50, 5), (0xFE00, 0), (0xFE70, 5), (0xFF00, 0), (0xFF66, 31), (0x10000, 34), (0x20000, 30), (0x30000, 30), (0x32000, 0))
@@ -111,7 +111,7 @@ def fit(rows: DataFrame, text_col: str = "text", lang_col: str = "lang") -> dict
             yield pa.RecordBatch.from_arrays([pa.array([x] * len(keys), pa.string()), pa.array(keys, pa.int64()), pa.array(n[keys], pa.int64())], names=["lang", "bucket", "n"])
 
     labelled = rows.select(F.col(text_col), F.col(lang_col).cast("string").alias("lang")).filter(F.col("lang").isNotNull() & F.col(text_col).isNotNull())
-    counts = labelled.mapInArrow(count, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
+    counts = labelled.mapInArrow(lambda batches: tidy(count(batches)), "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
     langs = sorted(counts["lang"].unique())
     if len(langs) > MAX_LANGS:
         raise ValueError(f"{len(langs)} languages; the model is bounded by {MAX_LANGS}")
@@ -254,4 +254,4 @@ def keep_known(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
                     keep = [any(map(str.isalpha, t or "")) for t in texts]
                 yield piece.filter(pa.array(keep, pa.bool_()))
 
-    return df.mapInArrow(run, df.schema)
+    return df.mapInArrow(lambda batches: tidy(run(batches)), df.schema)

@@ -19,15 +19,15 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from bytequarry.llm._common import tokenizer_path
+from bytequarry.llm._common import tidy, tokenizer_path
 
 CAPACITY, MAX_SEGMENTS, END_ID = 4096, 1024, 2
 #: Pieces that wait for a place at a time.
 POOL = 1024
 #: Bytes that a worker's cache of tokenised pieces may hold; it is emptied when it has more.
-CACHE = 80_000_000
+CACHE = 50_000_000
 #: Bytes of text that are tokenised at once.
-SLICE = 4_000_000
+SLICE = 2_000_000
 
 #: In a chunk without white space: all of it if it goes beyond U+00FF, else what the tokenizer's own pattern cuts off from runs of letters.
 _SPACE = r"\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
@@ -266,4 +266,4 @@ def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", prompt_c
             yield emit()
 
     cols = [id_col, text_col, *([prompt_col] if prompt_col else [])]
-    return df.select(*cols).mapInArrow(run, f"`{id_col}` {kind}, start long, length long, ids binary, loss_tokens long, doc_tokens long, sequence_id long, offset long")
+    return df.select(*cols).mapInArrow(lambda batches: tidy(run(batches)), f"`{id_col}` {kind}, start long, length long, ids binary, loss_tokens long, doc_tokens long, sequence_id long, offset long")
