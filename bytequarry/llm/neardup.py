@@ -7,9 +7,9 @@
 2. Equal sets collapse to the smallest id; with partial aggregation a group of any size is a few rows.
 3. Representatives that share a band meet in a bucket. Each is compared with the bucket's smallest id only, so a bucket
    of n gives n - 1 pairs; leaders with many partners are split by a salt. Pairs are verified on the full sets.
-4. Components of these links; then in buckets where more than one component is left, the pairs across components that
-   their signatures don't exclude are verified too, inside the tasks that hold blocks of ``BLOCK`` of its members, so that
-   no link that joins two components is lost. Nothing is capped, and only links leave the tasks.
+4. Components of these links; then in buckets where more than one component is left, the members outside the largest one are
+   compared with all others, in tasks that hold two blocks of about ``BLOCK`` of them; pairs that their signatures don't exclude
+   are verified, so that no link that joins two components is lost. Nothing is capped, and only links leave the tasks.
 
 A link at the threshold of 0.85 is missed by all 24 bands of 5 rows with a chance below 1e-6; at 0.8 the same takes 36 bands.
 """
@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bytequarry.llm._common import materialise, mix64
+from bytequarry.llm._common import free_name, materialise, mix64, tidy
 
 SHINGLE, PERCENT = 5, 85
 BANDS, ROWS = 24, 5
@@ -33,6 +33,8 @@ BLOCK = 256
 SLACK = 0.15
 #: Partners of a leader that are verified in one group.
 SALT = 256
+#: Tasks to which the rows of a bucket are dealt where they meet the bucket's leader or components.
+SPREAD = 16
 
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 _P = 0x5851F42D4C957F2D
@@ -40,10 +42,10 @@ _P_INV = pow(_P, -1, 1 << 64)
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 #: Bytes that are hashed at once; only a longer single word takes more.
-_BYTES = 1 << 20
+_BYTES = 1 << 18
 
 
-@lru_cache(maxsize=4)
+@lru_cache(maxsize=2)
 def _powers(bits: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of P and of its inverse, 2 ** bits of each."""
     out = []
@@ -61,7 +63,7 @@ def _word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     word = np.concatenate([[False], ~_SPACE[a], [False]])
     edge = np.flatnonzero(word[1:] != word[:-1])
     start, end = edge[::2], edge[1::2]
-    up, down = _powers(max(10, len(a).bit_length()))
+    up, down = _powers(max(_BYTES.bit_length(), len(a).bit_length()))
     total = np.zeros(len(a) + 1, np.uint64)
     np.cumsum((a.astype(np.uint64) + np.uint64(1)) * up[: len(a)], out=total[1:])
     return mix64((total[end] - total[start]) * down[start]), start
@@ -135,7 +137,7 @@ def superminhash(sets: list[np.ndarray], m: int) -> np.ndarray:
             break
         if j == 0:
             el, doc, pos = el[keep], doc[keep], pos[keep]
-            perm = np.tile(np.arange(m, dtype=np.uint8), (len(el), 1))
+            perm = np.tile(np.arange(m, dtype=np.uint8 if m <= 256 else np.uint16 if m <= 1 << 16 else np.int64), (len(el), 1))
             perm[np.arange(len(el)), pos] = 0
         elif not keep.all():
             el, doc, perm = el[keep], doc[keep], perm[keep]
@@ -148,7 +150,7 @@ def _signatures(sets: list[np.ndarray], bands: int, rows: int) -> tuple[np.ndarr
     at = 0
     while at < len(sets):
         end, size = at, 0
-        while end < len(sets) and (end == at or size + len(sets[end]) <= 150_000):
+        while end < len(sets) and (end == at or size + len(sets[end]) <= 100_000):
             size += len(sets[end])
             end += 1
         sig = superminhash(sets[at:end], bands * rows).view(np.uint64)
@@ -190,7 +192,7 @@ def signatures(df: DataFrame, id_col: str, text_col: str, shingle: int = SHINGLE
                 prints = prints.view(np.int64)
                 yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(n), pa.array(prints[:, 0].copy()), pa.array(prints[:, 1].copy()), lists, pa.array(sketch, pa.binary())], names=["doc", "n", "p1", "p2", "bands", "sketch"])
 
-    return df.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text")).mapInArrow(run, f"doc {kind}, n long, p1 long, p2 long, bands array<long>, sketch binary")
+    return df.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text")).mapInArrow(lambda batches: tidy(run(batches)), f"doc {kind}, n long, p1 long, p2 long, bands array<long>, sketch binary")
 
 
 def _verify(pairs: DataFrame, texts: DataFrame, kind: str, shingle: int, percent: int) -> DataFrame:
@@ -225,108 +227,119 @@ def _verify(pairs: DataFrame, texts: DataFrame, kind: str, shingle: int, percent
                                 break
                 yield pa.RecordBatch.from_arrays([pa.array(left, piece.column(0).type), pa.array(right, piece.column(0).type)], names=["a", "b"])
 
-    return joined.mapInArrow(run, f"a {kind}, b {kind}").distinct()
+    return joined.mapInArrow(lambda batches: tidy(run(batches)), f"a {kind}, b {kind}").distinct()
 
 
-class _Group:
-    """Rows of one bucket block pair: (bucket, i, j, own, leader, doc, comp, n, sketch, bands[, text])."""
+class _Unit:
+    """The left side of one pair of blocks: members outside the bucket's main component, as (bucket, i, j, side, leader, doc, comp, main, n, sketch, bands)."""
 
-    def __init__(self, rows: list[tuple], least: float):
-        cols = list(zip(*rows, strict=True))
-        self.bucket, self.across, self.leader, self.doc = rows[0][0], rows[0][1] != rows[0][2], cols[4], cols[5]
-        self.comp = np.unique(np.array(cols[6], object).astype(str), return_inverse=True)[1]
-        self.own, self.n = np.array(cols[3]), np.array(cols[7], float)
-        self.sketch = np.frombuffer(b"".join(cols[8]), np.uint8).reshape(len(rows), -1)
-        self.bands = np.array(cols[9], np.int64)
-        self.least = least
+    def __init__(self, key: tuple, least: float):
+        self.key, self.least, self.rows, self.cols = key, least, [], None
 
-    def partners(self, k: int) -> np.ndarray:
-        """Rows behind row k, of other components, that sizes and sketches don't exclude, best first.
+    def add(self, row: tuple) -> None:
+        self.rows.append(row)
 
-        A pair that shares several bands counts in the first of them only, and one with the leader has been verified.
+    def partners(self, row: tuple) -> list[int]:
+        """Left rows of other components that size and sketch don't exclude as links of a row of the right side, best first.
+
+        A pair that shares several bands counts in the first of them only, one with the leader has been verified, and of two
+        members that are both outside the main component the smaller is on the left.
         """
-        rest = slice(k + 1, None)
-        ok = (self.comp[rest] != self.comp[k]) & (np.minimum(self.n[rest], self.n[k]) >= (self.least + SLACK) * np.maximum(self.n[rest], self.n[k]) - 1e-9)
-        if self.across:
-            ok &= self.own[rest] != self.own[k]
-        at = np.flatnonzero(ok) + k + 1
+        if not self.rows:
+            return []
+        if self.cols is None:
+            c = list(zip(*self.rows, strict=True))
+            self.cols = np.array(c[6], object), np.array(c[8], float), np.frombuffer(b"".join(c[9]), np.uint8).reshape(len(c[9]), -1), np.array(c[10], np.int64)
+        comp, n, sketch, bands = self.cols
+        at = np.flatnonzero((comp != row[6]) & (np.minimum(n, row[8]) >= (self.least + SLACK) * np.maximum(n, row[8]) - 1e-9))
         if not len(at):
-            return at
-        like = (self.sketch[at] == self.sketch[k]).mean(1)
-        same = self.bands[at] == self.bands[k]
-        ok = (like >= self.least) & (self.bands[k][same.argmax(1)] == self.bucket)
+            return []
+        like = (sketch[at] == np.frombuffer(row[9], np.uint8)).mean(1)
+        same = bands[at] == np.array(row[10], np.int64)
+        ok = (like >= self.least) & (np.array(row[10], np.int64)[same.argmax(1)] == row[0])
         at = at[ok][np.argsort(-like[ok], kind="stable")]
-        return np.array([x for x in at.tolist() if self.leader[k] not in (self.doc[k], self.doc[x]) and self.doc[k] != self.doc[x]], np.int64)
-
-
-def _grouped(batches, width: int):
-    """Rows of consecutive batches as lists of equal first ``width`` fields."""
-    group, rows = None, []
-    for batch in batches:
-        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if row[:width] != group:
-                if rows:
-                    yield rows
-                group, rows = row[:width], []
-            rows.append(row)
-    if rows:
-        yield rows
+        both = row[6] != row[7]
+        return [k for k in at.tolist() if row[4] not in (row[5], self.rows[k][5]) and (not both or self.rows[k][5] < row[5])]
 
 
 def _rest(members: DataFrame, texts: DataFrame, kind: str, shingle: int, percent: int) -> DataFrame:
-    """Links across components among the members of a bucket. members: bucket, leader, size, doc, comp, n, sketch, bands.
+    """Links between the members of a bucket that its leader left in several components. members: bucket, leader, doc, comp, main, others, size, n, sketch, bands.
 
-    Buckets are dealt in pairs of blocks. A first pass on sketches finds the members that have any open pair; only their texts go to the
-    second, which verifies the pairs where they meet and gives the links that join components, never the pairs.
+    Only the ``others``, members outside the bucket's largest component, look for links: each block of them meets each block of all
+    members. A first pass on sketches finds the rows that have any open pair; only their texts go to the second, which verifies the
+    pairs where they meet and gives the links that join components, never the pairs.
     """
     least = percent / 100 - SLACK
-    blocks = members.withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("own", F.expr("int(pmod(xxhash64(doc), blocks))"))
-    spread = blocks.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
-    names = ["bucket", "i", "j", "own", "leader", "doc", "comp", "n", "sketch", "bands"]
-    schema = f"bucket long, i int, j int, own int, leader {kind}, doc {kind}, comp {kind}, n long, sketch binary, bands array<long>"
+    names = ["bucket", "i", "j", "side", "leader", "doc", "comp", "main", "n", "sketch", "bands"]
+    schema = f"bucket long, i int, j int, side int, leader {kind}, doc {kind}, comp {kind}, main {kind}, n long, sketch binary, bands array<long>"
+    parts = members.withColumn("mb", F.ceil(F.col("others") / BLOCK).cast("int")).withColumn("nb", F.ceil(F.col("size") / BLOCK).cast("int"))
+    right = parts.withColumn("j", F.expr("int(pmod(xxhash64(doc), nb))")).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("mb") - 1))).withColumn("side", F.lit(1))
+    left = parts.filter("comp <> main").withColumn("i", F.expr("int(pmod(xxhash64(doc, 1), mb))")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))).withColumn("side", F.lit(0))
+
+    def units(batches, step):
+        """(unit, row) of every right row, and (unit, None) behind the last of a unit."""
+        unit = None
+        for batch in batches:
+            for k in range(0, batch.num_rows, step):
+                for row in zip(*(c.to_pylist() for c in batch.slice(k, step).columns), strict=True):
+                    if unit is None or row[:3] != unit.key:
+                        if unit is not None:
+                            yield unit, None
+                        unit = _Unit(row[:3], least)
+                    if row[3] == 0:
+                        unit.add(row)
+                    yield unit, row
+        if unit is not None:
+            yield unit, None
 
     def open_rows(batches):
-        for rows in _grouped(batches, 3):
-            if len(rows) > 1:
-                group, needed = _Group(rows, least), set()
-                for k in range(len(rows)):
-                    if len(at := group.partners(k)):
-                        needed.update(at.tolist())
-                        needed.add(k)
-                if needed:
-                    yield pa.RecordBatch.from_pylist([dict(zip(names, rows[k], strict=True)) for k in sorted(needed)], schema=arrow)
+        found, needed = [], set()
+        for unit, row in units(batches, 1000):
+            if row is None:
+                found += [unit.rows[k] for k in sorted(needed)]
+                needed = set()
+            elif row[3] and (at := unit.partners(row)):
+                needed.update(at)
+                found.append(row)
+            if len(found) >= 1000 or row is None and found:
+                yield pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in found], schema=arrow)
+                found = []
 
     def verify(batches):
-        for rows in _grouped(batches, 3):
-            if len(rows) < 2:
-                continue
-            group, links = _Group(rows, least), []
-            sets = shingle_sets([r[10] for r in rows], shingle)
-            up = list(range(int(group.comp.max()) + 1))
-
-            def root(c, up=up):
-                while up[c] != c:
-                    up[c] = up[up[c]]
-                    c = up[c]
-                return c
-
-            for k in range(len(rows)):
-                for x in group.partners(k).tolist():
-                    if (c := root(group.comp[k])) != (d := root(group.comp[x])):
-                        both = len(np.intersect1d(sets[k], sets[x], assume_unique=True))
-                        if 100 * both >= percent * (len(sets[k]) + len(sets[x]) - both) and both:
+        links, sets, up, current = [], [], {}, None
+
+        def root(c):
+            while up.setdefault(c, c) != c:
+                c = up[c]
+            return c
+
+        for unit, row in units(batches, 64):
+            if unit is not current:
+                current, sets, up = unit, [], {}
+            if row is None:
+                if links:
+                    yield pa.RecordBatch.from_pylist([{"a": min(p), "b": max(p)} for p in links], schema=pair)
+                links = []
+            elif row[3] == 0:
+                sets.append(shingle_sets([row[11]], shingle)[0])
+            else:
+                own = None
+                for k in unit.partners(row):
+                    if (c := root(unit.rows[k][6])) != (d := root(row[6])):
+                        own = shingle_sets([row[11]], shingle)[0] if own is None else own
+                        both = len(np.intersect1d(sets[k], own, assume_unique=True))
+                        if both and 100 * both >= percent * (len(sets[k]) + len(own) - both):
                             up[c] = d
-                            links.append((group.doc[k], group.doc[x]))
-            if links:
-                yield pa.RecordBatch.from_pylist([{"a": min(p), "b": max(p)} for p in links], schema=pair)
+                            links.append((unit.rows[k][5], row[5]))
 
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
     arrow, pair = to_arrow_schema(StructType.fromDDL(schema)), to_arrow_schema(StructType.fromDDL(f"a {kind}, b {kind}"))
-    needed = spread.select(*names).repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j").mapInArrow(open_rows, schema)
-    with_text = needed.join(texts.hint("merge"), "doc").select(*names, "text").repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
-    return with_text.mapInArrow(verify, f"a {kind}, b {kind}").distinct()
+    order = ("bucket", "i", "j", "side")
+    needed = left.select(*names).unionByName(right.select(*names)).repartition(*order[:3]).sortWithinPartitions(*order).mapInArrow(open_rows, schema)
+    with_text = needed.join(texts.hint("merge"), "doc").select(*names, "text").repartition(*order[:3]).sortWithinPartitions(*order)
+    return with_text.mapInArrow(lambda batches: tidy(verify(batches)), f"a {kind}, b {kind}").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -354,7 +367,8 @@ def group_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str =
     Links join texts whose shingle sets have a Jaccard similarity of ``percent`` / 100 or more. A text that is null,
     empty or only white space has no shingles, is linked with nothing and is kept. Rows that repeat an id are one
     document: they share its component and the flag. A row without an id is linked with nothing, has a null component
-    and is kept. Any orderable type of id serves; other columns are ignored, whatever their names.
+    and is kept. Texts are compared whole, of any length; a similarity of just ``percent`` links; an empty table gives no rows.
+    Any orderable type of id serves; other columns are ignored, whatever their names.
     """
     kind = df.schema[id_col].dataType.simpleString()
     sig = materialise(signatures(df, id_col, text_col, shingle, bands, rows), "signatures")
@@ -374,7 +388,7 @@ def _links(reps: DataFrame, texts: DataFrame, sig: DataFrame, kind: str, shingle
     """Links (a, b) that give the components of the representatives, and links between ids that repeat."""
     met = reps.select("rep", F.explode("bands").alias("bucket"))
     leads = met.groupBy("bucket").agg(F.min("rep").alias("leader"), F.count(F.lit(1)).alias("size")).filter("size > 1")
-    members = materialise(met.join(leads, "bucket").select("bucket", "leader", "size", F.col("rep").alias("doc")), "buckets")
+    members = materialise(_by_bucket(met.withColumnRenamed("rep", "doc"), leads).select("bucket", "leader", "size", "doc"), "buckets")
     pairs = materialise(members.filter("doc <> leader").groupBy(F.col("leader").alias("a"), F.col("doc").alias("b")).agg(F.max("size").alias("size")), "pairs")
     # the ids have no bound, so the texts that are needed are found by a merge join; both steps below then use these only
     texts = materialise(texts.join(members.select("doc").distinct().hint("merge"), "doc", "left_semi"), "texts")
@@ -384,20 +398,32 @@ def _links(reps: DataFrame, texts: DataFrame, sig: DataFrame, kind: str, shingle
     links = materialise(_verify(pairs, texts, kind, shingle, percent).unionByName(twice.filter("rep <> doc").select(F.col("rep").alias("a"), F.col("doc").alias("b"))).distinct(), "links")
     comp = components(links)
     labelled = members.filter("size > 2").join(comp.withColumnRenamed("doc", "doc_"), F.col("doc") == F.col("doc_"), "left").select("bucket", "leader", "size", "doc", F.coalesce("comp", "doc").alias("comp"))
-    several = labelled.groupBy("bucket").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y").select("bucket")
-    open_ = labelled.join(several, "bucket").join(reps.select(F.col("rep").alias("doc"), "n", "sketch", "bands"), "doc")
+    counts = labelled.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("n"))
+    several = counts.groupBy("bucket").agg(F.max(F.struct("n", "comp")).alias("top"), F.sum("n").alias("all")).filter("top.n < all").select("bucket", F.col("top.comp").alias("main"), (F.col("all") - F.col("top.n")).alias("others"))
+    open_ = _by_bucket(labelled, several).join(reps.select(F.col("rep").alias("doc"), "n", "sketch", "bands"), "doc")
     more = materialise(_rest(open_, texts, kind, shingle, percent), "more-links")
     return links.unionByName(more)
 
 
+def _by_bucket(rows: DataFrame, facts: DataFrame) -> DataFrame:
+    """Rows (bucket, doc, ...) joined with their bucket's facts; a bucket's rows are dealt to SPREAD tasks, its one row of facts to each."""
+    spread = facts.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
+    return rows.withColumn("part", F.expr(f"int(pmod(xxhash64(doc), {SPREAD}))")).join(spread, ["bucket", "part"]).drop("part")
+
+
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """The rows of ``df``, unchanged, less those whose document isn't its group's first; copies of a row become one."""
-    groups = group_near_duplicates(df, id_col, text_col, percent=percent, bands=bands, rows=rows)
-    gone = groups.filter(~F.col("kept")).select(F.col(id_col).alias("gone_")).distinct()
-    kept = df.join(gone, df[id_col] == F.col("gone_"), "left_anti")
-    again = groups.groupBy(id_col).count().filter(F.col("count") > 1).filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("again_"))
-    again = materialise(again, "repeated")
-    if not again.take(1):
-        return kept
-    once = kept.join(again, kept[id_col] == F.col("again_"), "left_anti")
-    return once.unionByName(kept.join(again, kept[id_col] == F.col("again_"), "left_semi").dropDuplicates([id_col]))
+    """One row of ``df``, unchanged, of each group of near copies: that with the smallest id.
+
+    Rows with a null, empty or blank text are linked with nothing and stay. Where ids repeat or are null, every row is a document of
+    its own, in the order of id (nulls first) and text, so copies of a row become one and unlike texts under one id all stay.
+    Texts are compared whole, of any length. An empty table gives an empty one; columns may have any names.
+    """
+    own = df.select(F.col(id_col).alias("id")).groupBy("id").count().filter("count > 1 or id is null")
+    repeated = bool(own.take(1))
+    key = free_name(df.columns, "row_key") if repeated else id_col
+    if repeated:
+        df = materialise(df.orderBy(id_col, text_col).withColumn(key, F.monotonically_increasing_id()), "keyed")
+    groups = group_near_duplicates(df, key, text_col, percent=percent, bands=bands, rows=rows)
+    gone = free_name(df.columns, "gone")
+    kept = df.join(groups.filter(~F.col("kept")).select(F.col(key).alias(gone)), F.col(key) == F.col(gone), "left_anti")
+    return kept.drop(key) if repeated else kept

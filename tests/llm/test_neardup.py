@@ -102,6 +102,14 @@ def test_signatures_estimate_similarity():
     assert (one[0] == one[1]).all() and not (one[0] == one[2]).all() and np.isfinite(one).all()
 
 
+def test_many_ranks():
+    """More ranks than a byte counts; sets with fewer elements than ranks fill all positions."""
+    a = np.random.default_rng(4).integers(0, 1 << 62, 40).astype(np.uint64)
+    for m in (256, 257, 512, 1000):
+        (one,) = N.superminhash([a], m)
+        assert np.isfinite(one).all() and len(np.unique(one)) == m
+
+
 def test_long_texts_are_cut_at_words(monkeypatch):
     text = " ".join(f"w{k % 50}é" for k in range(4000))
     whole = N.shingle_sets([text, None, "x y"])
@@ -120,6 +128,17 @@ def test_odd_frames(spark):
     assert N.keep_one(df.limit(0)).count() == 0
 
 
+def test_keep_one_with_clashing_columns_and_repeated_ids(spark):
+    a, b = (" ".join(f"{x}{k}" for k in range(50)) for x in "ab")
+    rows = [(1, a, 0, 0, 0), (1, b, 0, 0, 0), (1, a + " more", 0, 0, 0), (2, b, 0, 0, 0), (None, a, 0, 0, 0), (None, "other words of it all", 0, 0, 0), (3, None, 0, 0, 0), (3, None, 0, 0, 0)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, gone int, gone_ int, row_key int")
+    got = N.keep_one(df)
+    assert got.columns == df.columns
+    assert sorted(((r.doc_id, r.text) for r in got.collect()), key=str) == sorted([(1, b), (None, a), (None, "other words of it all"), (3, None), (3, None)], key=str)
+    once = N.keep_one(df.filter("doc_id = 2 or text is null").limit(2))
+    assert once.columns == df.columns and once.count() == 2
+
+
 def test_components_of_a_chain(spark):
     edges = spark.createDataFrame([(k, k + 1) for k in range(1, 200)] + [(500, 400), (7, 7)], "a long, b long")
     got = {r.doc: r.comp for r in N.components(edges).collect()}
