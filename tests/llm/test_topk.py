@@ -8,16 +8,17 @@ from bytequarry.llm import topk
 
 
 def brute(rows, k=20, scale=64, every=20):
-    clean = {}
+    """Every row is a candidate, and a query if its id says so."""
+    clean = []
     for i, v in rows:
-        if i is None or not v or any(x is None or not math.isfinite(x) for x in v):
+        if i is None or not v or any(x is None or not math.isfinite(x * scale) for x in v):
             continue
-        e = tuple(math.floor(scale * x) for x in v)
-        clean[i] = min(clean.get(i, e), e)
+        clean.append((i, tuple(math.floor(scale * x) for x in v)))
     out = []
-    for q, a in clean.items():
+    for n, (q, a) in enumerate(clean):
         if q % every == 0:
-            best = sorted((-sum(x * y for x, y in zip(a, b, strict=False)), i) for i, b in clean.items() if i != q)[:k]
+            fit = lambda s: max(-(1 << 63), min((1 << 63) - 1, s))
+            best = sorted((-fit(sum(x * y for x, y in zip(a, b, strict=False))), i) for m, (i, b) in enumerate(clean) if m != n)[:k]
             out += [(q, n, i, -s) for n, (s, i) in enumerate(best, 1)]
     return sorted(out)
 
@@ -51,6 +52,32 @@ def test_few_rows_and_large_numbers(spark):
     assert search(spark, []) == []
 
 
+def test_repeated_ids_are_rows_of_their_own(spark):
+    rows = [(20, [1.0, 2.0]), (20, [1.0, 2.0]), (20, [3.0, -1.0]), (1, [1.0, 1.0]), (1, [1.0, 1.0]), (7, [0.5, 0.0])]
+    for k in (2, 20):
+        assert search(spark, rows, k=k) == brute(rows, k=k)
+
+
+def test_any_magnitude(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, (rng.normal(size=3) * 10.0 ** rng.integers(0, 14)).tolist()) for i in range(300)] + [(400, [1e306, 1.0]), (420, [1e200, -1e200]), (421, [-1e200])]
+    assert search(spark, rows, k=5) == brute(rows, k=5)
+
+
+def test_blocks_are_pruned(spark, monkeypatch):
+    """Far clusters: most pairs of blocks end before the second search, and nothing is lost."""
+    monkeypatch.setattr(topk, "ROWS", 50)
+    monkeypatch.setattr(topk, "QUERIES", 10)
+    rng = np.random.default_rng(5)
+    centers = 50 * rng.normal(size=(12, 8))
+    rows = [(i, (centers[i % 12] + 0.1 * rng.normal(size=8)).tolist()) for i in range(1200)]
+    seen = {}
+    plain = topk.materialise
+    monkeypatch.setattr(topk, "materialise", lambda df, name: seen.setdefault(name, plain(df, name)))
+    assert search(spark, rows) == brute(rows)
+    assert seen["open-pairs"].count() < 0.5 * seen["query-blocks"].count() * seen["candidate-blocks"].count()
+
+
 def test_extra_columns(spark):
     rows = [(0, [1.0], 5), (1, [2.0], 6), (2, [3.0], 7)]
     got = search(spark, rows, "vec_id long, embedding array<float>, score int")
