@@ -103,15 +103,16 @@ def _wide(x: np.ndarray, width: int) -> np.ndarray:
 class Search:
     """Top k of a block of queries over candidate blocks that come one after the other; the bounds carry over.
 
-    ids and rows name the queries; a candidate with a query's own row isn't compared with it. floor: a score that each query
-    is known to reach k times elsewhere, so that only candidates from there on are looked for.
+    ids and rows name the queries; a candidate with a query's own row isn't compared with it. floor: score and id of the kth
+    that each query is known to have elsewhere, so that only candidates which come before it are looked for.
     """
 
     def __init__(self, ids: np.ndarray, rows: np.ndarray, x: np.ndarray, k: int, tree: _Tree | None = None, floor: np.ndarray | None = None):
         self.ids, self.rows, self.x, self.k = ids, rows, x, k
         shape = (len(ids), k)
         self.score, self.found, self.found_row = np.full(shape, _LOW), np.full(shape, _HIGH), np.full(shape, _HIGH)
-        self.floor = np.full(len(ids), -np.inf) if floor is None else floor
+        self.kth, self.kth_id = np.array([[_LOW], [_HIGH]]).repeat(len(ids), 1) if floor is None else floor
+        self.floor = np.where(self.kth_id < _HIGH, self.kth.astype(float), -np.inf)
         self.top = float(np.abs(x).max())
         self.tree = tree or cover_tree(x)
         self._reset(self.tree)
@@ -178,6 +179,8 @@ class Search:
                 new = s[:, cols].astype(np.int64)
             shape = (len(q.points), len(cols))
             own = self.rows[q.points][:, None] == rows[at][None, :]
+            kth, kth_id = self.kth[q.points][:, None], self.kth_id[q.points][:, None]
+            own |= (new < kth) | (new == kth) & (ids[at] > kth_id)
             score = np.concatenate([self.score[q.points], np.where(own, _LOW, new)], 1)
             found = np.concatenate([self.found[q.points], np.where(own, _HIGH, np.broadcast_to(ids[at], shape))], 1)
             found_row = np.concatenate([self.found_row[q.points], np.where(own, _HIGH, np.broadcast_to(rows[at], shape))], 1)
@@ -276,7 +279,7 @@ def _searched(dealt: DataFrame, k: int, floors: bool) -> DataFrame:
                         if s is not None:
                             yield pa.RecordBatch.from_arrays([pa.array(a) for a in s.result()], names=names)
                         group = (q, g)
-                        s = Search(*_opened(ids, rows, data, width), k, pickle.loads(tree), np.frombuffer(floor) if floors else None)
+                        s = Search(*_opened(ids, rows, data, width), k, pickle.loads(tree), np.frombuffer(floor, np.int64).reshape(2, -1) if floors else None)
                     elif (q, g) == group:
                         s.add(*_opened(ids, rows, data, width), pickle.loads(tree))
         if s is not None:
@@ -336,8 +339,9 @@ def search(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding",
     left = query.select(F.col("block").alias("q"), F.lit(0).alias("g"), F.lit(0).alias("side"), "block", *plain, no_floor)
     right = cand.join(first, F.col("block") == F.col("c")).select("q", F.lit(0).alias("g"), F.lit(1).alias("side"), "block", *plain, no_floor)
     near = materialise(_searched(left.unionByName(right), k, False), "first-scores")
-    # the kth score of each query that has k of them
-    kth = near.groupBy("query_row").agg(F.min("score").alias("kth"), F.count(F.lit(1)).alias("n")).filter(F.col("n") == k)
+    # the kth of each query that has k of them
+    kth = near.groupBy("query_row").agg(F.max(F.struct(F.bitwise_not("score").alias("low"), "vec_id")).alias("kth"), F.count(F.lit(1)).alias("n")).filter(F.col("n") == k)
+    kth = kth.select("query_row", F.bitwise_not("kth.low").alias("score"), "kth.vec_id")
 
     def floors(batches):
         for batch in batches:
@@ -347,14 +351,16 @@ def search(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding",
 
     listed = query.select("block", "rows").mapInArrow(floors, "block long, query_row long, at long").join(kth, "query_row", "left")
     # a block's list is as long as the block
-    held = listed.groupBy("block").agg(F.transform(F.sort_array(F.collect_list(F.struct("at", F.coalesce(F.col("kth").cast("double"), F.lit(float("-inf"))).alias("kth")))), lambda x: x["kth"]).alias("floors"))
+    kths = F.sort_array(F.collect_list(F.struct("at", F.coalesce("score", F.lit(_LOW)).alias("score"), F.coalesce("vec_id", F.lit(_HIGH)).alias("vec_id"))))
+    held = listed.groupBy("block").agg(kths.alias("kths")).select("block", F.concat(F.transform("kths", lambda x: x["score"]), F.transform("kths", lambda x: x["vec_id"])).alias("floors"))
     known_q = materialise(query.join(held, "block").join(first.withColumnRenamed("q", "block"), "block"), "floors")
 
     def pairs(batches):
         for batch in batches:
             for i in range(batch.num_rows):
                 x = _opened(*(batch.column(c)[i].as_py() for c in ("ids", "rows", "data", "width")))[2]
-                floor = np.array(batch.column("floors")[i].as_py())
+                kth, kth_id = np.array(batch.column("floors")[i].as_py(), np.int64).reshape(2, -1)
+                floor = np.where(kth_id < _HIGH, kth.astype(float), -np.inf)
                 with np.errstate(all="ignore"):
                     open_ = (limits(x) >= floor[:, None]).any(0)
                 open_ &= known.value[0] != batch.column("c")[i].as_py()
@@ -363,7 +369,7 @@ def search(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding",
 
     met = materialise(known_q.select("block", "ids", "rows", "data", "width", "floors", "c").mapInArrow(pairs, "q long, c long, g int"), "open-pairs")
     as_bytes = lambda batches: (
-        pa.RecordBatch.from_arrays([b.column(0), pa.array([np.array(v).tobytes() for v in b.column(1).to_pylist()], pa.binary())], names=["q", "floor"]) for b in batches
+        pa.RecordBatch.from_arrays([b.column(0), pa.array([np.array(v, np.int64).tobytes() for v in b.column(1).to_pylist()], pa.binary())], names=["q", "floor"]) for b in batches
     )
     floor = known_q.select(F.col("block").alias("q"), "floors").mapInArrow(as_bytes, "q long, floor binary")
     left = query.withColumnRenamed("block", "q").join(met.select("q", "g").distinct(), "q").join(floor, "q").select("q", "g", F.lit(0).alias("side"), F.col("q").alias("block"), *plain, "floor")
