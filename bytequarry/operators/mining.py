@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from bytequarry.operators.suffixes import _previous, saved
-
+from bytequarry.operators.suffixes import build, saved
 
 #: Rows of a suffix array that a window takes at once.
 BLOCK = 1 << 16
@@ -43,42 +42,60 @@ def frequent_substrings(corpus: DataFrame, least: int, most: int | None = None,
     return found.join(shorter, "s", "left_anti").select("s", "n")
 
 
-def minimal_unique(sa_lcp: DataFrame, corpus: DataFrame, longest: int = 255) -> DataFrame:
+def minimal_unique(array: DataFrame, corpus: DataFrame, longest: int = 255) -> DataFrame:
     """doc, off, length: the shortest string from each place that occurs in no other document, where none shorter ends as far.
 
-    ``sa_lcp`` is a suffix array with its common prefixes. A place's length is one more than the longest prefix that it shares with the
+    ``array`` is a stored suffix array. A place's length is one more than the longest prefix that it shares with the
     nearest row of another document on either side; it is left out beyond ``longest``, beyond the document's end and where the next place's is shorter.
     With a single document the nearest rows of that document count.
     """
     sizes = corpus.select("doc", F.length("content").alias("size"))
-    single = sizes.count() <= 1
-    if single:
-        after = sa_lcp.select((F.col("row") - 1).alias("row"), F.col("lcp").alias("next_lcp"))
-        both = sa_lcp.join(after, "row", "left").select("doc", "off", F.greatest("lcp", F.coalesce("next_lcp", F.lit(0))).alias("shared"))
+    if sizes.count() <= 1:
+        after = array.select((F.col("row") - 1).alias("row"), F.col("lcp").alias("next_lcp"))
+        both = array.join(after, "row", "left").select("doc", "off", F.greatest("lcp", F.coalesce("next_lcp", F.lit(0))).alias("shared"))
     else:
-        both = _nearest_other(sa_lcp)
-    state = both.join(sizes, "doc").select("doc", "off", "size", (F.col("shared") + 1).alias("length"))
+        both = _nearest_other(array)
+    state = saved(both.join(sizes, "doc").select("doc", "off", "size", (F.col("shared") + 1).alias("length")), "shortest")
     following = state.select("doc", (F.col("off") - 1).alias("off"), F.col("length").alias("next_length"))
     joined = state.join(following, ["doc", "off"], "left")
     return joined.filter((F.col("length") <= longest) & (F.col("off") + F.col("length") <= F.col("size")) & ~(F.coalesce(F.col("next_length"), F.lit(1 << 30)) < F.col("length"))).select("doc", "off", "length")
 
 
-def _nearest_other(sa_lcp: DataFrame) -> DataFrame:
+def _nearest_other(array: DataFrame) -> DataFrame:
     """doc, off, shared: the longest prefix shared with any suffix of another document.
 
-    Rows of a document in a row form a run. A run's first row meets the run before through its own lcp; the others through the least lcp since,
-    and so with the run behind.
+    Rows of a document in a row form a run. A run's first row meets the run before through its own lcp, the others through the least lcp since,
+    and all meet the run behind through the least lcp up to its first row. Windows see the part of a run in one block of rows; what a run
+    brings from the blocks before or behind is one number a block, so a run of any length is never one task's.
     """
-    marked = _previous(sa_lcp, ["doc"]).withColumn("edge", F.when(F.col("prev_doc").isNull() | (F.col("prev_doc") != F.col("doc")), F.col("row"))).withColumn("block", F.floor(F.col("row") / BLOCK))
-    last = marked.groupBy("block").agg(F.max("edge").alias("e")).withColumn("carried", F.max("e").over(Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1))).select("block", "carried")
-    inside = Window.partitionBy("block").orderBy("row").rowsBetween(Window.unboundedPreceding, 0)
-    numbered = marked.withColumn("own", F.max("edge").over(inside)).join(last, "block").withColumn("run", F.coalesce("own", "carried"))
-    behind = sa_lcp.select((F.col("row") - 1).alias("row"), F.col("lcp").alias("behind"))
-    runs = numbered.join(behind, "row", "left").select("row", "doc", "off", "lcp", "run", "behind")
-    up = Window.partitionBy("run").orderBy("row").rowsBetween(Window.unboundedPreceding, 0)
-    down = Window.partitionBy("run").orderBy("row").rowsBetween(0, Window.unboundedFollowing)
-    least = runs.withColumn("a", F.min("lcp").over(up)).withColumn("b", F.min(F.coalesce("behind", F.lit(0))).over(down))
-    return least.select("doc", "off", F.greatest(F.when(F.col("run") > 0, F.col("a")).otherwise(F.lit(0)), "b").alias("shared"))
+    edge = F.col("prev_doc").isNull() | (F.col("prev_doc") != F.col("doc"))
+    rows = array.select("row", "doc", "off", "lcp", F.floor(F.col("row") / BLOCK).alias("block"), F.when(edge, F.col("row")).alias("edge"))
+    by = Window.partitionBy("block").orderBy("row")
+    ahead = by.rowsBetween(1, Window.unboundedFollowing)
+    placed = rows.withColumn("run", F.max("edge").over(by.rowsBetween(Window.unboundedPreceding, 0))).withColumn("then", F.first(F.when(F.col("edge").isNotNull(), F.col("lcp")), ignorenulls=True).over(ahead))
+    run = Window.partitionBy("block", "run").orderBy("row")
+    inner = placed.withColumn("a", F.min("lcp").over(run.rowsBetween(Window.unboundedPreceding, 0))).withColumn("b", F.min("lcp").over(run.rowsBetween(1, Window.unboundedFollowing)))
+    inner = saved(inner.select("row", "doc", "off", "lcp", "block", "run", "then", "a", "b"), "runs")
+    # of each block: the least lcp of its last run, or of all of it where no run begins; and up to the first edge, likewise
+    last = inner.groupBy("block").agg(F.max("run").alias("last"), F.min("run").alias("first"))
+    facts = inner.join(last, "block").groupBy("block").agg(
+        F.max(F.col("last").isNotNull()).alias("cut"),
+        F.min(F.when(F.col("run").eqNullSafe(F.col("last")), F.col("lcp"))).alias("tail"),
+        F.min(F.when(F.col("first").isNull() | (F.col("row") <= F.col("first")), F.col("lcp"))).alias("head"),
+    )
+
+    def carried(value: str, order) -> DataFrame:
+        # blocks without an edge pass on what they got: a running minimum that starts anew behind each block with one
+        line = Window.orderBy(order)
+        part = F.sum(F.when(F.col("cut"), 1).otherwise(0)).over(line.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+        return facts.withColumn("part", part).withColumn("run_min", F.min(value).over(Window.partitionBy("part").orderBy(order).rowsBetween(Window.unboundedPreceding, 0))).withColumn("got", F.lag("run_min").over(line)).select("block", "got")
+
+    before = carried("tail", F.col("block")).withColumnRenamed("got", "before")
+    behind = carried("head", F.col("block").desc()).withColumnRenamed("got", "behind")
+    least = inner.join(before, "block").join(behind, "block")
+    a = F.when(F.col("run").isNotNull(), F.col("a")).otherwise(F.least("a", F.coalesce("before", F.lit(0))))
+    b = F.when(F.col("then").isNotNull(), F.least("b", "then")).otherwise(F.least("b", F.coalesce("behind", F.lit(0))))
+    return least.select("doc", "off", F.greatest(a, b).alias("shared"))
 
 
 def unique_statistics(unique: DataFrame) -> DataFrame:

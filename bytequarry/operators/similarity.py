@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from bytequarry.operators.suffixes import _previous
+from bytequarry.operators.suffixes import saved
 from bytequarry.operators.winnow import gram_hashes
 
 
@@ -65,38 +65,38 @@ def shared_score(inputs: DataFrame, corpus: DataFrame, least: int = 8, without:
     return total.join(a, "q").join(b, "doc").select("q", "doc", (F.col("common") / F.least("q_size", "doc_size")).alias("score"))
 
 
-def adjacent(sa: DataFrame) -> DataFrame:
+def adjacent(array: DataFrame) -> DataFrame:
     """doc_a < doc_b, score: how often suffixes of two documents are neighbours, over the root of both documents' neighbours."""
-    pairs = _previous(sa, ["doc"]).filter("prev_doc is not null")
+    pairs = array.filter("prev_doc is not null").select("doc", "prev_doc")
     terms = pairs.select(F.explode(F.array("doc", "prev_doc")).alias("doc")).groupBy("doc").agg(F.count(F.lit(1)).alias("terms"))
     met = pairs.filter("doc <> prev_doc").groupBy(F.least("doc", "prev_doc").alias("doc_a"), F.greatest("doc", "prev_doc").alias("doc_b")).agg(F.count(F.lit(1)).alias("met"))
     a, b = terms.select(F.col("doc").alias("doc_a"), F.col("terms").alias("t_a")), terms.select(F.col("doc").alias("doc_b"), F.col("terms").alias("t_b"))
     return met.join(a, "doc_a").join(b, "doc_b").select("doc_a", "doc_b", F.sqrt(F.col("met") / F.sqrt("t_a") / F.sqrt("t_b")).alias("score"))
 
 
-def blocked(sa_lcp: DataFrame, corpus: DataFrame, size: int = 1000, least: int = 60) -> DataFrame:
+def blocked(array: DataFrame, corpus: DataFrame, size: int = 1000, least: int = 60) -> DataFrame:
     """doc_a < doc_b, score: common prefixes weighted by both documents' suffixes, in blocks of about ``size`` rows.
 
     A block ends before the row with the smallest common prefix (the first of them) of each stretch of ``size`` rows. Where all of a block
     shares ``least`` bytes, each pair of its documents counts with the block's least prefix; neighbours of different documents that share
-    more count with theirs.
+    more count with theirs. A block has at most twice ``size`` rows, so its pairs are bounded whatever the corpus.
     """
-    rows = sa_lcp.withColumn("stretch", F.floor(F.col("row") / size))
+    rows = array.select("row", "doc", "lcp", "prev_doc", F.floor(F.col("row") / size).alias("stretch"))
     cuts = rows.groupBy("stretch").agg(F.min(F.struct("lcp", "row")).alias("m")).select("stretch", F.col("m.row").alias("cut"))
-    block = F.when(F.col("row") >= F.col("cut"), F.col("stretch") + 1).otherwise(F.col("stretch"))
-    placed = _previous(sa_lcp, ["doc"]).withColumn("stretch", F.floor(F.col("row") / size)).join(cuts, "stretch").withColumn("block", block)
-    first = placed.groupBy("block").agg(F.min("row").alias("first"))
-    inner = placed.join(first, "block").withColumn("inside", F.when(F.col("row") > F.col("first"), F.col("lcp")))
+    placed = rows.join(cuts, "stretch").withColumn("block", F.when(F.col("row") >= F.col("cut"), F.col("stretch") + 1).otherwise(F.col("stretch")))
+    # a block's first row is the cut before it, and row 0
+    inner = placed.withColumn("inside", F.when((F.col("row") != F.col("cut")) & (F.col("row") > 0), F.col("lcp")))
     low = inner.groupBy("block").agg(F.coalesce(F.min("inside"), F.lit(0)).alias("low"))
+    told = saved(inner.join(low, "block").filter((F.col("low") >= least) | (F.col("lcp") >= least)).select("block", "row", "doc", "prev_doc", "lcp", "inside", "low"), "blocks")
     n = corpus.select("doc", F.length("content").cast("double").alias("n")).select("doc", (F.col("n") * (F.col("n") + 1) / 2).alias("sa"))
-    counts = placed.groupBy("block", "doc").agg(F.count(F.lit(1)).alias("c")).join(low.filter(F.col("low") >= least), "block").join(n, "doc")
+    a, b = n.select(F.col("doc").alias("doc_a"), F.col("sa").alias("s_a")), n.select(F.col("doc").alias("doc_b"), F.col("sa").alias("s_b"))
+    counts = told.filter(F.col("low") >= least).groupBy("block", "low", "doc").agg(F.count(F.lit(1)).alias("c")).join(n, "doc")
     x = counts.select("block", "low", F.col("doc").alias("doc_a"), F.col("c").alias("c_a"), F.col("sa").alias("s_a"))
     y = counts.select("block", F.col("doc").alias("doc_b"), F.col("c").alias("c_b"), F.col("sa").alias("s_b"))
     whole = x.join(y, "block").filter("doc_a < doc_b").select("doc_a", "doc_b", (F.col("low") * (F.col("c_a") * F.col("s_b") + F.col("c_b") * F.col("s_a"))).alias("w"))
-    near = inner.join(low, "block").filter(F.col("inside").isNotNull() & (F.col("doc") != F.col("prev_doc")) & (F.col("lcp") > F.col("low")) & (F.col("lcp") >= least))
-    near = near.select(F.least("doc", "prev_doc").alias("doc_a"), F.greatest("doc", "prev_doc").alias("doc_b"), "lcp")
-    a, b = n.select(F.col("doc").alias("doc_a"), F.col("sa").alias("s_a")), n.select(F.col("doc").alias("doc_b"), F.col("sa").alias("s_b"))
-    part = near.join(a, "doc_a").join(b, "doc_b").select("doc_a", "doc_b", (F.col("lcp") * (F.col("s_a") + F.col("s_b"))).alias("w"))
+    near = told.filter(F.col("inside").isNotNull() & (F.col("doc") != F.col("prev_doc")) & (F.col("lcp") > F.col("low")) & (F.col("lcp") >= least))
+    met = near.groupBy(F.least("doc", "prev_doc").alias("doc_a"), F.greatest("doc", "prev_doc").alias("doc_b")).agg(F.sum("lcp").alias("lcp"))
+    part = met.join(a, "doc_a").join(b, "doc_b").select("doc_a", "doc_b", (F.col("lcp") * (F.col("s_a") + F.col("s_b"))).alias("w"))
     total = whole.unionByName(part).groupBy("doc_a", "doc_b").agg(F.sum("w").alias("w"))
     return total.join(a, "doc_a").join(b, "doc_b").select("doc_a", "doc_b", F.sqrt(F.col("w") / (2 * F.col("s_a") * F.col("s_b"))).alias("score"))
 

@@ -1,81 +1,171 @@
-"""Suffix arrays by prefix doubling, and what is read off them.
+"""Suffix arrays: built once, stored with common prefixes and preceding bytes, and read off.
 
-A suffix ends with its document, an ended one sorts before any byte, and equal suffixes are in the order of documents. A round
-ranks all suffixes by their first 2k bytes from their ranks by k: one join on (document, offset + k) and one sort over range
-partitions. Rounds end when all ranks differ or 2k covers the longest document, so their number grows with the logarithm of the longest repeat.
-Every round is written in the shared folder, which cuts the lineage.
+A suffix ends with its document, an ended one sorts before any byte, and equal suffixes are in the order of documents.
+
+Large corpora are ranked by prefix doubling over range-partitioned sorts: a round sorts the suffixes that aren't settled yet by their
+ranks for k bytes and those of the suffixes k bytes on. Ranks come from row numbers within the sorted partitions and a list of the
+partitions' ends, so a round is one join and one sort. A suffix is settled when no other has its rank, or when it and its equals have ended;
+rounds end with the longest repeat. Texts are read in slices, so no document, however long, is one row of a join.
+
+Corpora of up to ``SMALL`` bytes are sorted by the same steps in the memory of one task, which gives the same rows without the rounds' jobs.
 """
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from collections.abc import Iterator
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes that the first ranking sees.
-FIRST = 8
-#: Bytes of two suffixes that are compared first.
-WINDOW = 64
+FIRST = 7
+#: Bytes of two suffixes that are compared first, and of a slice of a text.
+WINDOW, SLICE = 64, 4096
+#: Bytes of a corpus that one task may sort.
+SMALL = 4 << 20
+#: Rows of a chunk for which a stored array lists its documents.
+CHUNK = 2048
 
+_COLUMNS = "row long, doc long, off long, lcp long, byte int, prev_doc long"
 
-def saved(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written once under ``spark.checkpoint.dir`` (a temporary folder only where that is unset) and read again."""
-    spark = df.sparkSession
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that all executors share, ``spark.checkpoint.dir``; a folder of one machine would be lost to the others."""
     top = spark.conf.get("spark.checkpoint.dir", None)
     if not top:
-        top = "file://" + tempfile.mkdtemp(prefix="bytequarry-")
-        spark.conf.set("spark.checkpoint.dir", top)
-    path = f"{top.rstrip('/')}/bytequarry/{name}-{uuid.uuid4().hex}"
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors reach")
+    return top.rstrip("/")
+
+
+def saved(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once in the shared folder and read again, which cuts its lineage; the files go when the driver's JVM ends."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/bytequarry/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def ranked(df: DataFrame, keys: list[str], name: str = "rank", row: str | None = None) -> DataFrame:
-    """``df`` with the number of rows whose keys are smaller; with ``row``, also numbers from 0 that break ties by the sort's order."""
-    rows = saved(df.orderBy(*keys, *([c for c in ("doc", "off") if c in df.columns and c not in keys])).withColumn("_slot", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id()), "sorted")
-    sizes = rows.groupBy("_slot").agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_first"))
-    w = Window.orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
-    base = sizes.select("_slot", (F.coalesce(F.sum("_n").over(w), F.lit(0)) - F.col("_first")).alias("_base"))
-    numbered = rows.join(F.broadcast(base), "_slot").withColumn("_row", (F.col("_at") + F.col("_base")).cast("long")).drop("_slot", "_at", "_base")
-    least = numbered.groupBy(*keys).agg(F.min("_row").alias(name))
-    joined = numbered.join(least.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)), name), [numbered[k].eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]).drop(*(f"_k{i}" for i in range(len(keys))))
-    return joined.withColumnRenamed("_row", row) if row else joined.drop("_row")
+# ------------------------------------------------------------------ positions in a global order
 
 
-def suffix_array(corpus: DataFrame) -> DataFrame:
-    """row, doc, off: all suffixes of all documents in their order."""
-    first = corpus.filter("length(content) > 0").select("doc", "content", F.explode(F.sequence(F.lit(0), F.length("content") - 1)).alias("off"))
-    state = ranked(first.select("doc", F.col("off").cast("long").alias("off"), F.substring("content", F.col("off") + 1, F.lit(FIRST)).alias("head")), ["head"]).select("doc", "off", "rank")
-    k, longest = FIRST, corpus.agg(F.max(F.length("content"))).first()[0] or 0
-    while True:
-        state = saved(state, "ranks")
-        n, distinct = state.agg(F.count(F.lit(1)), F.countDistinct("rank")).first()
-        if distinct == n or k >= longest:
-            break
-        ahead = state.select("doc", (F.col("off") - k).alias("off"), F.col("rank").alias("then"))
-        pairs = state.join(ahead, ["doc", "off"], "left").select("doc", "off", F.col("rank").alias("now"), F.coalesce("then", F.lit(-1).cast("long")).alias("then"))
-        state = ranked(pairs, ["now", "then"]).select("doc", "off", "rank")
-        k *= 2
-    return ranked(state, ["rank"], "r", row="row").select("row", "doc", "off")
+def positions(df: DataFrame, keys: list[str], ties: list[str], name: str) -> DataFrame:
+    """``df`` with ``at``, its number in the order of keys and ties, and ``run0``, ``run1``, ...: the number of the first row that
+    agrees in the first 1, 2, ... keys. Keys are longs.
+
+    One sort; rows are numbered in their sorted partition, and where a partition begins, and with which run, follows from the ends of all
+    partitions, one small row for each.
+    """
+    kept = df.columns
+    schema = df.select(*kept).schema.add("_slot", "integer").add("at", "long")
+    for k in range(len(keys)):
+        schema = schema.add(f"run{k}", "long")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        slot, done, last, starts = TaskContext.get().partitionId(), 0, None, [0] * len(keys)
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            at = np.arange(done, done + n)
+            cols, new = [], np.zeros(n, bool)
+            for k, key in enumerate(keys):
+                v = batch.column(key).to_numpy(zero_copy_only=False)
+                new[1:] |= v[1:] != v[:-1]
+                new[0] |= last is None or last[k] != v[0]
+                first = np.maximum.accumulate(np.where(new, at, -1))
+                first[first < 0] = starts[k]
+                starts[k] = int(first[-1])
+                cols.append(pa.array(first))
+            last = [batch.column(key)[n - 1].as_py() for key in keys]
+            done += n
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(n, slot, np.int32)), pa.array(at), *cols], names=[*batch.schema.names, "_slot", "at", *(f"run{k}" for k in range(len(keys)))])
+
+    rows = saved(df.orderBy(*keys, *ties).mapInArrow(run, schema), name)
+    ends = F.struct(*keys)
+    slots = rows.groupBy("_slot").agg(F.count(F.lit(1)).alias("n"), F.min(ends).alias("first"), F.max(ends).alias("last"), *(F.max(f"run{k}").alias(f"run{k}") for k in range(len(keys)))).orderBy("_slot").collect()
+    # the sorted partitions' ends: as many rows as the sort has partitions
+    base, facts, before, starts = 0, [], None, [0] * len(keys)
+    for s in slots:
+        first, last = tuple(s["first"]), tuple(s["last"])
+        carried = [starts[k] if before is not None and before[: k + 1] == first[: k + 1] else base for k in range(len(keys))]
+        facts.append((s["_slot"], base, *carried))
+        starts = [base + s[f"run{k}"] if s[f"run{k}"] else carried[k] for k in range(len(keys))]
+        before, base = last, base + s["n"]
+    table = df.sparkSession.createDataFrame(facts, "_slot int, _base long, " + ", ".join(f"_first{k} long" for k in range(len(keys))))
+    numbered = rows.join(F.broadcast(table), "_slot")
+    out = [F.when(F.col(f"run{k}") > 0, F.col("_base") + F.col(f"run{k}")).otherwise(F.col(f"_first{k}")).alias(f"run{k}") for k in range(len(keys))]
+    return numbered.select(*kept, (F.col("_base") + F.col("at")).alias("at"), *out)
 
 
-def _previous(sa: DataFrame, columns: list[str]) -> DataFrame:
-    """``sa`` with columns of the row before, under ``prev_``: an equi-join on the row number, so no single task sees all rows."""
-    before = sa.select((F.col("row") + 1).alias("row"), *(F.col(c).alias(f"prev_{c}") for c in columns))
-    return sa.join(before, "row", "left")
+# ------------------------------------------------------------------ building
 
 
-def with_lcp(sa: DataFrame, corpus: DataFrame) -> DataFrame:
-    """row, doc, off, lcp: the common prefix with the row before, in bytes (0 for the first).
+def _heads(data: bytes, start: int, stop: int) -> np.ndarray:
+    """For each place: its first FIRST bytes and how many of them there are, as a number in the order of the suffixes."""
+    a = np.zeros(stop - start + FIRST, np.uint64)
+    part = np.frombuffer(data, np.uint8)[start : stop + FIRST]
+    a[: len(part)] = part
+    n = stop - start
+    head = np.zeros(n, np.uint64)
+    for k in range(FIRST):
+        head = (head << np.uint64(8)) | a[k : k + n]
+    left = np.minimum(len(data) - np.arange(start, stop), FIRST + 1).astype(np.uint64)
+    return ((head << np.uint64(8)) | left).view(np.int64) ^ np.int64(-(1 << 63))
 
-    A round compares ``window`` bytes of both suffixes, so no row ever carries a whole document to the next join; pairs that agree in
-    all of them go on with a window eight times as long. What is read in all grows with the prefixes, not with the documents' squares.
+
+def _suffixes(corpus: DataFrame) -> DataFrame:
+    """doc, off, head, ended of every place."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for doc, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                data = data.as_py()
+                for at in range(0, len(data), 1 << 18):
+                    stop = min(len(data), at + (1 << 18))
+                    off = np.arange(at, stop)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(stop - at, doc)), pa.array(off), pa.array(_heads(data, at, stop)), pa.array(off + FIRST >= len(data))], names=["doc", "off", "head", "ended"])
+
+    return corpus.filter("length(content) > 0").select("doc", "content").mapInArrow(run, "doc long, off long, head long, ended boolean")
+
+
+def _ranks(corpus: DataFrame) -> DataFrame:
+    """doc, off, rank of every place, rank being the number of smaller suffixes; only equal suffixes share one."""
+    state = positions(_suffixes(corpus), ["head"], [], "heads").select("doc", "off", F.col("run0").alias("rank"), "ended")
+    settled, k = None, FIRST
+    while True:
+        # suffixes of one rank have all ended, and are equal, or none has
+        sizes = state.groupBy("rank").agg(F.count(F.lit(1)).alias("n"))
+        told = saved(state.join(sizes, "rank").select("doc", "off", "rank", (F.col("ended") | (F.col("n") == 1)).alias("done")), "ranks")
+        done = told.filter("done").select("doc", "off", "rank")
+        settled = done if settled is None else settled.unionByName(done)
+        left = told.filter("not done").select("doc", "off", "rank")
+        if not left.take(1):
+            return settled
+        ahead = settled.unionByName(left).select("doc", (F.col("off") - k).alias("off"), F.col("rank").alias("then"))
+        pairs = left.join(ahead, ["doc", "off"], "left").select("doc", "off", "rank", F.coalesce("then", F.lit(-1).cast("long")).alias("then"))
+        placed = positions(pairs, ["rank", "then"], [], "pairs")
+        new = placed.select("doc", "off", (F.col("rank") + F.col("run1") - F.col("run0")).alias("rank"), (F.col("then") < 0).alias("ended"))
+        state, k = saved(new, "state"), 2 * k
+
+
+def _prefixes(rows: DataFrame, corpus: DataFrame) -> DataFrame:
+    """``rows`` (row, doc, off, prev_doc, prev_off, byte) with lcp: common bytes with the row before.
+
+    A round compares ``window`` bytes of both suffixes, taken from slices of the texts; pairs that agree in all of them go on with a window
+    eight times as long. What is read in all grows with the prefixes, not with the documents' squares.
     """
-    mine, theirs = corpus.select("doc", F.col("content").alias("t")), corpus.select(F.col("doc").alias("prev_doc"), F.col("content").alias("u"))
+    names = ["row", "doc", "off", "prev_doc", "prev_off", "byte"]
+    state, done, window = rows.withColumn("lcp", F.lit(0).cast("long")), [], WINDOW
+    done.append(state.filter("prev_doc is null"))
+    state = state.filter("prev_doc is not null")
     # the first position that differs, found by halving
     step = F.expr("""
         aggregate(sequence(0, 30), named_struct('lo', 0, 'hi', least(length(mine), length(theirs))),
@@ -83,42 +173,223 @@ def with_lcp(sa: DataFrame, corpus: DataFrame) -> DataFrame:
             if(substring(mine, s.lo + 1, (s.lo + s.hi + 1) div 2 - s.lo) = substring(theirs, s.lo + 1, (s.lo + s.hi + 1) div 2 - s.lo),
                named_struct('lo', int((s.lo + s.hi + 1) div 2), 'hi', s.hi), named_struct('lo', s.lo, 'hi', int((s.lo + s.hi + 1) div 2) - 1))),
           s -> s.lo)""")
-    pairs = _previous(sa, ["doc", "off"]).withColumn("lcp", F.lit(0).cast("long"))
-    done, state, window = pairs.filter("prev_doc is null").select("row", "doc", "off", "lcp"), pairs.filter("prev_doc is not null"), WINDOW
     while True:
-        left = state.join(mine, "doc").withColumn("mine", F.expr(f"substring(t, int(off + lcp) + 1, {window})")).drop("t")
-        both = left.join(theirs, "prev_doc").withColumn("theirs", F.expr(f"substring(u, int(prev_off + lcp) + 1, {window})")).drop("u")
-        got = saved(both.withColumn("step", step).select("row", "doc", "off", "prev_doc", "prev_off", (F.col("lcp") + F.col("step")).alias("lcp"), (F.col("step") == window).alias("more")), "prefixes")
-        done = done.unionByName(got.filter("not more").select("row", "doc", "off", "lcp"))
+        size = max(SLICE, window)
+        text = corpus.filter("length(content) > 0").select(F.col("doc").alias("d"), "content", F.explode(F.sequence(F.lit(0), F.floor((F.length("content") - 1) / size).cast("int"))).alias("slice"))
+        text = text.select("d", "slice", F.expr(f"substring(content, slice * {size} + 1, {size + window})").alias("t"))
+
+        def read(df, doc, off, name, text=text, size=size, window=window):
+            at = df.withColumn("_at", F.col(off) + F.col("lcp")).withColumn("_slice", F.floor(F.col("_at") / size).cast("int"))
+            met = at.join(text, (F.col(doc) == F.col("d")) & (F.col("_slice") == F.col("slice")), "left")
+            return met.withColumn(name, F.coalesce(F.expr(f"substring(t, int(_at % {size}) + 1, {window})"), F.lit(b""))).drop("d", "slice", "t", "_at", "_slice")
+
+        both = read(read(state, "doc", "off", "mine"), "prev_doc", "prev_off", "theirs")
+        got = saved(both.withColumn("step", step).select(*names, (F.col("lcp") + F.col("step")).alias("lcp"), (F.col("step") == window).alias("more")), "prefixes")
+        done.append(got.filter("not more").drop("more"))
         state = got.filter("more").drop("more")
         if not state.take(1):
-            return done
+            out = done[0]
+            for x in done[1:]:
+                out = out.unionByName(x)
+            return out
         window *= 8
 
 
-def bwt(sa: DataFrame, corpus: DataFrame) -> DataFrame:
+def _large(corpus: DataFrame) -> DataFrame:
+    ranked = positions(_ranks(corpus), ["rank"], ["doc"], "array").select(F.col("at").alias("row"), "doc", "off")
+    text = corpus.select(F.col("doc").alias("d"), "content", F.explode(F.sequence(F.lit(0), F.floor(F.length("content") / SLICE).cast("int"))).alias("slice"))
+    text = text.select("d", "slice", F.expr(f"substring(content, slice * {SLICE} + 1, {SLICE})").alias("t"))
+    before = (F.col("off") - 1).alias("b")
+    met = ranked.select("*", before).join(text, (F.col("doc") == F.col("d")) & (F.floor(F.col("b") / SLICE).cast("int") == F.col("slice")), "left")
+    byte = F.conv(F.hex(F.expr(f"substring(t, int(b % {SLICE}) + 1, 1)")), 16, 10).cast("int")
+    rows = saved(met.select("row", "doc", "off", F.when(F.col("off") > 0, byte).alias("byte")), "bytes")
+    prev = rows.select((F.col("row") + 1).alias("row"), F.col("doc").alias("prev_doc"), F.col("off").alias("prev_off"))
+    return _prefixes(rows.join(prev, "row", "left"), corpus).select("row", "doc", "off", "lcp", "byte", "prev_doc")
+
+
+def sort_in_memory(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Number of the text, place, common prefix and preceding byte (-1: none) of all suffixes of the texts, in their order; prefix doubling in numpy."""
+    sizes = np.array([len(t) for t in texts], np.int64)
+    n = int(sizes.sum())
+    doc = np.repeat(np.arange(len(texts)), sizes)
+    off = np.arange(n) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    end = np.repeat(np.cumsum(sizes), sizes)
+    key = np.concatenate([_heads(t, 0, len(t)) for t in texts]) if n else np.zeros(0, np.int64)
+    k = FIRST
+    while True:
+        rank = np.unique(key, return_inverse=True)[1]
+        if not n or rank.max() == n - 1 or k >= sizes.max():
+            break
+        then = np.zeros(n, np.int64)
+        then[: max(n - k, 0)] = rank[k:] + 1
+        then[np.arange(n) + k >= end] = 0
+        key = rank * np.int64(n + 1) + then
+        k *= 2
+    order = np.argsort(rank, kind="stable")
+    data = np.frombuffer(b"".join(texts), np.uint8)
+    lcp = np.zeros(n, np.int64)
+    open_ = np.arange(1, n)
+    a, b = order[1:], order[:-1]
+    while len(open_):  # eight bytes at a time
+        x, y = order[open_] + lcp[open_], order[open_ - 1] + lcp[open_]
+        room = np.minimum(np.minimum(end[order[open_]] - x, end[order[open_ - 1]] - y), 8)
+        same = np.zeros(len(open_), np.int64)
+        going = room > 0
+        for j in range(8):
+            at = np.flatnonzero(going & (room > j))
+            eq = data[x[at] + j] == data[y[at] + j]
+            same[at[eq]] += 1
+            going[:] = False
+            going[at[eq]] = True
+            if not len(at):
+                break
+        lcp[open_] += same
+        open_ = open_[same == 8]
+    del a, b
+    byte = np.where(off[order] > 0, data[order - 1].astype(np.int64) if n else 0, -1)
+    return doc[order], off[order], lcp, byte
+
+
+def _small(corpus: DataFrame) -> DataFrame:
+    """The same in one task, for a corpus whose size has been checked."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [(d, t) for batch in batches for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if t]
+        rows.sort(key=lambda r: r[0])
+        docs = np.array([r[0] for r in rows], np.int64)
+        which, off, lcp, byte = sort_in_memory([r[1] for r in rows])
+        doc = docs[which] if len(docs) else which
+        for at in range(0, len(doc), 1 << 16):
+            part = slice(at, min(len(doc), at + (1 << 16)))
+            prev = np.concatenate([[0], doc[:-1]])[part]
+            row = np.arange(part.start, part.stop)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(row), pa.array(doc[part]), pa.array(off[part]), pa.array(lcp[part]), pa.array(byte[part].astype(np.int32), mask=byte[part] < 0), pa.array(prev, mask=row == 0)], names=["row", "doc", "off", "lcp", "byte", "prev_doc"]
+            )
+
+    return corpus.select("doc", "content").repartition(1).mapInArrow(run, _COLUMNS)
+
+
+def build(corpus: DataFrame, small: int | None = None) -> DataFrame:
+    """The stored suffix array: row, doc, off, lcp (common prefix with the row before, 0 for the first), byte (the one before the suffix, null
+    at a document's start), prev_doc (the row before's document). Written once in the shared folder; all that is read off it reads the table."""
+    size = corpus.agg(F.sum(F.length("content"))).first()[0] or 0
+    return saved(_small(corpus) if size <= (SMALL if small is None else small) else _large(corpus), "suffix-array")
+
+
+def suffix_array(corpus: DataFrame) -> DataFrame:
+    """row, doc, off: all suffixes of all documents in their order."""
+    return build(corpus).select("row", "doc", "off")
+
+
+# ------------------------------------------------------------------ an index on disk
+
+
+@dataclass
+class Index:
+    """A stored index: the corpus, its suffix array, the documents of each chunk of rows, and the parameters it was built with."""
+
+    corpus: DataFrame
+    array: DataFrame
+    chunks: DataFrame
+    chunk: int
+
+
+def write_index(corpus: DataFrame, path: str, chunk: int = CHUNK, files_n: int | None = None) -> None:
+    """Build and store an index: ``corpus``, ``array``, ``chunks`` and ``bwt`` as Parquet under a path, in ``files_n`` files each if given."""
+    put = (lambda df: df.coalesce(files_n)) if files_n else (lambda df: df)
+    put(corpus.select("doc", "info", "content")).write.mode("overwrite").parquet(f"{path}/corpus")
+    array = build(corpus)
+    put(array.withColumn("chunk", F.floor(F.col("row") / chunk))).write.mode("overwrite").parquet(f"{path}/array")
+    put(chunk_map(array, chunk)).write.mode("overwrite").parquet(f"{path}/chunks")
+    put(bwt_chunks(array, chunk)).write.mode("overwrite").parquet(f"{path}/bwt")
+    corpus.sparkSession.createDataFrame([(chunk,)], "chunk int").coalesce(1).write.mode("overwrite").parquet(f"{path}/parameters")
+
+
+def open_index(spark: SparkSession, path: str) -> Index:
+    read = lambda name: spark.read.parquet(f"{path}/{name}")
+    return Index(read("corpus"), read("array").drop("chunk"), read("chunks"), read("parameters").first()["chunk"])
+
+
+def chunk_map(array: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """chunk, docs: the distinct documents of each ``chunk`` rows, sorted; at most ``chunk`` of them."""
+    return array.groupBy(F.floor(F.col("row") / chunk).alias("chunk")).agg(F.sort_array(F.collect_set("doc")).alias("docs"))
+
+
+def bwt_chunks(array: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """chunk, bytes (the bytes before its suffixes, in order; 0 where there is none), starts (the rows that begin a document)."""
+    rows = array.groupBy(F.floor(F.col("row") / chunk).alias("chunk")).agg(F.sort_array(F.collect_list(F.struct("row", "byte"))).alias("rows"))
+    text = F.array_join(F.transform("rows", lambda r: F.lpad(F.hex(F.coalesce(r["byte"], F.lit(0))), 2, "0")), "")
+    return rows.select("chunk", F.unhex(text).alias("bytes"), F.transform(F.filter("rows", lambda r: r["byte"].isNull()), lambda r: r["row"]).alias("starts"))
+
+
+# ------------------------------------------------------------------ what is read off
+
+
+def bwt(array: DataFrame) -> DataFrame:
     """row, byte: the byte before each suffix, null at a document's start."""
-    text = corpus.select("doc", "content")
-    return sa.join(text, "doc").select("row", F.when(F.col("off") > 0, F.conv(F.hex(F.substring("content", F.col("off").cast("int"), F.lit(1))), 16, 10).cast("int")).alias("byte"))
+    return array.select("row", "byte")
 
 
-def row_range(sa: DataFrame, corpus: DataFrame, s: bytes) -> DataFrame:
+def occurrences(array: DataFrame, corpus: DataFrame, s: bytes) -> DataFrame:
+    """row, doc, off, byte, next: the suffixes that begin with a string, in no order, and the byte behind it (null at a document's end)."""
+    from bytequarry.operators import search
+    from bytequarry.plans.syntax import raw
+
+    at = search.places(corpus, raw(s)).select("doc", F.col("offset").alias("off"))
+    rows = array.join(at, ["doc", "off"])
+    byte = F.substring("content", (F.col("off") + len(s) + 1).cast("int"), F.lit(1))
+    return rows.join(corpus.select("doc", "content"), "doc").select("row", "doc", "off", "byte", F.when(F.length(byte) > 0, F.conv(F.hex(byte), 16, 10).cast("int")).alias("next"))
+
+
+def row_range(array: DataFrame, corpus: DataFrame, s: bytes) -> DataFrame:
     """first, last: the rows whose suffixes begin with a string; nulls if there are none."""
-    text = corpus.filter(F.contains("content", F.lit(s))).select("doc", "content")
-    hits = sa.join(text, "doc").filter(F.substring("content", (F.col("off") + 1).cast("int"), F.lit(len(s))) == F.lit(s))
-    return hits.agg(F.min("row").alias("first"), F.max("row").alias("last"))
+    return occurrences(array, corpus, s).agg(F.min("row").alias("first"), F.max("row").alias("last"))
+
+
+def rows_right(array: DataFrame, corpus: DataFrame, s: bytes) -> DataFrame:
+    """byte, first, last: for each byte behind a string, the rows of the string with that byte."""
+    return occurrences(array, corpus, s).filter("next is not null").groupBy(F.col("next").alias("byte")).agg(F.min("row").alias("first"), F.max("row").alias("last"))
+
+
+def rows_left(array: DataFrame, corpus: DataFrame, s: bytes) -> DataFrame:
+    """byte, first, last: for each byte before a string, the rows of that byte with the string."""
+    hits = occurrences(array, corpus, s).filter("byte is not null").select("doc", (F.col("off") - 1).alias("off"), "byte")
+    return hits.join(array.select("doc", "off", "row"), ["doc", "off"]).groupBy("byte").agg(F.min("row").alias("first"), F.max("row").alias("last"))
+
+
+def backward_search(array: DataFrame, first: int, last: int, byte: int) -> DataFrame:
+    """first, last: from the rows of a string to the rows of a byte and that string; nulls if there are none."""
+    hits = array.filter(F.col("row").between(first, last) & (F.col("byte") == byte)).select("doc", (F.col("off") - 1).alias("off"))
+    return hits.join(array.select("doc", "off", "row"), ["doc", "off"]).agg(F.min("row").alias("first"), F.max("row").alias("last"))
+
+
+def docs_for_range(array: DataFrame, first: int, last: int) -> DataFrame:
+    return array.filter(F.col("row").between(first, last)).select("doc").distinct()
+
+
+def docs_by_chunks(index: Index, first: int, last: int) -> DataFrame:
+    """The same from a stored index: whole chunks give their lists, and only the rows at both ends are read one by one."""
+    a, b = -(-first // index.chunk), (last + 1) // index.chunk
+    if a >= b:
+        return docs_for_range(index.array, first, last)
+    inner = index.chunks.filter(F.col("chunk").between(a, b - 1)).select(F.explode("docs").alias("doc"))
+    edge = index.array.filter(F.col("row").between(first, a * index.chunk - 1) | F.col("row").between(b * index.chunk, last)).select("doc")
+    return inner.unionByName(edge).distinct()
 
 
-def docs_for_range(sa: DataFrame, first: int, last: int) -> DataFrame:
-    return sa.filter(F.col("row").between(first, last)).select("doc").distinct()
+def locate(array: DataFrame, rows: DataFrame) -> DataFrame:
+    """row, doc, off of given rows (column ``row``)."""
+    return array.select("row", "doc", "off").join(rows, "row")
 
 
-def locate(sa: DataFrame, rows: DataFrame) -> DataFrame:
-    """doc, off of given rows (column ``row``)."""
-    return sa.join(rows, "row")
+def step_back(array: DataFrame) -> DataFrame:
+    """row, back, byte: the row of the suffix that is one byte longer, and that byte."""
+    longer = array.select("doc", (F.col("off") + 1).alias("off"), F.col("row").alias("back"))
+    return array.join(longer, ["doc", "off"]).select("row", "back", "byte")
 
 
-def step_back(sa: DataFrame) -> DataFrame:
-    """row, back: the row of the suffix that is one byte longer."""
-    longer = sa.select("doc", (F.col("off") + 1).alias("off"), F.col("row").alias("back"))
-    return sa.join(longer, ["doc", "off"]).select("row", "back")
+def step_forward(array: DataFrame) -> DataFrame:
+    """row, forward, byte: the row of the suffix that is one byte shorter, and the byte that it lacks; none for a document's last byte."""
+    shorter = array.select("doc", (F.col("off") - 1).alias("off"), F.col("row").alias("forward"), "byte")
+    return array.select("row", "doc", "off").join(shorter, ["doc", "off"]).select("row", "forward", "byte")

@@ -234,20 +234,18 @@ def i1_suffix_array(spark, d):
 
 @_query(f"WITH {_SUFFIXES} SELECT row, CASE WHEN off > 0 THEN ascii(substr(p_name, CAST(off AS INT), 1)) ELSE -1 END AS byte FROM sa")
 def i5_bwt(spark, d):
-    names = _names(spark, d)
-    return suffixes.bwt(suffixes.suffix_array(names), names).fillna(-1, ["byte"])
+    return suffixes.bwt(suffixes.build(_names(spark, d))).fillna(-1, ["byte"])
 
 
 @_query()
 def i4_common_prefixes(spark, d):
-    names = _names(spark, d)
-    return suffixes.with_lcp(suffixes.suffix_array(names), names)
+    return suffixes.build(_names(spark, d)).select("row", "doc", "off", "lcp")
 
 
 @_query(f"WITH {_SUFFIXES} SELECT min(row) AS first, max(row) AS last FROM sa WHERE starts_with(suffix, 're')")
 def r1_row_range(spark, d):
     names = _names(spark, d)
-    return suffixes.row_range(suffixes.suffix_array(names), names, b"re")
+    return suffixes.row_range(suffixes.build(names), names, b"re")
 
 
 @_query(f"WITH {_SUFFIXES} SELECT DISTINCT doc FROM sa WHERE row BETWEEN 100 AND 900")
@@ -263,7 +261,7 @@ def p8_locate(spark, d):
 
 @_query(f"WITH {_SUFFIXES} SELECT a.row, b.row AS back FROM sa a JOIN sa b ON a.doc = b.doc AND a.off = b.off + 1")
 def r10_step_back(spark, d):
-    return suffixes.step_back(suffixes.suffix_array(_names(spark, d)))
+    return suffixes.step_back(suffixes.build(_names(spark, d))).select("row", "back")
 
 
 @_query(
@@ -272,7 +270,7 @@ def r10_step_back(spark, d):
     "SELECT doc_a, doc_b, round(sqrt(met / sqrt(a.n) / sqrt(b.n)), 6) AS score FROM m JOIN t a ON a.doc = doc_a JOIN t b ON b.doc = doc_b"
 )
 def e3_adjacent_similarity(spark, d):
-    return similarity.adjacent(suffixes.suffix_array(_names(spark, d))).select("doc_a", "doc_b", F.round("score", 6).alias("score"))
+    return similarity.adjacent(suffixes.build(_names(spark, d))).select("doc_a", "doc_b", F.round("score", 6).alias("score"))
 
 
 # ------------------------------------------------------------------ mining and similarity
@@ -285,7 +283,7 @@ def m1_frequent_substrings(spark, d):
 
 def _unique(spark, d):
     items = _benchmark(spark, d)
-    return mining.minimal_unique(suffixes.with_lcp(suffixes.suffix_array(items), items), items), items
+    return mining.minimal_unique(suffixes.build(items), items), items
 
 
 @_query()
@@ -322,7 +320,7 @@ def e1_shared_sequences(spark, d):
 @_query()
 def e2_block_similarity(spark, d):
     names = _names(spark, d)
-    out = similarity.blocked(suffixes.with_lcp(suffixes.suffix_array(names), names), names, least=6)
+    out = similarity.blocked(suffixes.build(names), names, least=6)
     return out.select("doc_a", "doc_b", F.round("score", 6).alias("score"))
 
 

@@ -29,46 +29,81 @@ def array(spark, texts):
     return [(r.doc, r.off) for r in suffixes.suffix_array(corpus(spark, texts)).orderBy("row").collect()]
 
 
+def check_array(spark, texts, **kw):
+    """Rows, common prefixes, bytes and documents before, and the steps from row to row, against sorted suffixes."""
+    raw = [t if isinstance(t, bytes) else t.encode("latin-1") for t in texts]
+    want = plain_array(texts)
+    array = suffixes.build(corpus(spark, texts), **kw)
+    got = array.orderBy("row").collect()
+    assert [r.row for r in got] == list(range(len(want))) and [(r.doc, r.off) for r in got] == want
+    assert [r.lcp for r in got] == [0] * bool(want) + [common(raw[a][b:], raw[x][y:]) for (a, b), (x, y) in zip(want, want[1:], strict=False)]
+    assert [r.byte for r in got] == [raw[d][o - 1] if o else None for d, o in want]
+    assert [r.prev_doc for r in got] == [None] * bool(want) + [d for d, _ in want[:-1]]
+    return array, want, raw
+
+
 def test_long_prefixes_take_more_rounds(spark, monkeypatch):
     monkeypatch.setattr(suffixes, "WINDOW", 2)
-    texts = ["abcdefgh" * 30, "abcdefgh" * 30, "abcdefgh" * 10 + "x"]
-    c, want = corpus(spark, texts), plain_array(texts)
-    lcp = [0] + [common(texts[a][b:], texts[x][y:]) for (a, b), (x, y) in zip(want, want[1:], strict=False)]
-    assert [r.lcp for r in suffixes.with_lcp(suffixes.suffix_array(c), c).orderBy("row").collect()] == lcp
+    monkeypatch.setattr(suffixes, "SLICE", 16)
+    for small in (0, 1 << 20):
+        check_array(spark, ["abcdefgh" * 30, "abcdefgh" * 30, "abcdefgh" * 10 + "x"], small=small)
 
 
 def test_known_array(spark):
-    c = corpus(spark, ["abaababa"])
-    sa = suffixes.suffix_array(c)
-    got = suffixes.with_lcp(sa, c).orderBy("row").collect()
+    """The array and common prefixes of this text are given with it."""
+    got = suffixes.build(corpus(spark, ["abaababa"])).orderBy("row").collect()
     assert [r.off for r in got] == [7, 2, 5, 0, 3, 6, 1, 4] and [r.lcp for r in got] == [0, 1, 1, 3, 3, 0, 2, 2]
 
 
-@pytest.mark.parametrize("texts", [["seeresses"], ["a" * 70], ["".join(chr(120 - k) for k in range(20))], ["abcabc" * 9, "abcabc" * 9, "", "zz"], [bytes(range(255, 0, -3)), b"\0\0\0"]])
-def test_kinds_of_texts(spark, texts):
-    c = corpus(spark, texts)
-    want = plain_array(texts)
-    sa = suffixes.saved(suffixes.suffix_array(c), "sa")
-    assert [(r.doc, r.off) for r in sa.orderBy("row").collect()] == want and sorted(r.row for r in sa.collect()) == list(range(len(want)))
-    raw = [t if isinstance(t, bytes) else t.encode("latin-1") for t in texts]
-    lcp = [0] + [common(raw[a][b:], raw[x][y:]) for (a, b), (x, y) in zip(want, want[1:], strict=False)]
-    assert [r.lcp for r in suffixes.with_lcp(sa, c).orderBy("row").collect()] == lcp
-    assert [r.byte for r in suffixes.bwt(sa, c).orderBy("row").collect()] == [raw[d][o - 1] if o else None for d, o in want]
+#: Texts that are known to be hard to sort.
+TEXTS = [["seeresses"], ["a" * 70], ["".join(chr(120 - k) for k in range(20))], ["abcabc" * 9, "abcabc" * 9, "", "zz"], [bytes(range(255, 0, -3)), b"\0\0\0", b"\0" * 20, b"abcdefg", b"abcdefg\0"]]
+
+
+@pytest.mark.parametrize("texts", TEXTS)
+@pytest.mark.parametrize("small", [0, 1 << 20])
+def test_kinds_of_texts(spark, texts, small):
+    array, want, raw = check_array(spark, texts, small=small)
     row = {p: k for k, p in enumerate(want)}
-    assert {(r.row, r.back) for r in suffixes.step_back(sa).collect()} == {(row[p], row[p[0], p[1] - 1]) for p in want if p[1]}
+    assert {(r.row, r.back, r.byte) for r in suffixes.step_back(array).collect()} == {(row[p], row[p[0], p[1] - 1], raw[p[0]][p[1] - 1]) for p in want if p[1]}
+    assert {(r.row, r.forward, r.byte) for r in suffixes.step_forward(array).collect()} == {(row[d, o], row[d, o + 1], raw[d][o]) for d, o in want if (d, o + 1) in row}
 
 
-def test_ranges(spark):
-    texts = ["banana", "bandana", "an"]
-    c, want = corpus(spark, texts), plain_array(["banana", "bandana", "an"])
-    sa = suffixes.saved(suffixes.suffix_array(c), "sa")
-    hits = [k for k, (d, o) in enumerate(want) if texts[d][o:].startswith("an")]
-    assert tuple(suffixes.row_range(sa, c, b"an").first()) == (hits[0], hits[-1]) and suffixes.row_range(sa, c, b"zz").first().first is None
-    assert {r.doc for r in suffixes.docs_for_range(sa, 0, 2).collect()} == {d for d, _ in want[:3]}
-    assert {(r.doc, r.off) for r in suffixes.locate(sa, spark.createDataFrame([(1,), (4,)], "row long")).collect()} == {want[1], want[4]}
-    assert array(spark, []) == []
+def test_random_texts_both_ways(spark):
+    rng = random.Random(15)
+    texts = ["".join(rng.choice("ab") for _ in range(rng.randint(0, 60))) for _ in range(12)]
+    texts += texts[:3]
+    for small in (0, 1 << 20):
+        check_array(spark, texts, small=small)
+    check_array(spark, [], small=0)
+    check_array(spark, [])
 
 
+def test_ranges(spark, tmp_path):
+    texts = ["banana", "bandana", "an", "bananas"]
+    c, want = corpus(spark, texts), plain_array(texts)
+    array = suffixes.build(c)
+    rows = lambda s: [k for k, (d, o) in enumerate(want) if texts[d][o:].startswith(s)]
+    ends = lambda s: (rows(s)[0], rows(s)[-1])
+    assert tuple(suffixes.row_range(array, c, b"an").first()) == ends("an") and suffixes.row_range(array, c, b"zz").first().first is None
+    letters = "abdns"
+    assert {r.byte: (r.first, r.last) for r in suffixes.rows_left(array, c, b"an").collect()} == {ord(x): ends(x + "an") for x in letters if rows(x + "an")}
+    assert {r.byte: (r.first, r.last) for r in suffixes.rows_right(array, c, b"an").collect()} == {ord(x): ends("an" + x) for x in letters if rows("an" + x)}
+    assert tuple(suffixes.backward_search(array, *ends("an"), ord("d")).first()) == ends("dan")
+    assert suffixes.backward_search(array, *ends("an"), ord("z")).first().first is None
+    assert {r.doc for r in suffixes.docs_for_range(array, 0, 2).collect()} == {d for d, _ in want[:3]}
+    assert {(r.doc, r.off) for r in suffixes.locate(array, spark.createDataFrame([(1,), (4,)], "row long")).collect()} == {want[1], want[4]}
+    suffixes.write_index(c, str(tmp_path), chunk=4, files_n=1)
+    index = suffixes.open_index(spark, str(tmp_path))
+    assert index.chunk == 4 and len(list((tmp_path / "array").glob("*.parquet"))) == 1
+    for first, last in ((0, 2), (0, 3), (3, 9), (2, 17), (4, 11), (5, 6), (0, len(want) - 1), (9, 8)):
+        assert {r.doc for r in suffixes.docs_by_chunks(index, first, last).collect()} == {d for d, _ in want[first : last + 1]}
+    stored = {r.chunk: (bytes(r.bytes), r.starts) for r in spark.read.parquet(f"{tmp_path}/bwt").collect()}
+    for k in range(-(-len(want) // 4)):
+        own = list(enumerate(want))[4 * k : 4 * k + 4]
+        assert stored[k] == (bytes(ord(texts[d][o - 1]) if o else 0 for _, (d, o) in own), [r for r, (_, o) in own if not o])
+
+
+#: Texts and the lengths of their minimal unique strings, as given.
 UNIQUE = [
     (["abaababa"], [0, 0, 2, 0, 3, 0, 0, 0]),
     (["banana"], [1, 0, 3, 0, 0, 0]),
@@ -85,7 +120,7 @@ UNIQUE = [
 def test_minimal_unique(spark, texts, want):
     """Documents end without a separator, so a string may reach a document's last byte and not beyond."""
     c = corpus(spark, texts)
-    got = {(r.doc, r.off): r.length for r in mining.minimal_unique(suffixes.with_lcp(suffixes.suffix_array(c), c), c).collect()}
+    got = {(r.doc, r.off): r.length for r in mining.minimal_unique(suffixes.build(c), c).collect()}
     places = [(d, o) for d, t in enumerate(texts) for o in range(len(t))]
     assert [got.get(p, 0) for p in places] == want
 
@@ -95,11 +130,11 @@ def test_minimal_unique_against_all_others(spark, monkeypatch):
     rng = random.Random(3)
     texts = ["".join(rng.choice("ab") for _ in range(rng.randint(5, 40))) for _ in range(7)]
     c = corpus(spark, texts)
-    got = {(r.doc, r.off): r.length for r in mining.minimal_unique(suffixes.with_lcp(suffixes.suffix_array(c), c), c).collect()}
+    got = {(r.doc, r.off): r.length for r in mining.minimal_unique(suffixes.build(c), c).collect()}
     short = {(d, o): 1 + max(common(t[o:], u[p:]) for e, u in enumerate(texts) if e != d for p in range(len(u))) for d, t in enumerate(texts) for o in range(len(t))}
     want = {(d, o): n for (d, o), n in short.items() if o + n <= len(texts[d]) and not short.get((d, o + 1), 1 << 30) < n}
     assert got == want
-    uni = mining.minimal_unique(suffixes.with_lcp(suffixes.suffix_array(c), c), c)
+    uni = mining.minimal_unique(suffixes.build(c), c)
     stats = {r.doc: (r.n, r.least, r.most) for r in mining.unique_statistics(uni).collect()}
     by = {}
     for (d, _), n in want.items():
@@ -144,7 +179,7 @@ def test_copies_are_alike_and_random_texts_are_not(spark):
     rng = random.Random(4)
     texts = [same] * 3 + ["".join(chr(rng.randrange(32, 126)) for _ in range(100)) for _ in range(3)]
     c = corpus(spark, texts)
-    sa = suffixes.saved(suffixes.with_lcp(suffixes.suffix_array(c), c), "sa")
+    sa = suffixes.build(c)
     got = {(r.doc_a, r.doc_b): r.score for r in similarity.blocked(sa, c, size=50, least=10).collect()}
     assert set(got) == {(0, 1), (0, 2), (1, 2)}
     near = {(r.doc_a, r.doc_b): r.score for r in similarity.adjacent(sa).collect()}
@@ -162,7 +197,7 @@ def test_adjacent_against_counts(spark):
         terms[b] += 1
         if a != b:
             met[min(a, b), max(a, b)] += 1
-    got = {(r.doc_a, r.doc_b): round(r.score, 9) for r in similarity.adjacent(suffixes.suffix_array(corpus(spark, texts))).collect()}
+    got = {(r.doc_a, r.doc_b): round(r.score, 9) for r in similarity.adjacent(suffixes.build(corpus(spark, texts))).collect()}
     assert got == {p: round((n / terms[p[0]] ** 0.5 / terms[p[1]] ** 0.5) ** 0.5, 9) for p, n in met.items()}
 
 
