@@ -11,9 +11,11 @@ from bytequarry.operators.suffixes import build, saved
 BLOCK = 1 << 16
 
 
-def frequent_substrings(corpus: DataFrame, least: int, most: int | None = None, suffix: bytes = b"", longest: int = 1024) -> DataFrame:
+def frequent_substrings(corpus: DataFrame, least: int, most: int | None = None, suffix: bytes = b"", longest: int = 1024, percent: float = 0.0, most_percent: float | None = None) -> DataFrame:
     """s (binary), n: strings that end in ``suffix`` and occur ``least`` to ``most`` times, but for those with a longer frequent one on the left.
 
+    Percentages are of the suffix's own occurrences (of all places without one); the larger of both least counts holds, and the smaller of both most counts.
+
     Breadth first: a round takes the places of strings that are frequent, adds the byte before each and counts.
     A place leaves as soon as its string isn't frequent, and no string is looked at twice.
     """
@@ -21,6 +23,11 @@ def frequent_substrings(corpus: DataFrame, least: int, most: int | None = None,
     m = max(1, len(suffix))
     begin = text.filter(F.length("t") >= m).select("doc", F.posexplode(F.transform(F.sequence(F.lit(1), F.length("t") - m + 1), lambda i: F.substring("t", i, F.lit(m)))).alias("off", "s"))
     state = begin.filter(F.col("s") == F.lit(suffix)) if suffix else begin
+    if percent or most_percent is not None:
+        everything = state.count() if suffix else begin.count() + text.filter(F.length("t") < m).agg(F.coalesce(F.sum(F.length("t")), F.lit(0))).first()[0]
+        least = max(least, -int(-everything * percent // 100))
+        if most_percent is not None:
+            most = min(everything if most is None else most, int(everything * most_percent // 100))
     inside = (F.col("n") >= least) & (F.col("n") <= most if most is not None else F.lit(True))
     found, length = None, m
     while True:
@@ -109,11 +116,66 @@ def unique_histogram(unique: DataFrame) -> DataFrame:
     return by.withColumn("upto", F.sum("n").over(Window.partitionBy("doc").orderBy("length").rowsBetween(Window.unboundedPreceding, 0)))
 
 
-def drop_near_copies(unique: DataFrame, corpus: DataFrame, least: int = 10) -> DataFrame:
-    """doc of the documents to leave out so that the rest have ``least`` unique strings: half of those short of it, the poorest first."""
-    n = corpus.select("doc").join(unique.groupBy("doc").agg(F.count(F.lit(1)).alias("n")), "doc", "left").fillna(0, ["n"]).filter(F.col("n") < least)
-    half = -(-n.count() // 2)
-    return n.orderBy("n", "doc").limit(half).select("doc")
+def drop_near_copies(corpus: DataFrame, least: int = 10, tries: int = 10, size: int = 1000, common: int = 60) -> DataFrame:
+    """doc, step, score, other: documents to leave out so that the rest have ``least`` minimal unique strings each.
+
+    Documents short of that are near copies. A step leaves out half of them (one at least), first those that are most similar, by
+    blocks of common prefixes, to a document that isn't a near copy (``other``, with its ``score``); if none is similar to any, the one
+    with the fewest unique strings. Then the strings are counted anew without what has been left out. Steps end when there are no near copies or after ``tries`` counts.
+    """
+    spark, array = corpus.sparkSession, build(corpus)
+    alike = saved(_both_ways(array, corpus, size, common), "alike")
+    gone = saved(spark.createDataFrame([], "doc long, step int, score double, other long"), "gone")
+    for step in range(1, tries):
+        left = corpus.join(gone.select("doc"), "doc", "left_anti") if step > 1 else corpus
+        unique = minimal_unique(build(left) if step > 1 else array, left)
+        counts = saved(left.select("doc").join(unique.groupBy("doc").agg(F.count(F.lit(1)).alias("n")), "doc", "left").fillna(0, ["n"]), "counts")
+        near = counts.filter(F.col("n") < least)
+        n = near.count()
+        if not n:
+            break
+        sound = counts.filter(F.col("n") >= least).select(F.col("doc").alias("other"))
+        best = alike.join(near.select("doc"), "doc").join(sound, "other").groupBy("doc").agg(F.max(F.struct(F.col("score"), (-F.col("other")).alias("low"))).alias("b"))
+        half = best.select("doc", F.lit(step).alias("step"), F.col("b.score").alias("score"), (-F.col("b.low")).alias("other")).orderBy(F.desc("score"), F.desc("doc")).limit(max(1, n // 2))
+        half = saved(half, "half")
+        if not half.take(1):
+            half = counts.orderBy("n", "doc").limit(1).select("doc", F.lit(step).alias("step"), F.lit(None).cast("double").alias("score"), F.lit(None).cast("long").alias("other"))
+        gone = saved(gone.unionByName(half), "gone")
+    return gone
+
+
+def _both_ways(array: DataFrame, corpus: DataFrame, size: int, common: int) -> DataFrame:
+    from bytequarry.operators.similarity import blocked
+
+    pairs = saved(blocked(array, corpus, size, common).filter("score > 0"), "pairs")
+    return pairs.select(F.col("doc_a").alias("doc"), F.col("doc_b").alias("other"), "score").unionByName(pairs.select(F.col("doc_b").alias("doc"), F.col("doc_a").alias("other"), "score"))
+
+
+def unique_bytes(unique: DataFrame, corpus: DataFrame, bar: bytes = b"", slice_size: int = 1 << 16) -> DataFrame:
+    """doc, slice, bytes: one byte for each place of a document, in slices: the length of the minimal unique string there, 0 for none.
+    Where the text has ``bar``, as sequence files have between sequences, the byte is the bar itself."""
+    from collections.abc import Iterator
+
+    import numpy as np
+    import pyarrow as pa
+
+    text = corpus.filter("length(content) > 0").select("doc", "content", F.explode(F.sequence(F.lit(0), F.floor((F.length("content") - 1) / slice_size).cast("int"))).alias("slice"))
+    parts = text.select("doc", "slice", F.expr(f"substring(content, slice * {slice_size} + 1, {slice_size})").alias("t"))
+    own = unique.groupBy("doc", F.floor(F.col("off") / slice_size).cast("int").alias("slice")).agg(F.collect_list((F.col("off") % slice_size).cast("int")).alias("at"), F.collect_list(F.col("length").cast("int")).alias("n"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for t, at, n in zip(*(batch.column(k).to_pylist() for k in (2, 3, 4)), strict=True):
+                x = np.zeros(len(t), np.uint8)
+                if at:
+                    x[np.array(at)] = np.array(n)
+                if bar:
+                    x[np.frombuffer(t, np.uint8) == bar[0]] = bar[0]
+                out.append(x.tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], names=["doc", "slice", "bytes"])
+
+    return parts.join(own, ["doc", "slice"], "left").select("doc", "slice", "t", "at", "n").mapInArrow(run, "doc long, slice int, bytes binary")
 
 
 def unique_kmers(unique: DataFrame, corpus: DataFrame, k: int | None = None, shifts: bool = False, bar: str = ">") -> DataFrame:
@@ -143,3 +205,17 @@ def complexity(kmer: Column) -> Column:
     most = F.lit(12.0) + F.log2((F.length(kmer) - 3).cast("double")) + F.log2((F.length(kmer) - 4).cast("double"))
     return F.when(F.length(kmer) <= 5, F.lit(0.0)).otherwise(total / most)
 
+
+def complex_enough(kmers: DataFrame, least: float = 0.65) -> DataFrame:
+    """The k-mers whose complexity is over ``least``; none of up to five letters is."""
+    return kmers.filter((F.length("kmer") > 5) & (complexity(F.col("kmer")) > least))
+
+
+def as_fasta(kmers: DataFrame, corpus: DataFrame) -> DataFrame:
+    """value: a header with the document's info and the place, and the k-mer on a line of its own."""
+    return kmers.join(corpus.select("doc", "info"), "doc").select(F.concat(F.lit(">"), "info", F.lit(":"), F.col("off").cast("string"), F.lit("\n"), "kmer").alias("value"))
+
+
+def as_tsv(kmers: DataFrame, corpus: DataFrame) -> DataFrame:
+    """value: k-mer, info and place, with tabs between them."""
+    return kmers.join(corpus.select("doc", "info"), "doc").select(F.concat_ws("\t", "kmer", "info", F.col("off").cast("string")).alias("value"))

@@ -26,8 +26,8 @@ def _java(leaf: Leaf) -> str:
     return R.pattern(leaf.regex).replace("\\Z", "\\z")
 
 
-def _subject(leaf: Leaf, content: Column) -> Column:
-    """The text that Java's expressions run on: as it is if the pattern is ASCII and the bytes are UTF-8, else a character a byte."""
+def _subject(content: Column) -> Column:
+    """The text that Java's expressions run on: a character a byte."""
     return latin(content)
 
 
@@ -43,7 +43,7 @@ def holds(leaf: Leaf, content: Column) -> Column:
             out = out | F.contains(content, F.lit(c.value))
         return out
     need = [F.contains(content, F.lit(s)) for s in required(leaf.regex)]
-    test = F.regexp_like(_subject(leaf, content), F.lit(f"(?s){_java(leaf)}"))
+    test = F.regexp_like(_subject(content), F.lit(f"(?s){_java(leaf)}"))
     return need[0] & test if need else test
 
 
@@ -56,26 +56,46 @@ def required(x: Regex) -> list[bytes]:
     return [max(found, key=len)] if found and max(map(len, found)) > 0 else []
 
 
-def _may_hold(leaf: Leaf, content: Column) -> Column:
-    """A string with at most k errors keeps one of k + 1 pieces whole."""
-    if not isinstance(leaf.regex, Lit):
-        return F.lit(True)
-    s, a = leaf.regex.value, leaf.approx
+def pieces(leaf: Leaf) -> list[tuple[bytes, int, int]]:
+    """(piece, its place in the string it is cut from, that string's length): of a match with at most k errors one of k + 1 pieces of a string that
+    every exact match holds is whole. None if there is no such string, or it is too short."""
+    a = leaf.approx
     k = a.most // min(a.substitute, a.delete, a.insert)
-    if len(s) <= k:
-        return F.lit(True)
+    need = [leaf.regex.value] if isinstance(leaf.regex, Lit) else required(leaf.regex)
+    if not need or len(need[0]) <= k:
+        return []
+    s = need[0]
     cuts = [len(s) * i // (k + 1) for i in range(k + 2)]
-    out = F.lit(False)
-    for i in range(k + 1):
-        out = out | F.contains(content, F.lit(s[cuts[i] : cuts[i + 1]]))
-    return out
+    return [(s[a:b], a, len(s)) for a, b in zip(cuts, cuts[1:], strict=False)]
+
+
+def longest(x: Regex) -> int | None:
+    """Bytes of the longest exact match, if there is one."""
+    if isinstance(x, Lit):
+        return len(x.value)
+    if isinstance(x, Repeat):
+        n = longest(x.item)
+        return None if x.high is None or n is None else n * x.high
+    if isinstance(x, (Seq, Alt)):
+        sizes = [longest(y) for y in (x.items if isinstance(x, Seq) else x.choices)]
+        return None if None in sizes else sum(sizes) if isinstance(x, Seq) else max(sizes)
+    return 1
+
+
+def _may_hold(leaf: Leaf, content: Column) -> Column:
+    """Does the content hold a piece that an approximate match must hold?"""
+    out = None
+    for piece, _, _ in pieces(leaf):
+        one = F.contains(content, F.lit(piece))
+        out = one if out is None else out | one
+    return F.lit(True) if out is None else out
 
 
 def occurrences(leaf: Leaf, content: Column) -> Column:
     """At how many offsets a match begins; overlapping ones count each. Not for approximate patterns."""
     if leaf.literal == b"":
         return (F.length(content) + 1).cast("long")
-    return F.regexp_count(_subject(leaf, content), F.lit(f"(?s)(?=(?:{_java(leaf)}))")).cast("long")
+    return F.regexp_count(_subject(content), F.lit(f"(?s)(?=(?:{_java(leaf)}))")).cast("long")
 
 
 # ------------------------------------------------------------------ places
@@ -193,14 +213,18 @@ class Automaton:
 
 
 def approximate_places(data: bytes, leaf: Leaf, machine: Automaton) -> list[tuple[int, int, int]]:
-    """(start, end, cost), one for each end and start, the cheapest of a start; ends near a whole piece only, for strings."""
-    if isinstance(leaf.regex, Lit) and len(s := leaf.regex.value) > (k := leaf.approx.most // min(leaf.approx.substitute, leaf.approx.delete, leaf.approx.insert)):
+    """(start, end, cost), one for each end and start, the cheapest of a start. Only ends near a piece that the match must hold are tried, where
+    there are such pieces and the pattern's length is bounded."""
+    k = leaf.approx.most // min(leaf.approx.substitute, leaf.approx.delete, leaf.approx.insert)
+    found, most = pieces(leaf), longest(leaf.regex)
+    if found and most is not None:
         ends: set[int] = set()
-        cuts = [len(s) * i // (k + 1) for i in range(k + 2)]
-        for i in range(k + 1):
-            for at, _ in literal_places(data, s[cuts[i] : cuts[i + 1]]):
-                middle = at + len(s) - cuts[i]
-                ends.update(range(max(1, middle - k), min(len(data), middle + k) + 1))
+        exact = isinstance(leaf.regex, Lit)
+        for piece, at, size in found:
+            for start, _ in literal_places(data, piece):
+                middle = start + size - at
+                low, high = (middle - k, middle + k) if exact else (start + len(piece), start + most + k)
+                ends.update(range(max(1, low), min(len(data), high) + 1))
         todo: Iterator[int] = iter(sorted(ends))
     else:
         todo = iter(range(1, len(data) + 1))

@@ -104,3 +104,17 @@ def blocked(array: DataFrame, corpus: DataFrame, size: int = 1000, least: int =
 def top(pairs: DataFrame, n: int = 200, least: float = 0.0) -> DataFrame:
     """The ``n`` most similar pairs, ties by number."""
     return pairs.filter(F.col("score") >= least).orderBy(F.desc("score"), "doc_a", "doc_b").limit(n)
+
+
+def by_index(inputs: DataFrame, corpora: dict[str, DataFrame], least: int = 8, without: DataFrame | None = None) -> DataFrame:
+    """q, index_id, score, docs: for each input and corpus, the sum of its documents' scores and how many there are."""
+    out = None
+    for name, corpus in corpora.items():
+        one = shared_score(inputs, corpus, least, without).groupBy("q").agg(F.sum("score").alias("score"), F.count(F.lit(1)).alias("docs")).select("q", F.lit(name).alias("index_id"), "score", "docs")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def total(by: DataFrame) -> DataFrame:
+    """q, score, docs of :func:`by_index` over all corpora."""
+    return by.groupBy("q").agg(F.sum("score").alias("score"), F.sum("docs").alias("docs"))

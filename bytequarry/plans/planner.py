@@ -55,6 +55,8 @@ class Engine:
     def _places(self, q: Query, corpus: DataFrame, scan: bool) -> DataFrame:
         if isinstance(q, Leaf):
             return search.places(corpus, q, scan).select("doc", "offset")
+        if q.op == "OR":
+            return self._places(q.left, corpus, scan).unionByName(self._places(q.right, corpus, scan)).distinct()
         f = proximity.then if q.op == "THEN" else proximity.within
         if q.op == "THEN" and isinstance(q.left, Leaf) and isinstance(q.right, Leaf) and (test := self._condition(Bool("AND", q.left, q.right))) is not None:
             corpus = corpus.filter(F.col("content").isNotNull() & test)  # a document without either has no pair
@@ -68,7 +70,7 @@ class Engine:
         return out if limit is None else out.orderBy("doc").limit(limit)
 
     def find_places(self, q, icase: bool = False, only: str | None = None, scan: bool = False, limit: int | None = None) -> DataFrame:
-        """doc, offset of the places that a query gives; AND, OR and NOT give documents, with a null offset."""
+        """doc, offset of the places that a query gives; AND and NOT give documents, with a null offset."""
         q = self._query(q, icase, scan)
         if R.result_type(q) == R.DOCS:
             out = self._docs(q, self._within(only), scan).select("doc", F.lit(None).cast("long").alias("offset"))
@@ -182,6 +184,13 @@ class Engine:
         raise ValueError(f"no such request: {name!r}")
 
 
+def pattern_file(path: str, literal: bool = False) -> Query:
+    """The query in a file, or with ``literal`` the file's bytes as a pattern; a line end at the file's end isn't part of it."""
+    with open(path, "rb") as f:
+        text = f.read().removesuffix(b"\n")
+    return raw(text) if literal else parse(text)
+
+
 def by_index(corpora: dict[str, DataFrame]) -> DataFrame:
     """Several corpora as one, with ``index_id``; documents keep their numbers."""
     out = None
@@ -191,4 +200,4 @@ def by_index(corpora: dict[str, DataFrame]) -> DataFrame:
     return out
 
 
-__all__ = ["Engine", "Lit", "by_index", "show"]
+__all__ = ["Engine", "Lit", "by_index", "pattern_file", "show"]

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bytequarry.functions.octets import sha256_of
-from bytequarry.operators import mining, search, similarity, suffixes, winnow
+from bytequarry.operators import search, suffixes
 from bytequarry.plans.planner import Engine, by_index
+from bytequarry.plans.requests import Request
 from bytequarry.plans.syntax import parse
 from bytequarry.sources import corpus as C
 from bytequarry.streaming import ingest
@@ -32,11 +34,6 @@ def _docs(spark: SparkSession, d: str) -> Engine:
     return Engine(C.documents(spark, d))
 
 
-def _names(spark: SparkSession, d: str) -> DataFrame:
-    """Part names: a corpus of short texts."""
-    return C.from_table(spark.read.parquet(f"{d}/part.parquet"), "p_partkey", "p_name")
-
-
 def _benchmark(spark: SparkSession, d: str) -> DataFrame:
     return C.from_table(spark.read.parquet(f"{d}/benchmark.parquet"), "item_id", "text")
 
@@ -79,7 +76,7 @@ def s4_regex_docs(spark, d):
     return _docs(spark, d).find_docs("q.{1,3}e[st] NOT zz")
 
 
-@_query()
+@_query("WITH " + _places_sql("and", "a") + ", " + _places_sql("ind", "b") + ' SELECT doc, "offset" FROM a UNION ALL SELECT doc, "offset" FROM b')
 def s5_regex_offsets(spark, d):
     return _docs(spark, d).find_places("(an|in)+d")
 
@@ -89,7 +86,10 @@ def s6_regex_count(spark, d):
     return _docs(spark, d).count("[0-9]+", scan=True)
 
 
-@_query()
+@_query(
+    "SELECT DISTINCT doc_id AS doc FROM (SELECT doc_id, text FROM documents WHERE contains(text, 'Lice') OR contains(text, 'nsed')) x, unnest(range(1, length(text) + 1)) u(i), (VALUES (7), (8), (9)) v(n) "
+    "WHERE length(text) >= i + n - 1 AND levenshtein(substr(text, i, n), 'Licensed') <= 1"
+)
 def s7_approximate_docs(spark, d):
     return _docs(spark, d).find_docs("APPROX 1 Licensed")
 
@@ -99,6 +99,11 @@ def s7_approximate_offsets(spark, d):
     return _docs(spark, d).find_places("APPROX 2:1:1:2 Released' 'under")
 
 
+@_query("SELECT doc, \"offset\" FROM (WITH " + _places_sql("qu", "a") + ", " + _places_sql("ch", "b") + ' SELECT doc, "offset" FROM a UNION SELECT doc, "offset" FROM b) x')
+def s9_or_offsets(spark, d):
+    return _docs(spark, d).find_places("qu OR ch")
+
+
 @_query("SELECT doc_id AS doc FROM documents WHERE contains(text, 'License') AND contains(text, 'the')")
 def s8_and(spark, d):
     return _docs(spark, d).find_docs("License AND the")
@@ -148,7 +153,11 @@ def s15_max_results(spark, d):
     return _docs(spark, d).find_docs("tion", limit=25)
 
 
-@_query()
+@_query(
+    "WITH c AS (SELECT doc_id AS doc, unnest(string_split(text, '')) AS c, generate_subscripts(string_split(text, ''), 1) AS i FROM documents), "
+    "w AS (SELECT doc, c, lead(c) OVER o AS c2, CAST(coalesce(sum(octet_length(encode(c))) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS off FROM c WINDOW o AS (PARTITION BY doc ORDER BY i)) "
+    "SELECT doc, off AS \"offset\" FROM w WHERE c = 'e' AND c2 = 'e'"
+)
 def s17_scan_offsets(spark, d):
     return _docs(spark, d).find_places("e{2,}", scan=True)
 
@@ -171,9 +180,17 @@ def p2_count(spark, d):
     return _docs(spark, d).count("the AND que")
 
 
-@_query()
+_WORD = "License, Versiom"
+_PARTS = {_WORD: "whole"} | {_WORD[k:]: "suffix" for k in range(1, len(_WORD))} | {_WORD[:k]: "prefix" for k in range(len(_WORD) - 8, len(_WORD))}
+
+
+@_query(
+    "WITH c AS (" + " UNION ALL ".join(f"SELECT '{p}' AS suggestion, '{kind}' AS kind, {_count_sql(p)} AS n FROM documents" for p, kind in _PARTS.items()) + "), "
+    "m AS (SELECT * FROM c WHERE n > (SELECT n FROM c WHERE kind = 'whole')), b AS (SELECT kind, n, arg_max(suggestion, length(suggestion)) AS suggestion FROM m GROUP BY kind, n) "
+    "SELECT suggestion, n FROM b WHERE length(suggestion) = (SELECT max(length(suggestion)) FROM b y WHERE y.kind = b.kind)"
+)
 def p3_suggest(spark, d):
-    return _docs(spark, d).suggest("License, Versiom").select(_text("suggestion"), "n")
+    return _docs(spark, d).suggest(_WORD).select(_text("suggestion"), "n")
 
 
 @_query("SELECT doc, line FROM (SELECT doc_id AS doc, unnest(string_split(text, chr(10))) AS line FROM documents) x WHERE contains(line, 'icensed under')")
@@ -222,123 +239,6 @@ def c1_checksums(spark, d):
     return C.documents(spark, d).select("doc", sha256_of(F.col("content")).alias("sha256"))
 
 
-# ------------------------------------------------------------------ suffix arrays
-
-_SUFFIXES = "s AS (SELECT p_partkey AS doc, CAST(i - 1 AS BIGINT) AS off, substr(p_name, i) AS suffix, p_name FROM part, unnest(range(1, length(p_name) + 1)) u(i)), sa AS (SELECT row_number() OVER (ORDER BY suffix, doc, off) - 1 AS row, * FROM s)"
-
-
-@_query(f"WITH {_SUFFIXES} SELECT row, doc, off FROM sa")
-def i1_suffix_array(spark, d):
-    return suffixes.suffix_array(_names(spark, d))
-
-
-@_query(f"WITH {_SUFFIXES} SELECT row, CASE WHEN off > 0 THEN ascii(substr(p_name, CAST(off AS INT), 1)) ELSE -1 END AS byte FROM sa")
-def i5_bwt(spark, d):
-    return suffixes.bwt(suffixes.build(_names(spark, d))).fillna(-1, ["byte"])
-
-
-@_query()
-def i4_common_prefixes(spark, d):
-    return suffixes.build(_names(spark, d)).select("row", "doc", "off", "lcp")
-
-
-@_query(f"WITH {_SUFFIXES} SELECT min(row) AS first, max(row) AS last FROM sa WHERE starts_with(suffix, 're')")
-def r1_row_range(spark, d):
-    names = _names(spark, d)
-    return suffixes.row_range(suffixes.build(names), names, b"re")
-
-
-@_query(f"WITH {_SUFFIXES} SELECT DISTINCT doc FROM sa WHERE row BETWEEN 100 AND 900")
-def r7_docs_for_range(spark, d):
-    return suffixes.docs_for_range(suffixes.suffix_array(_names(spark, d)), 100, 900)
-
-
-@_query(f"WITH {_SUFFIXES} SELECT row, doc, off FROM sa WHERE row % 7 = 0")
-def p8_locate(spark, d):
-    sa = suffixes.suffix_array(_names(spark, d))
-    return suffixes.locate(sa, sa.filter("row % 7 = 0").select("row"))
-
-
-@_query(f"WITH {_SUFFIXES} SELECT a.row, b.row AS back FROM sa a JOIN sa b ON a.doc = b.doc AND a.off = b.off + 1")
-def r10_step_back(spark, d):
-    return suffixes.step_back(suffixes.build(_names(spark, d))).select("row", "back")
-
-
-@_query(
-    f"WITH {_SUFFIXES}, p AS (SELECT doc, lag(doc) OVER (ORDER BY row) AS prev FROM sa), q AS (SELECT * FROM p WHERE prev IS NOT NULL), t AS (SELECT doc, count(*) AS n FROM (SELECT doc FROM q UNION ALL SELECT prev FROM q) x GROUP BY doc), "
-    "m AS (SELECT least(doc, prev) AS doc_a, greatest(doc, prev) AS doc_b, count(*) AS met FROM q WHERE doc <> prev GROUP BY 1, 2) "
-    "SELECT doc_a, doc_b, round(sqrt(met / sqrt(a.n) / sqrt(b.n)), 6) AS score FROM m JOIN t a ON a.doc = doc_a JOIN t b ON b.doc = doc_b"
-)
-def e3_adjacent_similarity(spark, d):
-    return similarity.adjacent(suffixes.build(_names(spark, d))).select("doc_a", "doc_b", F.round("score", 6).alias("score"))
-
-
-# ------------------------------------------------------------------ mining and similarity
-
-
-@_query()
-def m1_frequent_substrings(spark, d):
-    return mining.frequent_substrings(_benchmark(spark, d), least=20).select(F.hex("s").alias("s"), "n")
-
-
-def _unique(spark, d):
-    items = _benchmark(spark, d)
-    return mining.minimal_unique(suffixes.build(items), items), items
-
-
-@_query()
-def m2_minimal_unique(spark, d):
-    return _unique(spark, d)[0]
-
-
-@_query()
-def m3_unique_histogram(spark, d):
-    return mining.unique_histogram(_unique(spark, d)[0])
-
-
-@_query()
-def m4_near_copies(spark, d):
-    return mining.drop_near_copies(*_unique(spark, d))
-
-
-@_query()
-def m5_unique_kmers(spark, d):
-    return mining.unique_kmers(*_unique(spark, d), k=12, shifts=True)
-
-
-@_query()
-def m6_complexity(spark, d):
-    kmers = mining.unique_kmers(*_unique(spark, d), k=12)
-    return kmers.select("doc", "off", F.round(mining.complexity(F.col("kmer")), 6).alias("complexity"))
-
-
-@_query()
-def e1_shared_sequences(spark, d):
-    return similarity.shared_score(_benchmark(spark, d), C.documents(spark, d), least=32).select("q", "doc", F.round("score", 6).alias("score"))
-
-
-@_query()
-def e2_block_similarity(spark, d):
-    names = _names(spark, d)
-    out = similarity.blocked(suffixes.build(names), names, least=6)
-    return out.select("doc_a", "doc_b", F.round("score", 6).alias("score"))
-
-
-@_query()
-def e5_top_similar(spark, d):
-    return similarity.top(e2_block_similarity(spark, d))
-
-
-@_query()
-def w1_winnowing(spark, d):
-    return winnow.fingerprints(C.documents(spark, d), k=32, guarantee=128)
-
-
-@_query()
-def w3_clustered_fingerprints(spark, d):
-    return winnow.cluster(winnow.fingerprints(C.documents(spark, d), k=32, guarantee=128), k=32)
-
-
 # ------------------------------------------------------------------ sources and streams
 
 
@@ -347,11 +247,6 @@ def src3_deduplicate(spark, d):
     return C.deduplicate(C.documents(spark, d)).select("doc", "info")
 
 
-@_query()
-def src10_random_texts(spark, d):
-    return Engine(C.random_texts(spark, 2000, 200)).count("acgt")
-
-
 @_query("SELECT 'documents' AS index_id, " + _count_sql("tion") + " AS n FROM documents UNION ALL SELECT 'benchmark', " + _count_sql("tion") + " FROM benchmark")
 def src9_by_index(spark, d):
     both = by_index({"documents": C.documents(spark, d), "benchmark": _benchmark(spark, d)})
@@ -365,7 +260,7 @@ def snk5_plain_output(spark, d):
     return C.plain_lines(e.find_places("License"), e.corpus)
 
 
-@_query()
+@_query("SELECT to_json({'doc': doc, 'info': concat(source, '/', doc), 'offsets': list(\"offset\" ORDER BY \"offset\")}) AS value FROM (WITH " + _places_sql("License", "p") + " SELECT * FROM p) p JOIN documents ON doc = doc_id GROUP BY source, doc")
 def snk6_json_output(spark, d):
     e = _docs(spark, d)
     return C.json_lines(e.find_places("License"), e.corpus)
@@ -382,7 +277,23 @@ def stream_ingest(spark, d):
     return Engine(ingest.everything(spark, top, index)).find_docs("License")
 
 
+@_query("SELECT doc_id AS doc FROM documents WHERE contains(text, 'License')")
+def r8_request_lifecycle(spark, d):
+    """A request that is begun, waited for and read from where it wrote."""
+    path = f"{suffixes.shared_dir(spark)}/bytequarry/request-{uuid.uuid4().hex}"
+    request = Request(_docs(spark, d).find_docs("License"), path).begin()
+    if request.wait(3600) != "done":
+        raise request.error or RuntimeError(f"the request is {request.state}")
+    return spark.read.parquet(path)
+
+
 def flagship(spark: SparkSession, d: str) -> DataFrame:
     """Documents with a licence line and common words close together, and their sizes."""
     e = _docs(spark, d)
     return e.sizes().join(e.find_docs("(License OR example) AND t[a-z]+tion"), "doc").orderBy("doc")
+
+
+from bytequarry import queries_arrays  # noqa: E402
+
+QUERIES |= queries_arrays.QUERIES
+ORACLE |= queries_arrays.ORACLE

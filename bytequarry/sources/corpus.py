@@ -13,20 +13,30 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from bytequarry.functions.octets import octets, reverse_complement
+from bytequarry.operators.suffixes import saved
 
-#: File extensions of sequence files.
+#: File extensions of sequence files.
 FASTA = (".fasta", ".fas", ".fa", ".fna", ".ffn", ".faa", ".mpfa", ".frn")
 
 
 def number(df: DataFrame, order: list[str], name: str = "doc") -> DataFrame:
-    """``df`` with a number from 0 in the order of the columns: a range sort and the sums of its partitions' sizes."""
-    rows = df.orderBy(*order).withColumn("_slot", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id()).persist()
+    """``df`` with a number from 0 in the order of the columns: a range sort, written once so that numbers never change, and the sums of its partitions' sizes."""
+    rows = saved(df.orderBy(*order).withColumn("_slot", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id()), "numbered")
     sizes = rows.groupBy("_slot").agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_first"))
     before = Window.orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
     base = sizes.select("_slot", (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")).alias("_base"))
     return rows.join(F.broadcast(base), "_slot").withColumn(name, (F.col("_at") + F.col("_base")).cast("long")).drop("_slot", "_at", "_base")
 
 
+def starts(corpus: DataFrame, extra: int = 1) -> DataFrame:
+    """doc, start: where each document begins in the concatenation of all, ``extra`` bytes behind the one before; a sort and the sums of its partitions."""
+    rows = saved(corpus.select("doc", (F.length("content") + extra).cast("long").alias("size")).orderBy("doc").withColumn("_slot", F.spark_partition_id()), "sizes")
+    before = Window.orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
+    base = rows.groupBy("_slot").agg(F.sum("size").alias("_n")).select("_slot", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
+    own = Window.partitionBy("_slot").orderBy("doc").rowsBetween(Window.unboundedPreceding, -1)
+    return rows.withColumn("_own", F.coalesce(F.sum("size").over(own), F.lit(0))).join(F.broadcast(base), "_slot").select("doc", (F.col("_base") + F.col("_own")).alias("start"))
+
+
 def from_table(df: DataFrame, doc: str, text: str, info=None) -> DataFrame:
     """A table's text column as a corpus."""
     return df.select(F.col(doc).cast("long").alias("doc"), (info if info is not None else F.col(doc).cast("string")).alias("info"), octets(F.col(text)).alias("content"))
@@ -92,9 +102,50 @@ def fasta_files(corpus: DataFrame, both_strands: bool = True) -> DataFrame:
 
 
 def random_texts(spark: SparkSession, n: int, length: int, seed: int = 1, letters: str = "acgt") -> DataFrame:
-    """``n`` documents of ``length`` random letters; equal seeds give equal texts."""
-    pick = F.transform(F.sequence(F.lit(1), F.lit(length)), lambda i: F.substring(F.lit(letters), (F.pmod(F.xxhash64(F.col("id"), i, F.lit(seed)), F.lit(len(letters))) + 1).cast("int"), F.lit(1)))
-    return spark.range(n).select(F.col("id").alias("doc"), F.col("id").cast("string").alias("info"), octets(F.array_join(pick, "")).alias("content"))
+    """``n`` documents of ``length`` random letters, up to 256 kinds; equal seeds give equal texts. A letter comes from two hexadecimal digits of an MD5."""
+    sums = F.array_join(F.transform(F.sequence(F.lit(0), F.lit((length - 1) // 16)), lambda j: F.md5(F.concat_ws("/", F.lit(str(seed)), F.col("id").cast("string"), j.cast("string")))), "")
+    pick = F.transform(F.sequence(F.lit(0), F.lit(length - 1)), lambda i: F.substring(F.lit(letters), (F.conv(F.substring(F.col("sums"), 2 * i + 1, F.lit(2)), 16, 10).cast("int") % len(letters)) + 1, F.lit(1)))
+    return spark.range(n).withColumn("sums", sums).select(F.col("id").alias("doc"), F.col("id").cast("string").alias("info"), octets(F.array_join(pick, "")).alias("content"))
+
+
+class Adapter:
+    """What a source of documents has to offer; any class with these methods will do.
+
+    ``parts`` names the parts of the source (any values that pickle); ``read`` gives the (info, content) pairs of a part, in order. Parts
+    are read by the executors, so what ``read`` opens must be there.
+    """
+
+    def parts(self) -> list:
+        raise NotImplementedError
+
+    def read(self, part) -> Iterator[tuple[str, bytes]]:
+        raise NotImplementedError
+
+
+def from_adapter(spark: SparkSession, adapter: Adapter) -> DataFrame:
+    """The documents of an adapter, numbered by part and place."""
+    parts = adapter.parts()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in batch.column(0).to_pylist():
+                infos, contents, at, size = [], [], 0, 0
+                for info, content in adapter.read(parts[k]):
+                    infos.append(info)
+                    contents.append(content)
+                    size += len(content)
+                    if size >= 1 << 24:
+                        yield _part(k, at, infos, contents)
+                        infos, contents, at, size = [], [], at + len(infos), 0
+                yield _part(k, at, infos, contents)
+
+    rows = spark.range(len(parts), numPartitions=max(1, min(len(parts), 10_000))).mapInArrow(run, "part long, at long, info string, content binary")
+    return number(rows, ["part", "at"]).select("doc", "info", "content")
+
+
+def _part(part: int, at: int, infos: list, contents: list) -> pa.RecordBatch:
+    n = len(infos)
+    return pa.RecordBatch.from_arrays([pa.array([part] * n, pa.int64()), pa.array(range(at, at + n), pa.int64()), pa.array(infos, pa.string()), pa.array(contents, pa.binary())], names=["part", "at", "info", "content"])
 
 
 # ------------------------------------------------------------------ sinks
@@ -142,3 +193,25 @@ def extract_files(corpus: DataFrame, folder: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(paths, pa.string()), pa.array(sizes, pa.int64())], names=["doc", "path", "bytes"])
 
     return corpus.select("doc", "content").mapInArrow(run, "doc long, path string, bytes long")
+
+
+def prepared(corpus: DataFrame, end: bytes = b"\0") -> DataFrame:
+    """start, bytes: every document with an end mark, and where it begins in the concatenation of all."""
+    return corpus.select("doc", F.concat("content", F.lit(end)).alias("bytes")).join(starts(corpus, len(end)), "doc").select("doc", "start", "bytes")
+
+
+def report_lines(engine, q: str, suggest: str | None = None) -> DataFrame:
+    """value: a JSON object for each result (document, info, offsets), each distinct match with its number, each suggestion, and the total."""
+    places = json_lines(engine.find_places(q), engine.corpus).select(F.concat(F.lit('{"result":'), "value", F.lit("}")).alias("value"))
+    text = lambda c: F.decode(c, "UTF-8")
+    matches = engine.matches(q).select(F.to_json(F.struct(F.struct(text("match").alias("match"), "cost", "n").alias("match"))).alias("value"))
+    whole = engine.count(q).select(F.to_json(F.struct(F.col("n").alias("total"))).alias("value"))
+    out = places.unionByName(matches).unionByName(whole)
+    if suggest:
+        out = out.unionByName(engine.suggest(suggest).select(F.to_json(F.struct(F.struct(text("suggestion").alias("suggestion"), "n").alias("suggestion"))).alias("value")))
+    return out
+
+
+def write_lines(lines: DataFrame, path: str, sep: str = "\n", files_n: int | None = None) -> None:
+    """Lines (``value``) to text files, with ``sep`` behind each: a line end, or NUL."""
+    (lines.coalesce(files_n) if files_n else lines).select("value").write.mode("overwrite").option("lineSep", sep).text(path)

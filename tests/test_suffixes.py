@@ -142,8 +142,8 @@ def test_minimal_unique_against_all_others(spark, monkeypatch):
     assert stats == {d: (len(v), min(v), max(v)) for d, v in by.items()}
     upto = {(r.doc, r.length): r.upto for r in mining.unique_histogram(uni).collect()}
     assert upto == {(d, n): sum(x <= n for x in v) for d, v in by.items() for n in v}
-    poor = sorted((len(by.get(d, [])), d) for d in range(7) if len(by.get(d, [])) < 4)
-    assert sorted(r.doc for r in mining.drop_near_copies(uni, c, least=4).collect()) == sorted(d for _, d in poor[: -(-len(poor) // 2)])
+    stored = {r.doc: bytes(r.bytes) for r in mining.unique_bytes(uni, c).collect()}
+    assert stored == {d: bytes(want.get((d, o), 0) for o in range(len(t))) for d, t in enumerate(texts)}
     for shifts in (False, True):
         kmers = {(r.doc, r.off, r.kmer) for r in mining.unique_kmers(uni, c, k=6, shifts=shifts).collect()}
         could = set()
@@ -154,12 +154,68 @@ def test_minimal_unique_against_all_others(spark, monkeypatch):
         assert kmers == could
 
 
+def _unique_counts(texts, docs):
+    """Number of minimal unique strings of each document among ``docs``, by definition."""
+    shared = lambda d, o: max((common(texts[d][o:], texts[e][p:]) for e in docs if e != d for p in range(len(texts[e]))), default=0)
+    out = {}
+    for d in docs:
+        n = [1 + shared(d, o) for o in range(len(texts[d]))] + [1 << 30]
+        out[d] = sum(n[o] <= 255 and o + n[o] <= len(texts[d]) and n[o + 1] >= n[o] for o in range(len(texts[d])))
+    return out
+
+
+def test_near_copies_leave_until_the_rest_is_unique(spark):
+    """The loop as it is stated: half of the near copies, those most alike to a sound document first, else the poorest; then counted anew."""
+    rng = random.Random(21)
+    word = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
+    a, b = word(90), word(80)
+    texts = [a + word(30), a, a, b, b, b + word(2), word(60), a[:70], word(50)]
+    c = corpus(spark, texts)
+    score = {}
+    for r in similarity.blocked(suffixes.build(c), c, 20, 8).collect():
+        score[r.doc_a, r.doc_b] = score[r.doc_b, r.doc_a] = r.score
+    docs, want = list(range(len(texts))), []
+    for step in range(1, 10):
+        n = _unique_counts(texts, docs)
+        near = [d for d in docs if n[d] < 4]
+        if not near:
+            break
+        best = []
+        for d in near:
+            options = [(score[d, e], -e) for e in docs if n[e] >= 4 and score.get((d, e), 0) > 0]
+            if options:
+                best.append((max(options)[0], d))
+        out = [d for _, d in sorted(best, reverse=True)[: max(1, len(near) // 2)]] or [min((n[d], d) for d in docs)[1]]
+        want += [(d, step) for d in out]
+        docs = [d for d in docs if d not in out]
+    got = mining.drop_near_copies(c, least=4, size=20, common=8).collect()
+    assert sorted((r.doc, r.step) for r in got) == sorted(want) and len(want) > 3
+    assert not [d for d, k in _unique_counts(texts, docs).items() if k < 4]
+
+
+def test_outputs_of_kmers(spark):
+    c = corpus(spark, ["ACGTACGGTCATTGCA"])
+    kmers = spark.createDataFrame([(0, 0, "ACGTACGGTCATTGCA"), (0, 4, "AAAAAAAAAAAAAAAA")], "doc long, off long, kmer string")
+    kept = mining.complex_enough(kmers)
+    assert [r.value for r in mining.as_fasta(kept, c).collect()] == [">0:0\nACGTACGGTCATTGCA"]
+    assert [r.value for r in mining.as_tsv(kept, c).collect()] == ["ACGTACGGTCATTGCA\t0\t0"]
+    bars = mining.unique_bytes(spark.createDataFrame([(0, 1, 3)], "doc long, off long, length long"), corpus(spark, [">AC>G"]), b">", slice_size=2).collect()
+    assert b"".join(bytes(r.bytes) for r in sorted(bars, key=lambda r: r.slice)) == b">\x03\0>\0"
+
+
 def test_complexity(spark):
     df = spark.createDataFrame([("ACGTACGGTCATTGCA",), ("AAAAAAAAAAAAAAAA",), ("ACGTA",)], "kmer string")
     a, b, c = (r[0] for r in df.select(mining.complexity(df.kmer)).collect())
     assert 0.65 < a <= 1 and b == 0 and c == 0
 
 
+def test_frequent_by_percentage(spark):
+    c = corpus(spark, ["abab", "abcb"])
+    got = lambda **kw: {bytes(r.s).decode(): r.n for r in mining.frequent_substrings(c, 1, **kw).collect()}
+    assert got(percent=37.5) == {"a": 3, "ab": 3} and got(suffix=b"b", percent=75) == {"ab": 3}
+    assert set(got(percent=12.6, most_percent=25).values()) <= {2} and got(percent=60) == {}
+
+
 def test_frequent(spark):
     rng = random.Random(6)
     texts = ["".join(rng.choice("abc") for _ in range(50)) for _ in range(6)]
@@ -250,3 +306,63 @@ def test_recurring_chains_are_joined(spark):
     assert len(chains) < prints.count() and min(longest.values()) > 150
     top = [next(r.hash for r in chains if r.doc == d and r.stop - r.offset == longest[d]) for d in range(6)]
     assert len(set(top)) == 1
+
+
+def _cluster(rows, k, passes=20, least=4, skips=1, group=8):
+    """The passes on lists of (doc, offset, stop, hash, errors, score); hashes of chains are tuples."""
+    state = [(d, o, o + k, (h,), 0, 0) for d, o, h in rows]
+    for _ in range(passes):
+        by, cands = {}, []
+        for r in sorted(state, key=lambda r: (r[0], r[1], -r[2])):
+            by.setdefault(r[0], []).append(r)
+        for own in by.values():
+            for i, r in enumerate(own):
+                for step in (1, 2):
+                    n = own[i + step] if i + step < len(own) else None
+                    cands.append((r, n, step))
+        pair, total = Counter((r[3], n and n[3]) for r, n, _ in cands), Counter(r[3] for r, _, _ in cands)
+        best, joined = {}, False
+        for r, n, step in cands:
+            c, t = pair[r[3], n and n[3]], total[r[3]]
+            wins = c - (t - c) // 2 if n and c >= least else 0
+            errors = r[4] + step - 1 + (n[4] if n else 0)
+            good = wins > 0 and errors <= skips
+            if good or step == 1:
+                joined |= good
+                new = (r[0], r[1], max(r[2], n[2]), r[3] + ("|",) + n[3], errors, 2 * wins + 1) if good else (*r[:5], 2 * (t.bit_length() - 1) if t >= group else 0)
+                rank = (good, new[5] - new[4], -step)
+                if (r[0], r[1]) not in best or rank > best[r[0], r[1]][0]:
+                    best[r[0], r[1]] = (rank, new)
+        merged = [x for _, x in best.values()]
+        if not joined:
+            return merged
+        state, reach = [], {}
+        for r in sorted(merged, key=lambda r: (r[0], r[1], -r[2])):
+            if r[2] > reach.get(r[0], -1):
+                state.append(r)
+                reach[r[0]] = r[2]
+    return state
+
+
+def test_chains_against_a_plain_statement(spark):
+    """Copies of one run of fingerprints, some with a changed one in the middle: a chain may skip it."""
+    rng = random.Random(22)
+    rows = []
+    for d in range(9):
+        run = [100 + k for k in range(7)]
+        if d % 3 == 2:
+            run[3] = 900 + d
+        rows += [(d, 10 * i, h) for i, h in enumerate([rng.randrange(50) for _ in range(3)] + run + [rng.randrange(50) for _ in range(3)])]
+    got = winnow.cluster(spark.createDataFrame(rows, "doc long, offset long, hash long"), k=8).collect()
+    want = _cluster(rows, 8)
+    assert sorted((r.doc, r.offset, r.stop, r.errors, r.score) for r in got) == sorted((*r[:3], *r[4:]) for r in want)
+    assert any(r.errors for r in got)
+    lines = winnow.dump(spark.createDataFrame([(1, 2, 255)], "doc long, offset long, hash long")).collect()
+    assert lines[0].value == "1:2 00000000000000FF"
+
+
+def test_similarity_by_index(spark):
+    a = corpus(spark, ["xxxxHELLO WORLDyyyyGOODBYE NOW"])
+    by = similarity.by_index(a, {"x": corpus(spark, ["...HELLO WORLD...GOODBYE NOW", "nothing"]), "y": corpus(spark, ["HELLO WORLD HELLO WORLD"])})
+    assert {(r.index_id, round(r.score, 6), r.docs) for r in by.collect()} == {("x", round(22 / 28, 6), 1), ("y", round(11 / 23, 6), 1)}
+    assert round(similarity.total(by).first().score, 6) == round(22 / 28 + 11 / 23, 6)
