@@ -12,6 +12,7 @@ Corpora of up to ``SMALL`` bytes are sorted by the same steps in the memory of o
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -34,10 +35,14 @@ _COLUMNS = "row long, doc long, off long, lcp long, byte int, prev_doc long"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share, ``spark.checkpoint.dir``; a folder of one machine would be lost to the others."""
+    """The folder that all executors share, ``spark.checkpoint.dir``. Where it is unset, a local session, whose executors are this machine, gets
+    a temporary one; on a cluster a folder of one machine would be lost to the others, so there it is an error."""
     top = spark.conf.get("spark.checkpoint.dir", None)
     if not top:
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors reach")
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors reach")
+        top = "file://" + tempfile.mkdtemp(prefix="bytequarry-")
+        spark.conf.set("spark.checkpoint.dir", top)
     return top.rstrip("/")
 
 

@@ -11,7 +11,7 @@ import time
 import uuid
 from collections.abc import Callable, Iterable
 
-from pyspark import InheritableThread
+from pyspark import InheritableThread, SparkContext
 from pyspark.sql import DataFrame, Row
 
 NEW, RUNNING, DONE, FAILED, CANCELLED = "new", "running", "done", "failed", "cancelled"
@@ -25,7 +25,8 @@ class Request:
         self.plan, self.path, self.state, self.error = plan, path, NEW, None
         self.tag = f"request-{uuid.uuid4().hex}"
         self._rows: list[Row] = []
-        self._lock, self._over, self._context = threading.Lock(), threading.Event(), None
+        self._lock, self._over = threading.Lock(), threading.Event()
+        self._context = plan.sparkSession.sparkContext if isinstance(plan, DataFrame) else SparkContext.getOrCreate()
 
     def begin(self) -> Request:
         with self._lock:
@@ -37,11 +38,8 @@ class Request:
 
     def _run(self) -> None:
         try:
-            from pyspark.sql import SparkSession
-
-            self._context = SparkSession.getActiveSession().sparkContext if isinstance(self.plan, Callable) else self.plan.sparkSession.sparkContext
             self._context.addJobTag(self.tag)
-            df = self.plan() if isinstance(self.plan, Callable) else self.plan
+            df = self.plan if isinstance(self.plan, DataFrame) else self.plan()
             if self.path:
                 df.write.mode("overwrite").parquet(self.path)
             else:
@@ -69,8 +67,8 @@ class Request:
         with self._lock:
             if self.state not in (NEW, RUNNING):
                 return
-            self.state = CANCELLED
-        if self._context is not None:
+            begun, self.state = self.state == RUNNING, CANCELLED
+        if begun:
             self._context.cancelJobsWithTag(self.tag)
         else:
             self._over.set()

@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from bytequarry import queries_arrays
 from bytequarry.functions.octets import sha256_of
 from bytequarry.operators import search, suffixes
 from bytequarry.plans.planner import Engine, by_index
@@ -16,8 +17,8 @@ from bytequarry.plans.syntax import parse
 from bytequarry.sources import corpus as C
 from bytequarry.streaming import ingest
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = dict(queries_arrays.QUERIES)
+ORACLE: dict[str, str] = dict(queries_arrays.ORACLE)
 
 
 def _query(sql: str | None = None):
@@ -291,9 +292,3 @@ def flagship(spark: SparkSession, d: str) -> DataFrame:
     """Documents with a licence line and common words close together, and their sizes."""
     e = _docs(spark, d)
     return e.sizes().join(e.find_docs("(License OR example) AND t[a-z]+tion"), "doc").orderBy("doc")
-
-
-from bytequarry import queries_arrays  # noqa: E402
-
-QUERIES |= queries_arrays.QUERIES
-ORACLE |= queries_arrays.ORACLE

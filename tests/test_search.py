@@ -10,6 +10,7 @@ from bytequarry.plans import rewrites as R
 from bytequarry.plans.planner import Engine, by_index
 from bytequarry.plans.syntax import QueryTypeError, parse
 
+#: The short documents and the templates of expressions that searches are tested with.
 FIXED = ["a", "aa", "aab", "aac", "bb", "test", "fun", "\0\0", "\0\1\0", "bannana", "seeresses", "equal", "un", "undo", "bbababcc"]
 TEMPLATES = ["A.", "B.D", "AB.DE", "A+B", "(ABC)+D", "A?B", "AB?C", "AB*C", "A{2}D", "A{2,}D", "A{2,3}E", "[AB]", "[^AB]", "[A-B]", "[^A-B]", "AB|CD", "(AB|CD)+E", "AB(CD|EF)CD", "AB(CD|EF)+CD"]
 
@@ -193,3 +194,71 @@ def test_nulls_and_empties(spark):
         assert docs(e.find_docs(q)) == [] and pairs(e.find_places(q)) == []
     empty = Engine(df.limit(0))
     assert empty.count("a").first().n == 0 and docs(empty.find_docs("a OR b")) == []
+
+
+def test_or_of_places(spark):
+    e = engine(spark, ["abcab", "xbx", "", "ca"])
+    assert pairs(e.find_places("ab OR b")) == [(0, 0), (0, 1), (0, 3), (0, 4), (1, 1)]
+    assert pairs(e.find_places("(a OR x) THEN 3 (b OR c)")) == sorted({(d, i) for d, t in enumerate(["abcab", "xbx", "", "ca"]) for i, x in enumerate(t) if x in "ax" for j in range(i + 1, min(len(t), i + 4)) if t[j] in "bc"})
+    assert docs(e.find_docs("ab OR ca")) == [0, 3]
+    with pytest.raises(QueryTypeError):
+        e.find_places("(a AND b) OR (a THEN 2 b)")
+    with pytest.raises(QueryTypeError):
+        e.find_places("(a AND b) THEN 2 c")
+
+
+def test_approximate_expressions_by_their_pieces(spark):
+    """An expression with a string that matches must nearly hold: the same places with the pieces' test and without."""
+    rng = random.Random(31)
+    texts = ["".join(rng.choice("abcd") for _ in range(rng.randint(0, 40))) for _ in range(40)] + ["xxabcabcdyy", "abcbcd", "zzabxabcdzz"]
+    for q in ("APPROX 1 abc[a-d]?bcd", "APPROX 1 (ab|cd)abc", "APPROX 2 [a-b]abcab"):
+        (leaf,) = R.leaves(R.prepare(parse(q)))
+        assert search.pieces(leaf)
+        machine = search.Automaton(leaf.regex, leaf.approx)
+        want = []
+        for d, t in enumerate(texts):
+            best = {}
+            for end in range(1, len(t) + 1):
+                if hit := machine.shortest(t.encode(), end):
+                    if hit[0] not in best or hit[1] < best[hit[0]]:
+                        best[hit[0]] = hit[1]
+            want += [(d, s) for s in sorted(best)]
+        assert pairs(engine(spark, texts).find_places(q)) == want
+
+
+def test_pattern_files(spark, tmp_path):
+    from bytequarry.plans.planner import pattern_file
+
+    (tmp_path / "q").write_bytes(b"b AND x\n")
+    (tmp_path / "raw").write_bytes(b"b AND")
+    e = engine(spark, ["abx", "b AND x", "x"])
+    assert docs(e.find_docs(pattern_file(str(tmp_path / "q")))) == [0, 1]
+    assert docs(e.find_docs(pattern_file(str(tmp_path / "raw"), literal=True))) == [1]
+
+
+def test_requests(spark, tmp_path):
+    """Begun, waited for, cancelled; several side by side; a failed one tells why."""
+    import time
+
+    from bytequarry.plans.requests import Request, begin_all, wait_all
+
+    e = engine(spark, ["abc", "bcd", "xyz"])
+    first, second = Request(e.find_docs("bc")), Request(lambda: e.request("find_docs 5 1 bc"), str(tmp_path / "out"))
+    with pytest.raises(RuntimeError):
+        first.wait()
+    assert wait_all(begin_all([first, second]), 120) == ["done", "done"]
+    assert sorted(r.doc for r in first.rows()) == [0, 1] and spark.read.parquet(str(tmp_path / "out")).count() == 2
+    slow = Request(spark.range(1 << 40).selectExpr("sum(hash(id))")).begin()
+    assert slow.wait(0.5) == "running"
+    time.sleep(1)
+    slow.cancel()
+    assert slow.wait(60) == "cancelled" and first.wait(1) == "done"
+    with pytest.raises(RuntimeError):
+        slow.rows()
+    bad = Request(spark.range(3).selectExpr("raise_error('no')")).begin()
+    assert bad.wait(60) == "failed"
+    with pytest.raises(Exception, match="no"):
+        bad.rows()
+    never = Request(e.find_docs("a"))
+    never.cancel()
+    assert never.state == "cancelled"

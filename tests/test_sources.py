@@ -97,3 +97,33 @@ def test_saved_tables_are_in_the_shared_folder(spark):
     top = spark.conf.get("spark.checkpoint.dir")
     df = suffixes.saved(spark.range(3), "numbers")
     assert all(f.startswith(top) for f in df.inputFiles()) and df.count() == 3
+
+
+def test_adapters_and_the_concatenation(spark):
+    class Pairs(C.Adapter):
+        def parts(self):
+            return ["x", "y", "none"]
+
+        def read(self, part):
+            return iter([] if part == "none" else [(f"{part}{k}", bytes([k]) * k) for k in range(3)])
+
+    got = C.from_adapter(spark, Pairs()).orderBy("doc").collect()
+    assert [(r.doc, r.info, bytes(r.content)) for r in got] == [(k, f"{p}{i}", bytes([i]) * i) for k, (p, i) in enumerate((p, i) for p in "xy" for i in range(3))]
+    rows = [(k, str(k), bytearray(b"a" * k)) for k in range(40)]
+    out = C.prepared(spark.createDataFrame(rows, "doc long, info string, content binary").repartition(5)).orderBy("start").collect()
+    text = b"".join(bytes(r.bytes) for r in out)
+    assert text == b"".join(b"a" * k + b"\0" for k in range(40)) and all(text[r.start :].startswith(bytes(r.bytes)) for r in out)
+
+
+def test_reports(spark, tmp_path):
+    import json
+
+    from bytequarry.plans.planner import Engine
+
+    e = Engine(spark.createDataFrame([(0, "a", bytearray(b"the then")), (1, "b", bytearray(b"this"))], "doc long, info string, content binary"))
+    lines = C.report_lines(e, "th(e|is)", suggest="thex")
+    found = [json.loads(r.value) for r in lines.collect()]
+    assert {"total": 3} in found and {"match": {"match": "the", "cost": 0, "n": 2}} in found
+    assert {"result": {"doc": 0, "info": "a", "offsets": [0, 4]}} in found and any("suggestion" in x for x in found)
+    C.write_lines(lines, str(tmp_path / "out"), files_n=1)
+    assert spark.read.text(str(tmp_path / "out")).count() == len(found)
