@@ -2,14 +2,15 @@
 
 The model counts letter trigrams (with word edges) of all training rows of each language, in ``BUCKETS`` hashed
 buckets, and the scripts that each language is written in. A word's score for a language is the sum of its
-trigrams' log-probabilities, clipped to ``CLIP`` below its best language; a language that is never written in the
-word's script gets ``OTHER_SCRIPT`` besides. Viterbi over a document's words pays ``SWITCH`` for each change of
+trigrams' log-probabilities, clipped to ``CLIP`` below its best language. Only the languages that are written in the word's
+script are candidates: the others aren't scored and the word can't have them. Combining marks belong to the letter before them. Viterbi over a document's words pays ``SWITCH`` for each change of
 language. Counting is one map with per-task totals and a small aggregate; labelling is one map. Both run in numpy over whole
 batches, so the cost per character is constant and no step is taken per word in Python.
 """
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,7 +23,7 @@ from bytequarry.llm._common import map_rows, tidy
 BUCKETS = 1 << 15
 #: The model is broadcast; so many languages at most (BUCKETS * 4 bytes each).
 MAX_LANGS = 256
-SWITCH, CLIP, OTHER_SCRIPT = 10.0, 12.0, -30.0
+SWITCH, CLIP, BARRED = 10.0, 12.0, -1e4
 UND = "und"
 #: Characters that are scored at once, and words that Viterbi takes at once.
 CHARS, WORDS = 1 << 18, 1 << 19
@@ -35,19 +36,22 @@ N_SCRIPTS = 35
 _TABLES: dict = {}
 
 
-def _tables() -> tuple[np.ndarray, np.ndarray]:
-    """By code point: its lower-case letter (0: no letter), and its script."""
+def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """By code point: its lower-case letter or combining mark (0: neither), its script, and whether it is a mark."""
     if not _TABLES:
-        lower = np.zeros(0x110000, np.uint32)
+        lower, mark = np.zeros(0x110000, np.uint32), np.zeros(0x110000, bool)
         for c in range(0x110000):
             s = chr(c)
             if s.isalpha():
                 x = s.lower()
                 lower[c] = ord(x) if len(x) == 1 else c
+            elif unicodedata.category(s)[0] == "M":
+                lower[c] = c
+                mark[c] = True
         script = np.zeros(0x110000, np.uint8)
         for (a, k), (b, _) in zip(_SCRIPTS, [*_SCRIPTS[1:], (0x110000, 0)], strict=True):
             script[a:b] = k
-        _TABLES["x"] = lower, script
+        _TABLES["x"] = lower, script, mark
     return _TABLES["x"]
 
 
@@ -77,10 +81,16 @@ def _pieces(texts: list[str | None]) -> Iterator[tuple[list[int], list[int], str
 
 def _grams(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of a piece: positions of letters, their trigrams' buckets, which letters begin words, and the words' scripts."""
-    lower, script = _tables()
+    lower, script, mark = _tables()
     points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
     code = np.zeros(len(points) + 2, np.uint32)
     code[1:-1] = lower[points]
+    if (marks := mark[points]).any():  # a mark belongs to the letter before it, and without one to no word
+        inside = code[1:-1] > 0
+        begin = np.flatnonzero(inside & ~np.r_[False, inside[:-1]])
+        letters = np.add.reduceat(inside & ~marks, begin) if len(begin) else np.zeros(0, int)
+        word = np.cumsum(np.isin(np.arange(len(points)), begin)) - 1
+        code[1:-1][inside & (letters[word] == 0)] = 0
     at = np.flatnonzero(code[1:-1])
     h = code[at] * np.uint32(0x9E3779B1) + code[at + 1] * np.uint32(0x85EBCA6B) + code[at + 2] * np.uint32(0xC2B2AE35)
     h ^= h >> np.uint32(15)
@@ -111,18 +121,44 @@ def fit(rows: DataFrame, text_col: str = "text", lang_col: str = "lang") -> dict
             yield pa.RecordBatch.from_arrays([pa.array([x] * len(keys), pa.string()), pa.array(keys, pa.int64()), pa.array(n[keys], pa.int64())], names=["lang", "bucket", "n"])
 
     labelled = rows.select(F.col(text_col), F.col(lang_col).cast("string").alias("lang")).filter(F.col("lang").isNotNull() & F.col(text_col).isNotNull())
-    counts = labelled.mapInArrow(lambda batches: tidy(count(batches)), "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
-    langs = sorted(counts["lang"].unique())
+    # no more names than the bound come to the driver, and counts only of so many languages
+    langs = sorted(r.lang for r in labelled.select("lang").distinct().limit(MAX_LANGS + 1).collect())
     if len(langs) > MAX_LANGS:
-        raise ValueError(f"{len(langs)} languages; the model is bounded by {MAX_LANGS}")
+        raise ValueError(f"more than {MAX_LANGS} languages; the model is bounded by that")
+    counts = labelled.mapInArrow(lambda batches: tidy(count(batches)), "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
     number = {x: k for k, x in enumerate(langs)}
     n = np.zeros((BUCKETS + N_SCRIPTS, max(len(langs), 1)))
     n[counts["bucket"].to_numpy(np.int64), counts["lang"].map(number).to_numpy(np.int64)] = counts["n"].to_numpy(float)
     grams, scripts = n[:BUCKETS] + 0.5, n[BUCKETS:]
     share = scripts / np.maximum(scripts.sum(0), 1)
     used = share >= 0.001
-    penalty = np.where(used | ~used.any(1, keepdims=True), 0.0, OTHER_SCRIPT)
-    return {"langs": langs, "logp": np.log(grams / grams.sum(0)).astype(np.float32), "script": penalty.astype(np.float32)}
+    # the languages that words of a script may have: those written in it, or all where none is
+    allowed = used | ~used.any(1, keepdims=True)
+    return {"langs": langs, "logp": np.log(grams / grams.sum(0)).astype(np.float32), "allowed": allowed}
+
+
+def _scores(model: dict, h: np.ndarray, first: np.ndarray, script: np.ndarray) -> np.ndarray:
+    """Words x languages: the log-probabilities of the words' trigrams, less the best language's and clipped, for the languages that the
+    word's script leaves; the others are barred and aren't scored."""
+    logp, allowed = model["logp"], model["allowed"]
+    kinds = np.unique(script)
+    out = np.full((len(first), logp.shape[1]), BARRED, np.float32)
+    sizes = np.diff(np.r_[first, len(h)])
+    for k in kinds.tolist():
+        langs = np.flatnonzero(allowed[k])
+        words, grams, begin = slice(None), h, first
+        if len(kinds) > 1:
+            words = np.flatnonzero(script == k)
+            grams = h[np.repeat(script == k, sizes)]
+            begin = np.cumsum(sizes[words]) - sizes[words]
+        e = np.add.reduceat((logp if len(langs) == logp.shape[1] else np.ascontiguousarray(logp[:, langs]))[grams], begin, axis=0)
+        e -= e.max(1, keepdims=True)
+        np.maximum(e, -CLIP, out=e)
+        if len(langs) == logp.shape[1]:
+            out[words] = e
+        else:
+            out[np.ix_(np.arange(len(first)) if isinstance(words, slice) else words, langs)] = e
+    return out
 
 
 def _viterbi(e: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -178,10 +214,7 @@ def label(texts: list[str | None], model: dict) -> list[tuple[str, float, str]]:
             flush()
         at, h, first, script = _grams(text)
         if len(first):
-            e = np.add.reduceat(model["logp"][h], first, axis=0)
-            e += model["script"][script]
-            e -= e.max(1, keepdims=True)
-            np.maximum(e, -CLIP + np.where(model["script"][script] < 0, OTHER_SCRIPT, 0), out=e)
+            e = _scores(model, h, first, script)
             piece = np.searchsorted(starts, at[first], "right") - 1
             owner = np.asarray(numbers)[piece]
             begin = at[first] - np.asarray(starts)[piece] + base[owner]
@@ -221,8 +254,8 @@ def identify(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang
 
     The model is learned from the rows of ``df`` that aren't held out and have a language; only the text decides a
     prediction. A text that is null, empty or without letters, and every text if nothing could be learned, is ``und``
-    with score 0 and no spans. Ties go to the first language by name; repeated rows give repeated results. Other
-    columns are ignored, whatever their names.
+    with score 0 and no spans. Whole texts are labelled, of any length. Ties go to the first language by name; repeated rows give
+    repeated results, an empty table none. Other columns are ignored, whatever their names.
     """
     model = df.sparkSession.sparkContext.broadcast(fit(df.filter(~held_out(id_col)), text_col, lang_col))
     kind = df.schema[id_col].dataType.simpleString()
@@ -235,10 +268,11 @@ def identify(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang
     return map_rows(df.select(F.col(id_col), held_out(id_col).alias(flag), F.col(text_col)), run, [id_col, flag, text_col], f"`{id_col}` {kind}, held_out boolean, lang_pred string, score double, spans string", rows=ROWS)
 
 
-def keep_known(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", min_score: float = 0.5) -> DataFrame:
-    """The rows of ``df``, unchanged, whose text has a language: not ``und``, and at least ``min_score`` of the letters in it.
+def keep_known(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", min_score: float = 0.0) -> DataFrame:
+    """The rows of ``df``, unchanged, whose text has a language: not ``und``, and one with at least ``min_score`` of the letters in it.
 
-    If no language could be learned, the rows whose text has letters.
+    By default a text in any mixture of languages stays. If no language could be learned, the rows whose text has letters stay. Null and
+    empty texts, and those without letters, go; repeated rows stay or go together; an empty table gives an empty one; columns may have any names.
     """
     model = df.sparkSession.sparkContext.broadcast(fit(df.filter(~held_out(id_col)), text_col, lang_col))
     at = df.columns.index(text_col)

@@ -11,6 +11,7 @@ padding. Sequence ids hold the partition's number, so they are unique and a retr
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Iterator
 
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame
 
 from bytequarry.llm._common import tidy, tokenizer_path
 
-CAPACITY, MAX_SEGMENTS, END_ID = 4096, 1024, 2
+CAPACITY, MAX_SEGMENTS, END_ID = 4096, 64, 2
 #: Pieces that wait for a place at a time.
 POOL = 1024
 #: Bytes that a worker's cache of tokenised pieces may hold; it is emptied when it has more.
@@ -36,6 +37,9 @@ _CUT = rf"[^{_SPACE}]*[^\x{{0}}-\x{{ff}}{_SPACE}][^{_SPACE}]*|'(?:s|t|re|ve|m|ll
 _LETTERS = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+")
 #: The characters that stand for bytes: printable Latin-1 for itself, and the rest in order from U+0100.
 _BYTES = {b: 256 + n for n, b in enumerate(b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174))}
+#: How the tokenizer that the rules above restate cuts a text. Any other tokenizer encodes whole texts itself.
+_RULES = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+_NORMALIZERS, _SUFFIX, _SPECIAL = ["NFC", "Replace", "Lowercase"], "</w>", "<|"
 #: Strings of special tokens, and white space to Arrow that isn't to the tokenizer.
 _ODD = r"<\||[\x1c-\x1f]"
 
@@ -46,16 +50,30 @@ class Tokenizer:
     The tokenizer drops white space and never joins across it, nor across the borders of runs of letters. Arrow cuts the
     texts there, numbers the distinct pieces and strings their cached ids together. Unknown words of letters go to the
     model itself, as characters that stand for their bytes; other unknown pieces are encoded one by one, and texts
-    with the strings of special tokens whole.
+    with the strings of special tokens whole. A tokenizer that cuts texts by other rules than those restated here encodes every text whole.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer as Tok
 
         self.tok = Tok.from_file(path)
+        self.known = self._cuts_as_restated(path)
         self.pieces: dict[str, bytes] = {}
         self.held = 0
 
+    @staticmethod
+    def _cuts_as_restated(path: str) -> bool:
+        with open(path, encoding="utf-8") as f:
+            t = json.load(f)
+        steps = [n.get("type") for n in (t.get("normalizer") or {}).get("normalizers", [])]
+        cuts = (t.get("pre_tokenizer") or {}).get("pretokenizers", [])
+        split, level = (cuts[0], cuts[1]) if len(cuts) == 2 else ({}, {})
+        own = split.get("type") == "Split" and split.get("pattern") == {"Regex": _RULES} and split.get("behavior") == "Removed" and split.get("invert") is True
+        bytes_ = level.get("type") == "ByteLevel" and level.get("add_prefix_space") is False and level.get("use_regex") is False
+        model = t.get("model") or {}
+        plain = model.get("type") == "BPE" and model.get("end_of_word_suffix") == _SUFFIX and not model.get("dropout")
+        return own and bytes_ and plain and steps == _NORMALIZERS and all(x["content"].startswith(_SPECIAL) for x in t.get("added_tokens", []))
+
     def _plain(self, text: str) -> bytes:
         return np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
@@ -82,7 +100,8 @@ class Tokenizer:
         at = 0
         while at < len(texts):
             end = at + max(1, int(np.searchsorted(np.cumsum(sizes[at:]), SLICE)))
-            yield from self._slice(texts.slice(at, end - at))
+            part = texts.slice(at, end - at)
+            yield from self._slice(part) if self.known else map(self._plain, part.to_pylist())
             at = end
 
     def _slice(self, texts: pa.Array) -> Iterator[bytes]:
@@ -207,8 +226,9 @@ def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", prompt_c
     An example is the ids of its prompt (``prompt_col``, if given; no loss), then those of its text and ``end_id``
     (all with loss). A null or empty text is just ``end_id``. A piece's loss-bearing tokens, with those of the other
     pieces of its sequence, stay within ``max_loss`` (default: no limit beside ``capacity``). Sequences are full or have
-    a power of two of tokens. Repeated rows are packed each; an empty table gives no rows; other columns are
-    ignored, whatever their names.
+    a power of two of tokens. Whole texts are packed, of any length; of pieces with equal dot products the one that has waited
+    in the first place comes first. Repeated rows are packed each, a null id is an id; an empty table gives no rows; other columns are
+    ignored, whatever their names. The tokenizer may be any file that the tokenizers library reads.
     """
     path = tokenizer or tokenizer_path()
     if capacity < 1 or capacity & (capacity - 1) or max_segments < 1 or (max_loss is not None and max_loss < 1):

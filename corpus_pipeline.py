@@ -13,8 +13,8 @@ from bytequarry.llm.queries import pieces_digest
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop texts without a language: no letters, or no language with at least two fifths of them."""
-    return langid.keep_known(docs, min_score=0.4)
+    """Drop texts that language identification rejects: null, empty, or without letters. Mixtures of languages stay."""
+    return langid.keep_known(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -87,3 +87,36 @@ def test_odd_frames(spark):
     assert [r.lang_pred for r in got] == ["de"] * 3
     kept = L.keep_known(spark.createDataFrame([*rows, (5, "12 34", "de", "y"), (6, None, "de", "y")], kind))
     assert kept.columns == ["doc_id", "text", "lang", "score"] and kept.count() == 3
+
+
+def test_scripts_narrow_the_candidates(spark):
+    """A word has only languages of its script, however much another is like it, and those alone are scored."""
+    rows = [r for r in _rows(random.Random(3))]
+    model = L.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    names = model["langs"]
+    rng = random.Random(4)
+    text = " ".join(_text(rng, rng.choice(list(STEMS)), 1) for _ in range(60))
+    (_, _, spans) = L.label([text], model)[0]
+    for s in spans.split(","):
+        lang, a, b = s.split(":")
+        for w in text[int(a) : int(b)].split():
+            assert (lang == "ru") == ("а" <= w[0] <= "я") and (lang == "el") == ("α" <= w[0] <= "ώ")
+    _, h, first, script = L._grams("when при τη")
+    e = L._scores(model, h, first, script)
+    assert [{names[k] for k in np.flatnonzero(row > L.BARRED)} for row in e] == [{"en", "de", "fr"}, {"ru"}, {"el"}]
+
+
+def test_combining_marks_stay_inside_words():
+    word = "\u0939\u093f\u0928\u094d\u0926\u0940"  # letters with vowel signs
+    at, _, first, _ = L._grams(f"{word} x\u0301y \u0301 \u0301\u0301")
+    assert at[first].tolist() == [0, len(word) + 1] and len(at) == len(word) + 3
+
+
+def test_too_many_languages(spark, monkeypatch):
+    monkeypatch.setattr(L, "MAX_LANGS", 3)
+    rows = [(k, "text of it", f"l{k}") for k in range(5)]
+    try:
+        L.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    except ValueError:
+        return
+    raise AssertionError
