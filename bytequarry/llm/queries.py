@@ -78,21 +78,21 @@ def _quoted(s: str) -> str:
 def _license_sql() -> str:
     """Every window against every template of its class."""
     words = lambda x: f"regexp_extract_all(lower({x}), '[a-z0-9]+')"
-    shingles = f"list_transform(range(1, len(w) - {license_scan.SHINGLE - 2}), lambda i: array_to_string(w[i:i + {license_scan.SHINGLE - 1}], ' '))"
-    rows = ", ".join(f"({k}, {_quoted(name)}, {_quoted(text)})" for k, (name, text) in enumerate(license_scan.TEMPLATES))
-    pick = "CASE " + " ".join(f"WHEN len(w) <= {n} THEN {k}" for k, (n, _, _) in enumerate(license_scan.CLASSES)) + " END"
-    sizes = ", ".join(f"({k}, {w}, {s})" for k, (_, w, s) in enumerate(license_scan.CLASSES))
+    k = license_scan.SHINGLE
+    shingles = f"list_transform(range(1, len(w) - {k - 2}), lambda i: array_to_string(w[i:i + {k - 1}], ' '))"
+    temps = license_scan.passages(license_scan.TEMPLATES)
+    rows = ", ".join(f"({n}, {_quoted(name)}, {license_scan.class_of(len(w))}, {_quoted(' '.join(w))})" for n, (name, w) in enumerate(temps))
+    sizes = ", ".join(f"({n}, {w}, {s})" for n, (_, w, s) in enumerate(license_scan.CLASSES))
     return f"""WITH c(class, win_size, stride) AS (VALUES {sizes}),
-    t AS (SELECT template, license, {pick} AS class, list_distinct({shingles}) AS sh FROM (SELECT template, license, {words('txt')} AS w FROM (VALUES {rows}) v(template, license, txt)) x),
+    t AS (SELECT template, license, class, list_distinct({shingles}) AS sh FROM (SELECT template, license, class, string_split(txt, ' ') AS w FROM (VALUES {rows}) v(template, license, class, txt)) x),
     ts AS (SELECT template, license, class, len(sh) AS n, unnest(sh) AS s FROM t),
-    d AS (SELECT doc_id, pos, s FROM (SELECT doc_id, unnest(range(len(sh))) AS pos, unnest(sh) AS s FROM (SELECT doc_id, {shingles} AS sh FROM (SELECT doc_id, {words('text')} AS w FROM documents WHERE text IS NOT NULL) x WHERE len(w) >= {license_scan.SHINGLE}) y) z),
+    d AS (SELECT doc_id, pos, s FROM (SELECT doc_id, unnest(range(len(sh))) AS pos, unnest(sh) AS s FROM (SELECT doc_id, {shingles} AS sh FROM (SELECT doc_id, {words('text')} AS w FROM documents WHERE text IS NOT NULL) x WHERE len(w) >= {k}) y) z),
     hit AS (SELECT doc_id, pos, template, license, class, n, s FROM d JOIN ts USING (s)),
-    win AS (SELECT hit.*, unnest(range(greatest(0, CAST(ceil((pos + {license_scan.SHINGLE} - win_size) / stride) AS BIGINT)), pos // stride + 1)) AS win FROM hit JOIN c USING (class)),
-    score AS (SELECT doc_id, template, license, class, win, count(DISTINCT s) / any_value(n) AS containment FROM win GROUP BY ALL),
-    ends AS (SELECT doc_id, class, win, min(pos) AS a, max(pos) AS b FROM win GROUP BY ALL),
-    best AS (SELECT doc_id, template, license, max(containment) AS containment, count(*) AS n_windows, min(a) AS a, max(b) AS b FROM score JOIN ends USING (doc_id, class, win) WHERE containment >= {license_scan.LEAST} GROUP BY ALL),
+    win AS (SELECT hit.*, unnest(range(greatest(0, CAST(ceil((pos + {k} - win_size) / stride) AS BIGINT)), pos // stride + 1)) AS win FROM hit JOIN c USING (class)),
+    score AS (SELECT doc_id, template, license, class, win, count(DISTINCT s) / any_value(n) AS containment, min(pos) AS a, max(pos) AS b FROM win GROUP BY doc_id, template, license, class, win),
+    best AS (SELECT doc_id, template, license, max(containment) AS containment, count(*) AS n_windows, min(a) AS a, max(b) AS b FROM score WHERE containment >= {license_scan.LEAST} GROUP BY doc_id, template, license),
     rival AS (SELECT x.template, y.template AS rival FROM ts x JOIN ts y ON x.s = y.s AND x.license <> y.license GROUP BY x.template, y.template, x.n, y.n HAVING 2 * count(*) >= least(x.n, y.n))
-    SELECT doc_id, license, max(containment) AS containment, CAST(sum(n_windows) AS BIGINT) AS n_windows, min(a) AS first_word, max(b) + {license_scan.SHINGLE - 1} AS last_word FROM best
+    SELECT doc_id, license, max(containment) AS containment, CAST(sum(n_windows) AS BIGINT) AS n_windows, min(a) AS first_word, max(b) + {k - 1} AS last_word FROM best
     WHERE NOT EXISTS (SELECT 1 FROM rival JOIN best o ON o.template = rival.template WHERE rival.rival = best.template AND o.doc_id = best.doc_id AND o.containment > best.containment) GROUP BY doc_id, license"""
 
 
