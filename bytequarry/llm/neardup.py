@@ -32,7 +32,7 @@ BLOCK = 256
 #: A pair whose estimated similarity lies this far under the threshold isn't verified; over four standard deviations.
 SLACK = 0.15
 #: Partners of a leader that are verified in one group.
-SALT = 256
+SALT = 64
 #: Tasks to which the rows of a bucket are dealt where they meet the bucket's leader or components.
 SPREAD = 16
 
