@@ -77,11 +77,12 @@ def _nearest_other(array: DataFrame) -> DataFrame:
     """
     edge = F.col("prev_doc").isNull() | (F.col("prev_doc") != F.col("doc"))
     rows = array.select("row", "doc", "off", "lcp", F.floor(F.col("row") / BLOCK).alias("block"), F.when(edge, F.col("row")).alias("edge"))
-    by = Window.partitionBy("block").orderBy("row")
-    ahead = by.rowsBetween(1, Window.unboundedFollowing)
-    placed = rows.withColumn("run", F.max("edge").over(by.rowsBetween(Window.unboundedPreceding, 0))).withColumn("then", F.first(F.when(F.col("edge").isNotNull(), F.col("lcp")), ignorenulls=True).over(ahead))
-    run = Window.partitionBy("block", "run").orderBy("row")
-    inner = placed.withColumn("a", F.min("lcp").over(run.rowsBetween(Window.unboundedPreceding, 0))).withColumn("b", F.min("lcp").over(run.rowsBetween(1, Window.unboundedFollowing)))
+    # frames only grow from their start; one that shrinks to its end would be read anew for every row
+    by, back = Window.partitionBy("block").orderBy("row"), Window.partitionBy("block").orderBy(F.desc("row"))
+    to_here, before_here = (Window.unboundedPreceding, 0), (Window.unboundedPreceding, -1)
+    placed = rows.withColumn("run", F.max("edge").over(by.rowsBetween(*to_here))).withColumn("then", F.last(F.when(F.col("edge").isNotNull(), F.col("lcp")), ignorenulls=True).over(back.rowsBetween(*before_here)))
+    run, run_back = Window.partitionBy("block", "run").orderBy("row"), Window.partitionBy("block", "run").orderBy(F.desc("row"))
+    inner = placed.withColumn("a", F.min("lcp").over(run.rowsBetween(*to_here))).withColumn("b", F.min("lcp").over(run_back.rowsBetween(*before_here)))
     inner = saved(inner.select("row", "doc", "off", "lcp", "block", "run", "then", "a", "b"), "runs")
     # of each block: the least lcp of its last run, or of all of it where no run begins; and up to the first edge, likewise
     last = inner.groupBy("block").agg(F.max("run").alias("last"), F.min("run").alias("first"))
