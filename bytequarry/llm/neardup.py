@@ -34,7 +34,7 @@ SLACK = 0.15
 #: Partners of a leader that are verified in one group.
 SALT = 64
 #: Tasks to which the rows of a bucket are dealt where they meet the bucket's leader or components.
-SPREAD = 16
+SPREAD = 8
 
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 _P = 0x5851F42D4C957F2D

@@ -357,7 +357,7 @@ def _sums(z: np.ndarray, turns: list[np.ndarray], chain: np.ndarray) -> tuple[np
 
 
 @lru_cache(maxsize=1)
-def train(seed: int = 11, documents: int = 2000, steps: int = 70) -> Model:
+def train(seed: int = 11, documents: int = 1400, steps: int = 60) -> Model:
     """All weights together, by gradient ascent (Adam) on generated documents.
 
     What is maximised is the likelihood of each region's labels given its features and the labels of its skip neighbours, summed over the
