@@ -250,12 +250,50 @@ def e5_top_similar(spark, d):
     return similarity.top(e2_block_similarity(spark, d))
 
 
-@_query()
+def _winnow_sql(k: int, guarantee: int) -> str:
+    """The polynomial of each run of ``k`` bytes by its definition, mixed, and the least of each window, the last of equal ones."""
+    two64 = "18446744073709551616"
+    terms = " + ".join(f"(lead(b, {j}) OVER w + 1)::HUGEINT * {pow(winnow._P, j, 1 << 64)}" for j in range(k))
+    step = lambda x, shift, factor: f"CAST(((xor({x}, {x} >> {shift}))::UHUGEINT * {factor}::UHUGEINT) % {two64}::UHUGEINT AS UBIGINT)"
+    return f"""WITH t AS (SELECT doc_id AS doc, hex(encode(text)) AS t, octet_length(encode(text)) AS size FROM documents WHERE text IS NOT NULL),
+    c AS (SELECT doc, size, i, CAST('0x' || substr(t, 2 * i - 1, 2) AS INT) AS b FROM t, unnest(range(1, size + 1)) u(i)),
+    g AS (SELECT doc, i, CAST(({terms}) % {two64} AS UBIGINT) AS x, size FROM c WINDOW w AS (PARTITION BY doc ORDER BY i)),
+    m AS (SELECT doc, i, {step('x', 30, 0xBF58476D1CE4E5B9)} AS x FROM g WHERE i <= size - {k - 1}), n AS (SELECT doc, i, {step('x', 27, 0x94D049BB133111EB)} AS x FROM m), h AS (SELECT doc, i, xor(x, x >> 31) AS x FROM n),
+    l AS (SELECT doc, i, min(x::HUGEINT * 1073741824 + (1073741823 - i)) OVER (PARTITION BY doc ORDER BY i ROWS BETWEEN {guarantee - k} PRECEDING AND CURRENT ROW) AS low FROM h)
+    SELECT DISTINCT doc, CAST(1073741823 - low % 1073741824 - 1 AS BIGINT) AS "offset", CAST(CASE WHEN low // 1073741824 >= 9223372036854775808 THEN low // 1073741824 - {two64} ELSE low // 1073741824 END AS BIGINT) AS hash FROM l WHERE i > {guarantee - k}"""
+
+
+@_query(_winnow_sql(32, 128))
 def w1_winnowing(spark, d):
     return winnow.fingerprints(C.documents(spark, d), k=32, guarantee=128)
 
 
-@_query()
+def _chains_sql(k: int, guarantee: int, passes: int = 20) -> str:
+    """All passes, one after the other; passes behind the last that joins anything change nothing."""
+    head, _, last = _winnow_sql(k, guarantee).rpartition("SELECT DISTINCT")
+    out = [f'w1 AS MATERIALIZED (SELECT DISTINCT{last}), s0 AS MATERIALIZED (SELECT doc, "offset" AS o, "offset" + {k} AS stop, hash, 0 AS errors, 1 AS n, 0::BIGINT AS score FROM w1)']
+    two64 = "18446744073709551616"
+    for p in range(passes):
+        ahead = " UNION ALL ".join(
+            f"SELECT *, {j} AS step, lead(hash, {j}) OVER w AS th, lead(stop, {j}) OVER w AS ts, errors + {j - 1} + coalesce(lead(errors, {j}) OVER w, 0) AS te, lead(n, {j}) OVER w AS tn FROM s{p} WINDOW w AS (PARTITION BY doc ORDER BY o, stop DESC)" for j in (1, 2)
+        )
+        unsigned = lambda x: f"(CASE WHEN {x} < 0 THEN {x}::HUGEINT + {two64} ELSE {x}::HUGEINT END)"
+        turn = f"({unsigned('hash')} * (1::HUGEINT << (tn % 32)::HUGEINT)) % {two64} + {unsigned('hash')} // (1::HUGEINT << (64 - tn % 32)::HUGEINT)"
+        mixed = f"xor(CAST({turn} AS UBIGINT), CAST({unsigned('th')} AS UBIGINT))::HUGEINT"
+        out += [
+            f"c{p} AS MATERIALIZED ({ahead})",
+            f"q{p} AS MATERIALIZED (SELECT hash, th, count(*) AS c, sum(count(*)) OVER (PARTITION BY hash) AS total FROM c{p} GROUP BY hash, th)",
+            f"f{p} AS (SELECT c.*, total, CASE WHEN c.th IS NOT NULL AND q.c >= 4 THEN CAST(q.c - (total - q.c) // 2 AS BIGINT) ELSE 0 END AS wins FROM c{p} c JOIN q{p} q ON q.hash = c.hash AND q.th IS NOT DISTINCT FROM c.th)",
+            f"g{p} AS (SELECT *, wins > 0 AND te <= 1 AS good FROM f{p} WHERE wins > 0 AND te <= 1 OR step = 1)",
+            f"m{p} AS (SELECT doc, o, CASE WHEN good THEN greatest(stop, ts) ELSE stop END AS stop, CASE WHEN good THEN {mixed} ELSE hash END AS hash, CASE WHEN good THEN te ELSE errors END AS errors, CASE WHEN good THEN n + tn ELSE n END AS n, "
+            f"CASE WHEN good THEN 2 * wins + 1 WHEN total >= 8 THEN CAST(2 * floor(log2(total)) AS BIGINT) ELSE 0 END AS score, good, step FROM g{p})",
+            f"b{p} AS MATERIALIZED (SELECT doc, o, stop, CAST(CASE WHEN hash >= 9223372036854775808 THEN hash - {two64} ELSE hash END AS BIGINT) AS hash, errors, n, score FROM m{p} QUALIFY row_number() OVER (PARTITION BY doc, o ORDER BY good DESC, score - errors DESC, step) = 1)",
+            f"s{p + 1} AS MATERIALIZED (SELECT doc, o, stop, hash, errors, n, score FROM b{p} QUALIFY coalesce(stop > max(stop) OVER (PARTITION BY doc ORDER BY o, stop DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true))",
+        ]
+    return f'{head.rstrip()}, {", ".join(out)} SELECT doc, o AS "offset", stop, hash, errors, n, score FROM s{passes}'
+
+
+@_query(_chains_sql(32, 128))
 def w3_clustered_fingerprints(spark, d):
     return winnow.cluster(winnow.fingerprints(C.documents(spark, d), k=32, guarantee=128), k=32)
 
