@@ -95,7 +95,25 @@ def s7_approximate_docs(spark, d):
     return _docs(spark, d).find_docs("APPROX 1 Licensed")
 
 
-@_query()
+def _approximate_sql(s: str) -> str:
+    """Starts of the shortest matches at each end, at a cost of 2 at most, with insertions at 2 and all else at 1, and the last byte matched.
+
+    So a match is the string with up to two bytes changed, or one deleted and one changed, or two deleted, or one inserted. A character of
+    several bytes counts as so many that match nothing.
+    """
+    m = len(s)
+    one = sorted({s[:i] + s[i + 1 :] for i in range(m)})
+    two = sorted({x[:i] + x[i + 1 :] for x in one for i in range(m - 1)})
+    rows = lambda xs: ", ".join(f"('{x}')" for x in xs)
+    pieces = " OR ".join(f"contains(text, '{s[m * i // 3 : m * (i + 1) // 3]}')" for i in range(3))
+    return f"""WITH d AS (SELECT doc_id AS doc, regexp_replace(regexp_replace(regexp_replace(text, '[\\x{{80}}-\\x{{7FF}}]', '~~', 'g'), '[\\x{{800}}-\\x{{FFFF}}]', '~~~', 'g'), '[\\x{{10000}}-\\x{{10FFFF}}]', '~~~~', 'g') AS t FROM documents WHERE {pieces}),
+    v1(x) AS (VALUES {rows(one)}), v2(x) AS (VALUES {rows(two)}), c AS (SELECT doc, t, e, n, substr(t, e - n + 1, n) AS sub FROM d, unnest(range(1, length(t) + 1)) u(e), (VALUES ({m - 2}), ({m - 1}), ({m}), ({m + 1})) w(n) WHERE e >= n),
+    hit AS (SELECT doc, e, n FROM c WHERE n = {m - 2} AND sub IN (SELECT x FROM v2) OR n = {m} AND hamming(sub, '{s}') <= 2 AND right(sub, 1) = '{s[-1]}' OR n = {m + 1} AND levenshtein(sub, '{s}') = 1 AND right(sub, 1) = '{s[-1]}'
+      UNION ALL SELECT doc, e, n FROM (SELECT * FROM c WHERE n = {m - 1}) c, v1 WHERE hamming(sub, x) <= 1 AND right(sub, 1) = right(x, 1))
+    SELECT DISTINCT doc, CAST(e - min(n) AS BIGINT) AS "offset" FROM hit GROUP BY doc, e"""
+
+
+@_query(_approximate_sql("Released under"))
 def s7_approximate_offsets(spark, d):
     return _docs(spark, d).find_places("APPROX 2:1:1:2 Released' 'under")
 

@@ -187,9 +187,40 @@ def m3_unique_statistics(spark, d):
     return mining.unique_statistics(_unique(spark, d)[0]).withColumn("mean", F.round("mean", 9))
 
 
-@_query()
+def _near_copies_sql(least: int, tries: int = 10) -> str:
+    """The loop written out: similarity once, by its blocks, then for each step the counts without what has gone, and who goes next."""
+    head, _, _ = _UNIQUE.partition("u AS (")
+    parts = [
+        head.strip().rstrip(",").replace("p AS (", "p AS MATERIALIZED ("),
+        "sa AS (SELECT row_number() OVER (ORDER BY substr(t, 2 * i - 1), doc) - 1 AS row, doc, substr(t, 2 * i - 1) AS suffix FROM b, unnest(range(1, size + 1)) u(i))",
+        "pv AS (SELECT *, lag(suffix) OVER (ORDER BY row) AS prev, lag(doc) OVER (ORDER BY row) AS prev_doc FROM sa)",
+        "lc AS (SELECT row, doc, prev_doc, coalesce(len(list_filter(range(1, least(length(suffix), length(prev)) // 2 + 1), lambda i: left(suffix, 2 * i) = left(prev, 2 * i))), 0) AS lcp FROM pv)",
+        "st AS (SELECT *, row // 1000 AS stretch FROM lc), cuts AS (SELECT stretch, arg_min(row, (lcp, row)) AS cut FROM st GROUP BY stretch)",
+        "pl AS (SELECT st.*, CASE WHEN row >= cut THEN stretch + 1 ELSE stretch END AS block FROM st JOIN cuts USING (stretch)), fi AS (SELECT block, min(row) AS first FROM pl GROUP BY block)",
+        "inn AS (SELECT pl.*, CASE WHEN row > first THEN lcp END AS inside FROM pl JOIN fi USING (block)), low AS (SELECT block, coalesce(min(inside), 0) AS low FROM inn GROUP BY block)",
+        "sz AS (SELECT doc, size * (size + 1) / 2 AS sa FROM b), bc AS (SELECT block, low, doc, count(*) AS c FROM inn JOIN low USING (block) WHERE low >= 60 GROUP BY ALL)",
+        "w AS (SELECT x.doc AS doc_a, y.doc AS doc_b, x.low * (x.c * nb.sa + y.c * na.sa) AS w FROM bc x JOIN bc y ON x.block = y.block AND x.doc < y.doc JOIN sz na ON na.doc = x.doc JOIN sz nb ON nb.doc = y.doc "
+        "UNION ALL SELECT least(inn.doc, prev_doc), greatest(inn.doc, prev_doc), lcp * (na.sa + nb.sa) FROM inn JOIN low USING (block) JOIN sz na ON na.doc = inn.doc JOIN sz nb ON nb.doc = prev_doc WHERE inside IS NOT NULL AND inn.doc <> prev_doc AND lcp > low AND lcp >= 60)",
+        "sc AS (SELECT doc_a, doc_b, sqrt(sum(w) / (2 * any_value(na.sa) * any_value(nb.sa))) AS score FROM w JOIN sz na ON na.doc = doc_a JOIN sz nb ON nb.doc = doc_b GROUP BY doc_a, doc_b)",
+        "alike AS MATERIALIZED (SELECT doc_a AS doc, doc_b AS other, score FROM sc UNION ALL SELECT doc_b, doc_a, score FROM sc)",
+        "gone0 AS (SELECT 0::BIGINT AS doc, 0 AS step, 0.0::DOUBLE AS score, 0::BIGINT AS other WHERE false)",
+    ]
+    for k in range(1, tries):
+        parts += [
+            f"l{k} AS MATERIALIZED (SELECT doc, size FROM b WHERE doc NOT IN (SELECT doc FROM gone{k - 1}))",
+            f"u{k} AS (SELECT s FROM p JOIN l{k} USING (doc) GROUP BY s HAVING count(DISTINCT doc) = 1), m{k} AS MATERIALIZED (SELECT doc, off, min(length) AS length FROM p JOIN l{k} USING (doc) JOIN u{k} USING (s) GROUP BY doc, off)",
+            f"n{k} AS MATERIALIZED (SELECT l.doc, count(x.off) AS n FROM l{k} l LEFT JOIN (SELECT m.doc, m.off FROM m{k} m LEFT JOIN m{k} z ON z.doc = m.doc AND z.off = m.off + 1 WHERE coalesce(z.length, 1000000) >= m.length) x ON x.doc = l.doc GROUP BY l.doc)",
+            f"best{k} AS (SELECT a.doc, max(a.score) AS score, arg_min(a.other, (-a.score, a.other)) AS other FROM alike a JOIN n{k} x ON x.doc = a.doc AND x.n < {least} JOIN n{k} y ON y.doc = a.other AND y.n >= {least} WHERE a.score > 0 GROUP BY a.doc)",
+            f"half{k} AS MATERIALIZED (SELECT * FROM best{k} QUALIFY row_number() OVER (ORDER BY score DESC, doc DESC) <= greatest(1, (SELECT count(*) FROM n{k} WHERE n < {least}) // 2))",
+            f"gone{k} AS MATERIALIZED (SELECT * FROM gone{k - 1} UNION ALL SELECT doc, {k}, score, other FROM half{k} UNION ALL "
+            f"SELECT doc, {k}, NULL, NULL FROM (SELECT doc FROM n{k} WHERE EXISTS (SELECT 1 FROM n{k} WHERE n < {least}) AND NOT EXISTS (SELECT 1 FROM half{k}) ORDER BY n, doc LIMIT 1) x)",
+        ]
+    return f"WITH {', '.join(parts)} SELECT doc, step, round(score, 6) AS score, other FROM gone{tries - 1}"
+
+
+@_query(_near_copies_sql(60))
 def m4_near_copies(spark, d):
-    return mining.drop_near_copies(_items(spark, d), least=60)
+    return mining.drop_near_copies(_items(spark, d), least=60).withColumn("score", F.round("score", 6))
 
 
 @_query(f"WITH {_UNIQUE} SELECT DISTINCT doc, k AS off, substr(t, CAST(2 * k + 1 AS INT), 24) AS kmer FROM mu JOIN b USING (doc), unnest(range(off + length - 12, off + 1)) x(k) WHERE length <= 12 AND k >= 0 AND k + 12 <= size AND NOT regexp_matches(substr(t, CAST(2 * k + 1 AS INT), 24), '^(..)*3E')")
