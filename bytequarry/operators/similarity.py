@@ -30,11 +30,11 @@ def _grams(corpus: DataFrame, n: int, name: str) -> DataFrame:
     return corpus.filter(F.length("content") >= n).select("doc", "content").mapInArrow(run, f"{name} long, {name}_off long, gram long")
 
 
-def shared_sequences(inputs: DataFrame, corpus: DataFrame, least: int = 8, without: DataFrame | None = None) -> DataFrame:
+def shared_sequences(inputs: DataFrame, corpus: DataFrame, least: int = 8, without: DataFrame | None = None, redundant: bool = False) -> DataFrame:
     """q, doc, q_off, doc_off, length: the longest byte strings of ``least`` bytes or more that an input shares with a document.
 
     Matches on one diagonal that overlap or touch are one; a match whose place in the input lies inside another's with the same
-    document is left out, as is one that holds nothing but grams which occur in ``without``.
+    document is left out unless ``redundant`` ones are wanted, as is one that holds nothing but grams which occur in ``without``.
     """
     q = _grams(inputs, least, "q")
     if without is not None:
@@ -45,6 +45,8 @@ def shared_sequences(inputs: DataFrame, corpus: DataFrame, least: int = 8, witho
     w = Window.partitionBy("q", "doc", "diagonal").orderBy("q_off")
     island = met.withColumn("first", (F.coalesce(F.col("q_off") - F.lag("q_off").over(w), F.lit(2)) > 1).cast("int")).withColumn("run", F.sum("first").over(w))
     runs = island.groupBy("q", "doc", "diagonal", "run").agg(F.min("q_off").alias("q_off"), F.min("doc_off").alias("doc_off"), (F.max("q_off") - F.min("q_off") + least).alias("length"))
+    if redundant:
+        return runs.select("q", "doc", F.col("q_off").cast("long").alias("q_off"), F.col("doc_off").cast("long").alias("doc_off"), F.col("length").cast("long").alias("length"))
     ends = Window.partitionBy("q", "doc").orderBy("q_off", F.desc("length")).rowsBetween(Window.unboundedPreceding, -1)
     inner = runs.withColumn("end", F.col("q_off") + F.col("length")).withColumn("reach", F.max("end").over(ends))
     same = Window.partitionBy("q", "doc", "q_off", "length")
@@ -53,16 +55,35 @@ def shared_sequences(inputs: DataFrame, corpus: DataFrame, least: int = 8, witho
     return wide.filter("hidden = 0").select("q", "doc", F.col("q_off").cast("long").alias("q_off"), F.col("doc_off").cast("long").alias("doc_off"), F.col("length").cast("long").alias("length"))
 
 
-def shared_score(inputs: DataFrame, corpus: DataFrame, least: int = 8, without: DataFrame | None = None) -> DataFrame:
-    """q, doc, score: the lengths of the shared strings, each as often as both hold it, over the shorter one's length."""
-    shared = shared_sequences(inputs, corpus, least, without)
+def _bytes_in_common(shared: DataFrame, inputs: DataFrame, keys: list[str], places: list[str]) -> DataFrame:
+    """q, keys, n_bytes, sequences, shortest, longest: the distinct shared strings, each with its bytes as often as both sides hold it."""
     text = inputs.select(F.col("doc").alias("q"), F.col("content").alias("t"))
     named = shared.join(text, "q").withColumn("s", F.expr("substring(t, int(q_off) + 1, int(length))"))
-    times = named.groupBy("q", "doc", "s").agg(F.countDistinct("q_off").alias("here"), F.countDistinct("doc_off").alias("there"))
-    total = times.groupBy("q", "doc").agg(F.sum(F.length("s") * F.least("here", "there")).alias("common"))
+    times = named.groupBy("q", *keys, "s").agg(F.countDistinct("q_off").alias("here"), F.countDistinct(*places).alias("there"))
+    size = F.length("s")
+    return times.groupBy("q", *keys).agg(F.sum(size * F.least("here", "there")).alias("n_bytes"), F.count(F.lit(1)).alias("sequences"), F.min(size).alias("shortest"), F.max(size).alias("longest"))
+
+
+def shared_score(inputs: DataFrame, corpus: DataFrame, least: int = 8, without: DataFrame | None = None, redundant: bool = False) -> DataFrame:
+    """q, doc, score, n_bytes, sequences, shortest, longest: the bytes in common with each document, over the shorter one's length."""
+    found = _bytes_in_common(shared_sequences(inputs, corpus, least, without, redundant), inputs, ["doc"], ["doc_off"])
     a = inputs.select(F.col("doc").alias("q"), F.length("content").alias("q_size"))
     b = corpus.select("doc", F.length("content").alias("doc_size"))
-    return total.join(a, "q").join(b, "doc").select("q", "doc", (F.col("common") / F.least("q_size", "doc_size")).alias("score"))
+    score = (F.col("n_bytes") / F.least("q_size", "doc_size")).alias("score")
+    return found.join(a, "q").join(b, "doc").select("q", "doc", score, "n_bytes", "sequences", "shortest", "longest")
+
+
+def index_score(inputs: DataFrame, corpora: dict[str, DataFrame], least: int = 8, without: DataFrame | None = None, redundant: bool = False, total: bool = False) -> DataFrame:
+    """q, index_id, score, n_bytes, sequences, shortest, longest: the bytes in common with all documents of a corpus, over the input's length;
+    with ``total`` those in common with all corpora together, without index_id."""
+    shared = None
+    for name, corpus in corpora.items():
+        one = shared_sequences(inputs, corpus, least, without, redundant).withColumn("index_id", F.lit(name))
+        shared = one if shared is None else shared.unionByName(one)
+    keys = [] if total else ["index_id"]
+    found = _bytes_in_common(shared, inputs, keys, ["index_id", "doc", "doc_off"])
+    a = inputs.select(F.col("doc").alias("q"), F.length("content").alias("q_size"))
+    return found.join(a, "q").select("q", *keys, (F.col("n_bytes") / F.col("q_size")).alias("score"), "n_bytes", "sequences", "shortest", "longest")
 
 
 def adjacent(array: DataFrame) -> DataFrame:
@@ -104,17 +125,3 @@ def blocked(array: DataFrame, corpus: DataFrame, size: int = 1000, least: int =
 def top(pairs: DataFrame, n: int = 200, least: float = 0.0) -> DataFrame:
     """The ``n`` most similar pairs, ties by number."""
     return pairs.filter(F.col("score") >= least).orderBy(F.desc("score"), "doc_a", "doc_b").limit(n)
-
-
-def by_index(inputs: DataFrame, corpora: dict[str, DataFrame], least: int = 8, without: DataFrame | None = None) -> DataFrame:
-    """q, index_id, score, docs: for each input and corpus, the sum of its documents' scores and how many there are."""
-    out = None
-    for name, corpus in corpora.items():
-        one = shared_score(inputs, corpus, least, without).groupBy("q").agg(F.sum("score").alias("score"), F.count(F.lit(1)).alias("docs")).select("q", F.lit(name).alias("index_id"), "score", "docs")
-        out = one if out is None else out.unionByName(one)
-    return out
-
-
-def total(by: DataFrame) -> DataFrame:
-    """q, score, docs of :func:`by_index` over all corpora."""
-    return by.groupBy("q").agg(F.sum("score").alias("score"), F.sum("docs").alias("docs"))

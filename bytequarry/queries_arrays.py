@@ -261,6 +261,20 @@ def e1_shared_sequences(spark, d):
     return similarity.shared_score(_items(spark, d), C.documents(spark, d), least=32).select("q", "doc", F.round("score", 6).alias("score"))
 
 
+@_query("""WITH b AS (SELECT item_id AS q, hex(encode(text)) AS t, octet_length(encode(text)) AS size FROM benchmark WHERE item_id % 10 = 0), d AS (SELECT item_id AS doc, hex(encode(text)) AS t, octet_length(encode(text)) AS size FROM benchmark WHERE item_id % 10 <> 0),
+    bg AS (SELECT q, i, substr(t, 2 * i - 1, 16) AS g FROM b, unnest(range(1, size - 6)) u(i)), dg AS (SELECT doc, j, substr(t, 2 * j - 1, 16) AS g FROM d, unnest(range(1, size - 6)) u(j)),
+    met AS (SELECT q, doc, i, j, j - i AS diagonal FROM bg JOIN dg USING (g)), isl AS (SELECT *, i - row_number() OVER (PARTITION BY q, doc, diagonal ORDER BY i) AS island FROM met),
+    runs AS (SELECT q, doc, min(i) AS i, min(j) AS j, max(i) - min(i) + 8 AS n FROM isl GROUP BY q, doc, diagonal, island),
+    kept AS (SELECT * FROM runs r WHERE NOT EXISTS (SELECT 1 FROM runs w WHERE w.q = r.q AND w.doc = r.doc AND w.i <= r.i AND w.i + w.n >= r.i + r.n AND w.n > r.n)),
+    times AS (SELECT q, n, substr(t, 2 * i - 1, 2 * n) AS s, count(DISTINCT i) AS here, count(DISTINCT (doc, j)) AS there FROM kept JOIN b USING (q) GROUP BY q, n, s)
+    SELECT q, 'items' AS index_id, CAST(sum(n * least(here, there)) AS BIGINT) AS n_bytes, count(*) AS sequences, min(n) AS shortest, max(n) AS longest FROM times GROUP BY q""")
+def e1_index_score(spark, d):
+    """A tenth of the items against all the others together."""
+    items = _items(spark, d)
+    got = similarity.index_score(items.filter("doc % 10 = 0"), {"items": items.filter("doc % 10 <> 0")})
+    return got.select("q", "index_id", "n_bytes", "sequences", F.col("shortest").cast("long").alias("shortest"), F.col("longest").cast("long").alias("longest"))
+
+
 _BLOCKED = f"""WITH {_LCP}, st AS (SELECT *, row // 1000 AS stretch FROM l), cuts AS (SELECT stretch, arg_min(row, (lcp, row)) AS cut FROM st GROUP BY stretch),
     pl AS (SELECT st.*, CASE WHEN row >= cut THEN stretch + 1 ELSE stretch END AS block FROM st JOIN cuts USING (stretch)), f AS (SELECT block, min(row) AS first FROM pl GROUP BY block),
     inn AS (SELECT pl.*, CASE WHEN row > first THEN lcp END AS inside FROM pl JOIN f USING (block)), low AS (SELECT block, coalesce(min(inside), 0) AS low FROM inn GROUP BY block),

@@ -363,6 +363,11 @@ def test_chains_against_a_plain_statement(spark):
 
 def test_similarity_by_index(spark):
     a = corpus(spark, ["xxxxHELLO WORLDyyyyGOODBYE NOW"])
-    by = similarity.by_index(a, {"x": corpus(spark, ["...HELLO WORLD...GOODBYE NOW", "nothing"]), "y": corpus(spark, ["HELLO WORLD HELLO WORLD"])})
-    assert {(r.index_id, round(r.score, 6), r.docs) for r in by.collect()} == {("x", round(22 / 28, 6), 1), ("y", round(11 / 23, 6), 1)}
-    assert round(similarity.total(by).first().score, 6) == round(22 / 28 + 11 / 23, 6)
+    both = {"x": corpus(spark, ["...HELLO WORLD...GOODBYE NOW", "nothing"]), "y": corpus(spark, ["HELLO WORLD HELLO WORLD"])}
+    got = {(r.index_id, round(r.score, 6), r.n_bytes, r.sequences, r.shortest, r.longest) for r in similarity.index_score(a, both).collect()}
+    assert got == {("x", round(22 / 30, 6), 22, 2, 11, 11), ("y", round(11 / 30, 6), 11, 1, 11, 11)}
+    whole = similarity.index_score(a, both, total=True).first()
+    assert (whole.n_bytes, whole.sequences, round(whole.score, 6)) == (22, 2, round(22 / 30, 6))
+    inner = corpus(spark, ["HELLO WORLD and HELLO WORLDy"])
+    sizes = lambda **kw: sorted(r.length for r in similarity.shared_sequences(a, inner, **kw).collect())
+    assert sizes() == [12] and sizes(redundant=True) == [11, 12]
