@@ -216,8 +216,9 @@ def _tour(pivots: np.ndarray) -> np.ndarray:
     return pivots[out]
 
 
-def _blocks(df: DataFrame, pivots: np.ndarray, size: int) -> DataFrame:
-    """Rows (vec_id, row, v) sorted by nearest pivot and distance, and packed with a cover tree for each block."""
+def _blocks(df: DataFrame, pivots: np.ndarray, size: int, n_rows: int) -> DataFrame:
+    """Rows (vec_id, row, v) sorted by nearest pivot and distance, and packed with a cover tree for each block. The sort has so few partitions
+    that each holds about two blocks, whatever the session's setting: many small blocks would each be searched for k rows."""
 
     def assign(batches):
         for batch in batches:
@@ -255,7 +256,8 @@ def _blocks(df: DataFrame, pivots: np.ndarray, size: int) -> DataFrame:
             yield block(pa.Table.from_batches(parts))
 
     placed = df.select("vec_id", "row", "v").mapInArrow(assign, "vec_id long, row long, v array<double>, pivot int, gap double")
-    return placed.orderBy("pivot", "gap", "row").select("vec_id", "row", "v").mapInArrow(lambda batches: tidy(cut(batches)), _BLOCK)
+    ranged = placed.repartitionByRange(max(1, n_rows // (2 * size)), "pivot", "gap", "row").sortWithinPartitions("pivot", "gap", "row")
+    return ranged.select("vec_id", "row", "v").mapInArrow(lambda batches: tidy(cut(batches)), _BLOCK)
 
 
 def _opened(ids: bytes, rows: bytes, data: bytes, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -311,8 +313,8 @@ def search(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding",
     if n < 2 or not n_asked:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     pivots = _tour(_matrix([r.v for r in sample]))
-    cand = materialise(_blocks(rows, pivots, max(ROWS, -(-n // MAX_BLOCKS))), "candidate-blocks")
-    query = materialise(_blocks(asked, pivots, max(QUERIES, -(-n_asked // MAX_BLOCKS))), "query-blocks")
+    cand = materialise(_blocks(rows, pivots, max(ROWS, -(-n // MAX_BLOCKS)), n), "candidate-blocks")
+    query = materialise(_blocks(asked, pivots, max(QUERIES, -(-n_asked // MAX_BLOCKS)), n_asked), "query-blocks")
     # the number of blocks is bounded by MAX_BLOCKS and one more for each task
     roots = cand.select("block", "center", "radius").orderBy("block").collect()
     known = spark.sparkContext.broadcast((np.array([r.block for r in roots]), _matrix([np.frombuffer(r.center).tolist() for r in roots]), np.array([r.radius for r in roots])))
