@@ -3,7 +3,7 @@
 Vectors are sorted by the nearest of a few pivots and cut into blocks of neighbours, queries and candidates alike. Every block
 gets a cover tree once, and is known to the others by its tree's root: a centre and a covering radius.
 
-1. Every query block is searched in its most promising candidate block, which gives each query a first kth score.
+1. Every query block is searched in its most promising candidate blocks, ``ROWS`` rows of them, which gives each query a first kth score.
 2. A pair of blocks goes on only if for some query ``q.c + |q| r``, the most that the candidate root's radius allows, reaches that score.
    All other pairs end here, before any vector is shuffled.
 3. Query tree and candidate trees of the pairs that are left are descended together. A pair of nodes is pruned where even
@@ -196,7 +196,7 @@ class Search:
         return [self.rows[who], self.ids[who], self.found[ok], self.found_row[ok], self.score[ok]]
 
 
-_BLOCK = "block long, ids binary, rows binary, data binary, width long, tree binary, center binary, radius double"
+_BLOCK = "block long, ids binary, rows binary, data binary, width long, tree binary, center binary, radius double, n long"
 
 
 def _matrix(vectors: list[list[float]]) -> np.ndarray:
@@ -240,8 +240,8 @@ def _blocks(df: DataFrame, pivots: np.ndarray, size: int, n_rows: int) -> DataFr
             ids, own, x = rows["vec_id"].to_numpy(), rows["row"].to_numpy(), _matrix(rows["v"].to_pylist())
             with np.errstate(all="ignore"):
                 tree = cover_tree(x)
-            cells = [number, ids.tobytes(), own.tobytes(), x.tobytes(), x.shape[1], pickle.dumps(tree), x[tree.center].tobytes(), tree.radius]
-            return pa.RecordBatch.from_arrays([pa.array([c]) for c in cells], names=["block", "ids", "rows", "data", "width", "tree", "center", "radius"])
+            cells = [number, ids.tobytes(), own.tobytes(), x.tobytes(), x.shape[1], pickle.dumps(tree), x[tree.center].tobytes(), tree.radius, len(x)]
+            return pa.RecordBatch.from_arrays([pa.array([c]) for c in cells], names=["block", "ids", "rows", "data", "width", "tree", "center", "radius", "n"])
 
         for batch in batches:
             at = 0
@@ -316,12 +316,13 @@ def search(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding",
     cand = materialise(_blocks(rows, pivots, max(ROWS, -(-n // MAX_BLOCKS)), n), "candidate-blocks")
     query = materialise(_blocks(asked, pivots, max(QUERIES, -(-n_asked // MAX_BLOCKS)), n_asked), "query-blocks")
     # the number of blocks is bounded by MAX_BLOCKS and one more for each task
-    roots = cand.select("block", "center", "radius").orderBy("block").collect()
-    known = spark.sparkContext.broadcast((np.array([r.block for r in roots]), _matrix([np.frombuffer(r.center).tolist() for r in roots]), np.array([r.radius for r in roots])))
+    roots = cand.select("block", "center", "radius", "n").orderBy("block").collect()
+    known = spark.sparkContext.broadcast((np.array([r.block for r in roots]), _matrix([np.frombuffer(r.center).tolist() for r in roots]), np.array([r.radius for r in roots]), np.array([r.n for r in roots])))
+    enough = ROWS
 
     def limits(x: np.ndarray) -> np.ndarray:
         """The most that each row can score in each candidate block."""
-        _, centers, radii = known.value
+        _, centers, radii, _ = known.value
         width = max(x.shape[1], centers.shape[1])
         x, centers = _wide(x, width), _wide(centers, width)
         size, far = np.sqrt((x**2).sum(1))[:, None], np.sqrt((centers**2).sum(1))
@@ -332,14 +333,16 @@ def search(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding",
             for i in range(batch.num_rows):
                 x = _opened(*(batch.column(c)[i].as_py() for c in ("ids", "rows", "data", "width")))[2]
                 with np.errstate(all="ignore"):
-                    best = int(limits(x).sum(0).argmax())
-                yield pa.RecordBatch.from_arrays([batch.column("block").slice(i, 1), pa.array([known.value[0][best]])], names=["q", "c"])
+                    order = np.argsort(-limits(x).sum(0), kind="stable")
+                blocks, n = known.value[0], known.value[3]
+                best = order[: int(np.searchsorted(np.cumsum(n[order]), enough)) + 1]  # blocks may be small, so several count as one
+                yield pa.RecordBatch.from_arrays([batch.column("block").slice(i, 1), pa.array([blocks[best].tolist()], pa.list_(pa.int64()))], names=["q", "homes"])
 
     plain = [F.col(c) for c in ("ids", "rows", "data", "width", "tree")]
-    first = materialise(query.select("block", "ids", "rows", "data", "width").mapInArrow(home, "q long, c long"), "homes")
+    first = materialise(query.select("block", "ids", "rows", "data", "width").mapInArrow(home, "q long, homes array<long>"), "homes")
     no_floor = F.lit(None).cast("binary").alias("floor")
     left = query.select(F.col("block").alias("q"), F.lit(0).alias("g"), F.lit(0).alias("side"), "block", *plain, no_floor)
-    right = cand.join(first, F.col("block") == F.col("c")).select("q", F.lit(0).alias("g"), F.lit(1).alias("side"), "block", *plain, no_floor)
+    right = cand.join(first.select("q", F.explode("homes").alias("c")), F.col("block") == F.col("c")).select("q", F.lit(0).alias("g"), F.lit(1).alias("side"), "block", *plain, no_floor)
     near = materialise(_searched(left.unionByName(right), k, False), "first-scores")
     # the kth of each query that has k of them
     kth = near.groupBy("query_row").agg(F.max(F.struct(F.bitwise_not("score").alias("low"), "vec_id")).alias("kth"), F.count(F.lit(1)).alias("n")).filter(F.col("n") == k)
@@ -365,11 +368,11 @@ def search(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding",
                 floor = np.where(kth_id < _HIGH, kth.astype(float), -np.inf)
                 with np.errstate(all="ignore"):
                     open_ = (limits(x) >= floor[:, None]).any(0)
-                open_ &= known.value[0] != batch.column("c")[i].as_py()
+                open_ &= ~np.isin(known.value[0], batch.column("homes")[i].as_py())
                 at = np.flatnonzero(open_)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), batch.column("block")[i].as_py())), pa.array(known.value[0][at]), pa.array((np.arange(len(at)) // GROUP).astype(np.int32))], names=["q", "c", "g"])
 
-    met = materialise(known_q.select("block", "ids", "rows", "data", "width", "floors", "c").mapInArrow(pairs, "q long, c long, g int"), "open-pairs")
+    met = materialise(known_q.select("block", "ids", "rows", "data", "width", "floors", "homes").mapInArrow(pairs, "q long, c long, g int"), "open-pairs")
     as_bytes = lambda batches: (
         pa.RecordBatch.from_arrays([b.column(0), pa.array([np.array(v, np.int64).tobytes() for v in b.column(1).to_pylist()], pa.binary())], names=["q", "floor"]) for b in batches
     )
