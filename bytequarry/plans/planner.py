@@ -23,8 +23,8 @@ class Engine:
     def __init__(self, corpus: DataFrame):
         self.corpus = corpus.select("doc", "info", "content")
 
-    def _query(self, q: str | bytes | Query, icase: bool = False, scan: bool = False) -> Query:
-        return R.prepare(q if isinstance(q, (Leaf, Bool)) else parse(q), icase, trim=not scan)
+    def _query(self, q: str | bytes | Query, icase: bool = False, scan: bool = False, chars: bool = False) -> Query:
+        return R.prepare(q if isinstance(q, (Leaf, Bool)) else parse(q), icase, trim=not scan, chars=chars)
 
     def _within(self, only: str | None) -> DataFrame:
         return self.corpus.filter(F.regexp_like("info", F.lit(only))) if only else self.corpus
@@ -62,9 +62,9 @@ class Engine:
             corpus = corpus.filter(F.col("content").isNotNull() & test)  # a document without either has no pair
         return f(self._places(q.left, corpus, scan), self._places(q.right, corpus, scan), q.distance)
 
-    def find_docs(self, q, icase: bool = False, only: str | None = None, scan: bool = False, limit: int | None = None) -> DataFrame:
-        """doc of the documents that a query gives."""
-        q = self._query(q, icase, scan)
+    def find_docs(self, q, icase: bool = False, only: str | None = None, scan: bool = False, limit: int | None = None, chars: bool = False) -> DataFrame:
+        """doc of the documents that a query gives. With ``chars``, ``.`` stands for a character of UTF-8 rather than a byte."""
+        q = self._query(q, icase, scan, chars)
         R.result_type(q)
         out = self._docs(q, self._within(only), scan)
         return out if limit is None else out.orderBy("doc").limit(limit)

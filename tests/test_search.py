@@ -262,3 +262,13 @@ def test_requests(spark, tmp_path):
     never = Request(e.find_docs("a"))
     never.cancel()
     assert never.state == "cancelled"
+
+
+def test_characters_of_several_bytes(spark):
+    """SQL's dot is a character; documents with queñes were lost, as their dot took a byte."""
+    texts = ["queñes", "qñes", "qabcdes", "qñéües", "qñéüxes", "q\U0001f600\U0001f600et", "ques zz", "q\nes", "qes", "", "äöü", "qe"]
+    e = Engine(spark.createDataFrame([(k, str(k), bytearray(t.encode())) for k, t in enumerate(texts)], "doc long, info string, content binary"))
+    for q, python in (("q.{1,3}e[st]", "q.{1,3}e[st]"), ("q[^b]{2,3}e[st]", "q[^b]{2,3}e[st]"), ("q.{2,}e", "q.{2,}e"), ("q.*t", "q.*t"), ("q.+es", "q.+es"), ("q(.e|..e)", "q(.e|..e)")):
+        want = {k for k, t in enumerate(texts) if re.search(python, t, re.S)}
+        assert {r.doc for r in e.find_docs(q, chars=True).collect()} == want, q
+    assert {r.doc for r in e.find_docs("q.{1,3}e[st] NOT zz", chars=True).collect()} == {0, 1, 3, 5, 7}
