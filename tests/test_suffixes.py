@@ -371,3 +371,36 @@ def test_similarity_by_index(spark):
     inner = corpus(spark, ["HELLO WORLD and HELLO WORLDy"])
     sizes = lambda **kw: sorted(r.length for r in similarity.shared_sequences(a, inner, **kw).collect())
     assert sizes() == [12] and sizes(redundant=True) == [11, 12]
+
+
+def test_copies_of_few_texts_take_no_rounds(spark, monkeypatch):
+    """Only different texts are ranked: before, 40 copies were 40 times the places of every round."""
+    monkeypatch.setattr(suffixes, "_large_classes", lambda texts: 1 / 0)
+    check_array(spark, ["banana", "", "an", "bandana", "xan"] * 40, small=40)
+
+
+def test_texts_longer_than_a_sheet(spark, monkeypatch):
+    """Ranks are looked up in other sheets of the text; texts repeat over several of them."""
+    for name, n in (("SHEET", 16), ("HEAD", 8), ("TIMES", 3)):
+        monkeypatch.setattr(suffixes, name, n)
+    check_array(spark, ["abcdefghi" * 12, "x" + "abcdefghi" * 12, "abcdefghi" * 3 + "\0", "a" * 40, "a" * 16, "a" * 17, "b"] * 2, small=0)
+
+
+def test_runs_over_partitions(spark, monkeypatch):
+    """Numbers, runs, lonely rows and the rows before, over more sorted partitions than there are keys."""
+    rng = random.Random(9)
+    keys = [(rng.randrange(6), rng.randrange(5)) for _ in range(300)] + [(7, 7)]
+    df = spark.createDataFrame([(a, b, k) for k, (a, b) in enumerate(keys)], "a long, b long, c long")
+    want = sorted((a, b, k) for k, (a, b) in enumerate(keys))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    try:
+        got = sorted(suffixes.positions(df, ["a", "b"], ["c"], "test", before=("c",)).collect(), key=lambda r: r["at"])
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert [(r.a, r.b, r.c) for r in got] == want and [r["at"] for r in got] == list(range(301))
+    assert [r.run0 for r in got] == [next(k for k, x in enumerate(want) if x[0] == r.a) for r in got]
+    assert [r.run1 for r in got] == [next(k for k, x in enumerate(want) if x[:2] == (r.a, r.b)) for r in got]
+    assert [r.alone for r in got] == [keys.count((r.a, r.b)) == 1 for r in got]
+    assert [r.prev_c for r in got] == [None] + [x[2] for x in want[:-1]]
