@@ -361,6 +361,37 @@ def test_chains_against_a_plain_statement(spark):
     assert lines[0].value == "1:2 00000000000000FF"
 
 
+def test_chains_over_several_sheets(spark, monkeypatch):
+    """Documents in many sheets, some longer than one, against the plain statement; no pass writes fingerprints row by row."""
+    rng = random.Random(31)
+    line = [500 + k for k in range(9)]
+    rows = [(d, 10 * i, h) for d in range(25) for i, h in enumerate([rng.randrange(60) for _ in range(rng.randint(0, 40))] + line[: rng.randint(0, 9)] * rng.randint(0, 3))]
+    prints = spark.createDataFrame(rows, "doc long, offset long, hash long")
+    written, put = [], suffixes.saved
+
+    def saved(df, name, **options):
+        written.append(put(df, name, **options))
+        return written[-1]
+
+    monkeypatch.setattr(winnow, "saved", saved)
+    monkeypatch.setattr(winnow, "SHEET", 16)
+    got = winnow.cluster(prints, k=8, passes=5).collect()
+    want = _cluster(rows, 8, passes=5)
+    assert sorted((r.doc, r.offset, r.stop, r.errors, r.score) for r in got) == sorted((*r[:3], *r[4:]) for r in want)
+    assert 3 < max(df.count() for df in written) <= 25
+
+
+def test_a_resting_row_is_waked_by_a_chain_with_its_hash(spark):
+    """A hash that occurs once can't be joined, until chains get that hash: then it is, as where no row rests (``group`` 0)."""
+    turned = lambda a, b: ((a << 1) | (a >> 63)) & ((1 << 64) - 1) ^ b
+    a, b, c, e = 1001, 2002, 3003, 4004
+    rows = [(d, 10 * i, h) for d in range(4) for i, h in enumerate((70 + d, a, b, c, e, 80 + d))] + [(9, 0, 5), (9, 10, turned(a, b)), (9, 20, turned(b, c)), (9, 30, 6)]
+    prints = spark.createDataFrame(rows, "doc long, offset long, hash long")
+    told = lambda **kw: sorted((r.doc, r.offset, r.stop, r.hash, r.errors, r.n) for r in winnow.cluster(prints, k=8, passes=3, **kw).collect())
+    got = told()
+    assert got == told(group=0) and next(r[5] for r in got if r[:2] == (9, 10)) > 1
+
+
 def test_similarity_by_index(spark):
     a = corpus(spark, ["xxxxHELLO WORLDyyyyGOODBYE NOW"])
     both = {"x": corpus(spark, ["...HELLO WORLD...GOODBYE NOW", "nothing"]), "y": corpus(spark, ["HELLO WORLD HELLO WORLD"])}
