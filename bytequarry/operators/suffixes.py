@@ -61,6 +61,48 @@ def saved(df: DataFrame, name: str, **options: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def write_files(df: DataFrame, path: str, files_n: int | None = None) -> None:
+    """``df`` as Parquet under a path, in ``files_n`` files if given and if there are as many rows.
+
+    So few files as not to keep all cores busy are joined from parts, which as many tasks write as the rows have: the driver copies the parts' row groups,
+    encoded and compressed as they are, one behind the other, so no task sees all rows. The parts lie beside the path until then.
+    """
+    sc = df.sparkSession.sparkContext
+    if not files_n or files_n >= sc.defaultParallelism:
+        (df.repartition(files_n) if files_n else df).write.mode("overwrite").parquet(path)
+        return
+    jvm, conf = sc._jvm, sc._jsc.hadoopConfiguration()
+    hdfs, hadoop = jvm.org.apache.hadoop.fs, jvm.org.apache.parquet.hadoop
+    fs, key = hdfs.Path(path).getFileSystem(conf), uuid.uuid4().hex
+    top = fs.makeQualified(hdfs.Path(path))
+    beside = hdfs.Path(top.getParent(), f"_{top.getName()}-{key}")
+    try:
+        df.write.parquet(beside.toString())
+        parts = sorted((x for x in fs.listStatus(beside) if x.getPath().getName().startswith("part-")), key=lambda x: x.getPath().getName())
+        if len(parts) < files_n:
+            df.sparkSession.read.parquet(beside.toString()).repartition(files_n).write.mode("overwrite").parquet(path)
+            return
+        fs.delete(top, True)
+        fs.mkdirs(top)
+        for k in range(files_n):
+            own = [hadoop.util.HadoopInputFile.fromStatus(x, conf) for x in parts[k * len(parts) // files_n : (k + 1) * len(parts) // files_n]]
+            first = hadoop.ParquetFileReader.open(own[0])
+            meta = first.getFileMetaData()
+            first.close()
+            name = hdfs.Path(top, f"part-{k:05d}-{key}" + parts[0].getPath().getName().partition("-c000")[2])
+            out = hadoop.ParquetFileWriter(hadoop.util.HadoopOutputFile.fromPath(name, conf), meta.getSchema(), getattr(hadoop, "ParquetFileWriter$Mode").CREATE, 128 << 20, 8 << 20)
+            try:
+                out.start()
+                for part in own:
+                    out.appendFile(part)
+                out.end(meta.getKeyValueMetaData())
+            finally:
+                out.close()
+        fs.create(hdfs.Path(top, "_SUCCESS")).close()
+    finally:
+        fs.delete(beside, True)
+
+
 # ------------------------------------------------------------------ positions in a global order
 
 
@@ -486,13 +528,11 @@ class Index:
 
 def write_index(corpus: DataFrame, path: str, chunk: int = CHUNK, files_n: int | None = None) -> None:
     """Build and store an index: ``corpus``, ``array``, ``chunks`` and ``bwt`` as Parquet under a path, in ``files_n`` files each if given."""
-    # a shuffle, so that only the writing has so few tasks
-    put = (lambda df: df.repartition(files_n)) if files_n else (lambda df: df)
-    put(corpus.select("doc", "info", "content")).write.mode("overwrite").parquet(f"{path}/corpus")
+    write_files(corpus.select("doc", "info", "content"), f"{path}/corpus", files_n)
     array = build(corpus)
-    put(array.withColumn("chunk", F.floor(F.col("row") / chunk))).write.mode("overwrite").parquet(f"{path}/array")
-    put(chunk_map(array, chunk)).write.mode("overwrite").parquet(f"{path}/chunks")
-    put(bwt_chunks(array, chunk)).write.mode("overwrite").parquet(f"{path}/bwt")
+    write_files(array.withColumn("chunk", F.floor(F.col("row") / chunk)), f"{path}/array", files_n)
+    write_files(chunk_map(array, chunk), f"{path}/chunks", files_n)
+    write_files(bwt_chunks(array, chunk), f"{path}/bwt", files_n)
     corpus.sparkSession.createDataFrame([(chunk,)], "chunk int").coalesce(1).write.mode("overwrite").parquet(f"{path}/parameters")
 
 

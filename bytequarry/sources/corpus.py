@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from bytequarry.functions.octets import octets, reverse_complement
-from bytequarry.operators.suffixes import saved
+from bytequarry.operators.suffixes import saved, write_files
 
 #: File extensions of sequence files.
 FASTA = (".fasta", ".fas", ".fa", ".fna", ".ffn", ".faa", ".mpfa", ".frn")
@@ -153,8 +153,7 @@ def _part(part: int, at: int, infos: list, contents: list) -> pa.RecordBatch:
 
 def write_index(corpus: DataFrame, path: str, files_n: int | None = None) -> None:
     """The corpus as Parquet, in ``files_n`` files if given."""
-    out = corpus.select("doc", "info", "content")
-    (out.coalesce(files_n) if files_n else out).write.mode("overwrite").parquet(path)
+    write_files(corpus.select("doc", "info", "content"), path, files_n)
 
 
 def open_index(spark: SparkSession, *paths: str) -> DataFrame:

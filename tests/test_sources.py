@@ -115,6 +115,15 @@ def test_adapters_and_the_concatenation(spark):
     assert text == b"".join(b"a" * k + b"\0" for k in range(40)) and all(text[r.start :].startswith(bytes(r.bytes)) for r in out)
 
 
+def test_one_file_by_many_tasks(spark, tmp_path):
+    import pyarrow.parquet as pq
+
+    df = spark.createDataFrame([(k, f"i{k}", bytearray(b"abc" * k)) for k in range(40)], KIND).repartition(4)
+    C.write_index(df, str(tmp_path / "one"), files_n=1)
+    (file,) = (tmp_path / "one").glob("*.parquet")
+    assert pq.ParquetFile(file).metadata.num_row_groups == 4 and rows(C.open_index(spark, str(tmp_path / "one"))) == rows(df)
+
+
 def test_reports(spark, tmp_path):
     import json
 

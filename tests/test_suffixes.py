@@ -103,6 +103,43 @@ def test_ranges(spark, tmp_path):
         assert stored[k] == (bytes(ord(texts[d][o - 1]) if o else 0 for _, (d, o) in own), [r for r, (_, o) in own if not o])
 
 
+def test_one_file_by_many_tasks(spark, tmp_path, monkeypatch):
+    """Each task that writes leaves row groups of its own, also where one file is asked for."""
+    import pyarrow.parquet as pq
+
+    monkeypatch.setattr(suffixes, "SMALL", 0)
+    rng = random.Random(20)
+    texts = ["".join(rng.choice("abc") for _ in range(30)) for _ in range(12)]
+    want = plain_array(texts)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        suffixes.write_index(corpus(spark, texts).repartition(4), str(tmp_path), chunk=16, files_n=1)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    for name in ("corpus", "array", "chunks", "bwt"):
+        (file,) = (tmp_path / name).glob("*.parquet")
+        assert pq.ParquetFile(file).metadata.num_row_groups > 1
+    assert {x.name for x in tmp_path.iterdir()} == {"corpus", "array", "chunks", "bwt", "parameters"}
+    got = suffixes.open_index(spark, str(tmp_path)).array.orderBy("row").collect()
+    assert [(r.row, r.doc, r.off) for r in got] == [(k, d, o) for k, (d, o) in enumerate(want)]
+    assert [r.lcp for r in got] == [0] + [common(texts[a][b:], texts[x][y:]) for (a, b), (x, y) in zip(want, want[1:], strict=False)]
+
+
+def test_numbers_of_files(spark, tmp_path):
+    df = spark.range(100).selectExpr("id", "if(id % 3 = 0, null, cast(id as string)) as s", "array(id, null) as a", "cast(id as decimal(20, 3)) as d", "timestamp_seconds(id) as t").repartition(7)
+    path, want = str(tmp_path / "a b"), sorted(df.collect())
+    kind = df.schema.simpleString()
+    for rows, files_n, files in ((df, 1, 1), (df, 2, 2), (df, 3, 3), (df, 5, 5), (df.coalesce(1), 3, 3), (df, None, 7)):
+        suffixes.write_files(rows, path, files_n)  # over the one before
+        got = spark.read.parquet(path)
+        assert len(list((tmp_path / "a b").glob("*.parquet"))) == files and got.schema.simpleString() == kind and sorted(got.collect()) == want
+    suffixes.write_files(df.filter("id < 0"), path, 1)
+    assert spark.read.parquet(path).schema.simpleString() == kind and not spark.read.parquet(path).count() and (tmp_path / "a b" / "_SUCCESS").exists()
+    with pytest.raises(Exception, match="DIVIDE_BY_ZERO"):  # what fails leaves what was there, and no parts
+        suffixes.write_files(df.selectExpr("1 div (id - id) as x"), path, 1)
+    assert spark.read.parquet(path).schema.simpleString() == kind and [x.name for x in tmp_path.iterdir()] == ["a b"]
+
+
 #: Texts and the lengths of their minimal unique strings, as given.
 UNIQUE = [
     (["abaababa"], [0, 0, 2, 0, 3, 0, 0, 0]),
